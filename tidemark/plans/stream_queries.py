@@ -85,9 +85,10 @@ def publish_stream(spark, sf_dir):
     def build(obs):
         rows = live.live_window(obs, SIX_HOURLY, aggs, by=["stream", "property"])
         start, end = (F.col(f"window.{c}").cast("timestamp_ntz").alias(c) for c in ("start", "end"))
-        named_rows = rows.where(F.col("property").isNotNull()).withColumn("window", F.struct(start, end))
+        # Closing events yield no value, hence no result. Filtering them by property instead
+        # would reach below the watermark, and event time would never move on.
         return result_events(
-            named_rows, [a.out for a in aggs], F.md5(F.concat_ws("|", "stream", "property")),
+            rows.withColumn("window", F.struct(start, end)), [a.out for a in aggs], F.md5(F.concat_ws("|", "stream", "property")),
             F.array("stream"), ["stream", "property"],
         )
 
