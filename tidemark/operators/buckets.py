@@ -21,9 +21,17 @@ def with_until(index: DataFrame, by: Sequence[str] = ("stream",)) -> DataFrame:
 
 
 def prune_buckets(index: DataFrame, frm, to, by: Sequence[str] = ("stream",)) -> DataFrame:
-    """Buckets whose time range can meet the closed interval `[frm, to]`."""
-    meets = (F.col("value") <= F.lit(to)) & (F.col("until").isNull() | (F.col("until") > F.lit(frm)))
-    return with_until(index, by).where(meets)
+    """Buckets whose time range can meet the closed interval `[frm, to]`: those that start
+    within it, and the one before, in which `frm` falls.
+
+    That one is the greatest start up to `frm`, a maximum with partial results; the starts of
+    a stream need not be sorted.
+    """
+    value = F.col("value")
+    within = index.where((value > F.lit(frm)) & (value <= F.lit(to)))
+    earlier = index.where((value <= F.lit(frm)) & (value <= F.lit(to)))
+    holding = earlier.groupBy(*by).agg(F.max("value").alias("value"))
+    return within.unionByName(earlier.join(holding, [*by, "value"], "left_semi").select(*index.columns))
 
 
 def _usable(index: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -37,8 +37,8 @@ def positions(
     ties: Sequence[str] = ("seq",),
     cell_ms: int = HOUR_MS,
 ) -> DataFrame:
-    """Adds `ordinal`, the 0-based place in the group by (ts, ties), and `last_peer`, the
-    highest ordinal among rows of the group with the same ts.
+    """Adds `ordinal`, the 0-based place in the group by (ts, ties), `last_peer`, the highest
+    ordinal among rows of the group with the same ts, and `group_size`.
 
     No task sorts a whole group. A group is cut into time cells, the cells are counted
     (partial counts, one small row per cell), and a row's place is the count of the cells
@@ -50,7 +50,11 @@ def positions(
     offsets = (
         keyed.groupBy(*cell)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        .select(
+            *cell,
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_n").over(Window.partitionBy(*group)).alias("group_size"),
+        )
     )
     in_cell = Window.partitionBy(*cell)
     return (
@@ -69,9 +73,14 @@ def ordinal_batch(
     ties: Sequence[str] = ("seq",),
     cell_ms: int = HOUR_MS,
 ) -> DataFrame:
-    """Adds `batch`: rows 0..size-1 of a group form batch 0, and so on."""
-    placed = positions(df, group, ts, ties, cell_ms).drop("last_peer")
-    return placed.withColumn("batch", F.floor(F.col("ordinal") / size).cast("bigint"))
+    """Adds `batch` (rows 0..size-1 of a group form batch 0, and so on) and `full`, whether
+    the batch has all its rows."""
+    placed = positions(df, group, ts, ties, cell_ms)
+    return placed.select(
+        *df.columns, "ordinal",
+        F.floor(F.col("ordinal") / size).cast("bigint").alias("batch"),
+        (F.col("ordinal") < F.col("group_size") - F.col("group_size") % size).alias("full"),
+    )
 
 
 def earliest(df: DataFrame, event: Sequence[str], by: Sequence[str] = (), ts: str = "ts", seq: str = "seq"):

@@ -108,13 +108,12 @@ def windowed(
 
     With `panes`, rows are first aggregated per pane (the longest step that divides every
     window boundary) and only the panes are spread over the windows that cover them. Each
-    row is then handled once instead of width/slide times. Panes cost one more shuffle, of
-    aggregated rows only; they are the default once windows overlap eight times or more.
+    row is then handled once instead of width/slide times, for one more shuffle, of
+    aggregated rows only. They are the default wherever windows overlap and the aggregates
+    allow it.
     """
-    usable = all(algebraic(a) for a in aggs) and spec.slide <= spec.width
-    if panes is None:
-        panes = spec.overlap >= 8
-    if panes and usable and spec.overlap > 1:
+    usable = all(algebraic(a) for a in aggs) and spec.slide <= spec.width and spec.overlap > 1
+    if usable and panes is not False:
         out = _over_panes(df, spec, aggs, by, ts)
     else:
         rows = assign_windows(df, spec, ts)

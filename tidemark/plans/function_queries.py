@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark.functions.terms import WHITE_SPACE
 from tidemark.operators.registry import query_catalog, retarget
 from tidemark.plans.inputs import (
     day_buckets, hashed_queries, iso_sql, noon_index, observations, query_table, result_table, sql, table,
@@ -13,8 +12,11 @@ from tidemark.plans.inputs import (
 from tidemark.plans.named import named
 
 
+_SPACES = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 @named("sc1_query_hash", f"""
-SELECT doc_id, md5(regexp_replace(text, '{WHITE_SPACE}', '', 'g')) AS text_hash FROM documents""")
+SELECT doc_id, md5(regexp_replace(text, '{_SPACES}', '', 'g')) AS text_hash FROM documents""")
 def query_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.query_hash("text").alias("text_hash"))
 

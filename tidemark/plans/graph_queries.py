@@ -17,6 +17,7 @@ from tidemark.plans.inputs import (
     windows_sql,
 )
 from tidemark.plans.named import named
+from tidemark.session import stored
 from tidemark.sinks.publish import annotate_queries
 from tidemark.sinks.results import result_triples
 from tidemark.sources.event_log import scan_members
@@ -170,14 +171,15 @@ FROM obs o ASOF LEFT JOIN noon n ON o.stream = n.stream AND o.ts >= n.value""")
 @named("jn3_assign_bucket", _ASSIGN_SQL)
 def assign_bucket(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return buckets.assign_bucket(obs, noon_index(obs)).select("member_id", "ts", "bucket")
+    return buckets.assign_bucket(obs, stored(noon_index(obs), "index")).select("member_id", "ts", "bucket")
 
 
 @named("jn3_assign_bucket_long_index", _ASSIGN_SQL)
 def assign_bucket_long_index(spark, sf_dir):
     """The way taken for an index that is too long to send around."""
     obs = observations(spark, sf_dir)
-    return buckets.assign_bucket(obs, noon_index(obs), broadcast_rows=0).select("member_id", "ts", "bucket")
+    index = stored(noon_index(obs), "index")
+    return buckets.assign_bucket(obs, index, broadcast_rows=0).select("member_id", "ts", "bucket")
 
 
 @named("jn4_trace_provenance", sql("daily_results", body="""

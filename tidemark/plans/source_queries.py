@@ -18,7 +18,7 @@ from tidemark.plans.inputs import (
 )
 from tidemark.plans.named import named
 from tidemark.plans.window_queries import rebalance_sql
-from tidemark.session import fresh_folder
+from tidemark.session import fresh_folder, stored
 from tidemark.sinks import publish
 from tidemark.sinks.results import result_triples, to_ntriples
 from tidemark.sources import members, modes, notifications
@@ -39,12 +39,12 @@ def scan(spark, sf_dir):
 
 
 @named("src2_prune_buckets", sql("noon", body=f"""
-SELECT stream, node, value, until FROM (
+SELECT stream, node, value FROM (
   SELECT *, lead(value) OVER (PARTITION BY stream ORDER BY value) AS until FROM noon)
 WHERE value <= TIMESTAMP '{TO}' AND (until IS NULL OR until > TIMESTAMP '{FROM}')"""))
 def prune(spark, sf_dir):
     index = noon_index(observations(spark, sf_dir))
-    return buckets.prune_buckets(index, at(FROM), at(TO)).select("stream", "node", "value", "until")
+    return buckets.prune_buckets(index, at(FROM), at(TO)).select("stream", "node", "value")
 
 
 @named("src3_read_ntriples", sql("triples", body="SELECT s, p, o, o_type, o_datatype, o_lang FROM triples"))
@@ -248,4 +248,5 @@ loaded AS (
 SELECT * FROM ({rebalance_sql('loaded', 50)})"""))
 def initial_load(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return buckets.initial_load(obs, noon_index(obs), 50).select("member_id", "old_bucket", "bucket")
+    index = stored(noon_index(obs), "index")
+    return buckets.initial_load(obs, index, 50).select("member_id", "old_bucket", "bucket")

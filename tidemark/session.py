@@ -18,6 +18,12 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf) -> S
     )
     if master:
         builder = builder.master(master)
+    if not (master or "").startswith("local"):
+        # Window state of a long delay outgrows the heap.
+        builder = builder.config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -45,6 +51,9 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid4().hex}"
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has no more than `rows` rows; reads at most one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """`df` written to the shared folder and read back: computed once, short lineage, and
+    safe when executors are lost."""
+    path = fresh_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

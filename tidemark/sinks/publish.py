@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bucket_ts_of_url, bucket_url_child, epoch_ms, iso_ms
@@ -65,16 +65,13 @@ def publish_batches(
 ) -> DataFrame:
     """Results with their `batch`; only full batches, unless `flush` asks for the rest too."""
     batched = ordinal_batch(results, group, size, ts, ties, cell_ms)
-    if flush:
-        return batched
-    full = batched.groupBy(*group, "batch").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == size)
-    return batched.join(full.drop("_n"), [*group, "batch"], "left_semi")
+    return (batched if flush else batched.where("full")).drop("full")
 
 
 def bucketed(batches: DataFrame, group: Sequence[str] = ("query_hash",), ts: str = "emitted_at") -> DataFrame:
     """Adds `bucket_ts`, the time in milliseconds of the last element of the row's batch."""
-    last = batches.groupBy(*group, "batch").agg(epoch_ms(F.max_by(ts, "ordinal")).alias("bucket_ts"))
-    return batches.join(last, [*group, "batch"])
+    batch = Window.partitionBy(*group, "batch")
+    return batches.withColumn("bucket_ts", epoch_ms(F.max_by(ts, "ordinal").over(batch)))
 
 
 def write_buckets(

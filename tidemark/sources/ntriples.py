@@ -5,29 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The N-Triples grammar, one statement.
+# The N-Triples grammar, one statement. Groups: subject (IRI, blank node),
+# predicate, object (IRI, blank node, quoted text with its datatype or language).
 _BNODE = r"_:[^\s<>\"]*[^\s<>\".]"
+_QUOTED = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
 STATEMENT = (
     rf"\s*(?:<([^<>\"\s]*)>|({_BNODE}))\s+<([^<>\"\s]*)>\s+"
-    rf"(?:<([^<>\"\s]*)>|({_BNODE})|\"((?:[^\"\\\\]|\\\\.)*)\"(?:\^\^<([^<>\"\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)"
+    rf"(?:<([^<>\"\s]*)>|({_BNODE})|({_QUOTED})(?:\^\^<([^<>\"\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)"
     r"\s*\."
 )
 COMMENT_OR_BLANK = r"^\s*(?:#.*)?$"
+_EDGE, _GAP = "\u0001", "\u0002"
 
 
 def _unescape(text: Column) -> Column:
-    """Backslash escapes of a literal. They are those of a JSON text, but for the quote sign."""
+    """Backslash escapes of a quoted text. They are those of a JSON text, but for the quote sign."""
     plain = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
     read = F.from_json(
-        F.concat(F.lit('["'), plain, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"}
+        F.concat(F.lit("["), plain, F.lit("]")), "array<string>", {"allowUnquotedControlChars": "true"}
     )
-    return F.when(text.contains("\\"), F.coalesce(read[0], text)).otherwise(text)
+    bare = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.when(text.contains("\\"), F.coalesce(read[0], bare)).otherwise(bare)
 
 
-def _statements(lines: DataFrame, col: str) -> DataFrame:
-    found = F.regexp_extract_all(F.col(col), F.lit(STATEMENT), F.lit(0))
-    rest = F.regexp_replace(F.col(col), STATEMENT, "")
-    return lines.withColumn("_found", found).withColumn("_rest", rest)
+def _pieces(col: str) -> Column:
+    """The line cut at its statements: what lies between them at even places, the statements
+    with their groups at odd ones. One pass of the grammar over the line does both."""
+    # The two marks may occur in a text; as escapes they mean the same there.
+    line = F.col(col)
+    for mark in (_EDGE, _GAP):
+        line = F.replace(line, F.lit(mark), F.lit(f"\\u{ord(mark):04X}"))
+    groups = _GAP.join(f"${i}" for i in range(1, 9))
+    return F.split(F.regexp_replace(line, STATEMENT, f"{_EDGE}{groups}{_EDGE}"), _EDGE)
 
 
 def parse_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -36,29 +45,26 @@ def parse_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
     A line may hold several statements. What is no statement yields nothing here; see
     `malformed_lines`.
     """
-    one = _statements(lines, col).drop("_rest", col).withColumn("_st", F.explode("_found")).drop("_found")
-
-    def part(i: int) -> Column:
-        return F.regexp_extract("_st", STATEMENT, i)
-
-    iri, bnode = part(4), part(5)
-    is_literal = F.regexp_like("_st", F.lit(r'^\s*(?:<[^<>"]*>|_:\S+)\s+<[^<>"]*>\s+"'))
-    return one.select(
-        *[c for c in one.columns if c != "_st"],
-        F.when(part(2) != "", part(2)).otherwise(part(1)).alias("s"),
-        part(3).alias("p"),
-        F.when(is_literal, _unescape(part(6))).when(bnode != "", bnode).otherwise(iri).alias("o"),
-        F.when(is_literal, F.lit("literal")).when(bnode != "", F.lit("bnode")).otherwise(F.lit("iri"))
-        .alias("o_type"),
-        F.when(is_literal & (part(7) != ""), part(7)).alias("o_datatype"),
-        F.when(is_literal & (part(8) != ""), part(8)).alias("o_lang"),
+    keep = [c for c in lines.columns if c != col]
+    cut = lines.select(*keep, F.posexplode(_pieces(col)).alias("_at", "_piece"))
+    found = cut.where(F.col("_at") % 2 == 1).select(*keep, F.split("_piece", _GAP).alias("_g"))
+    s_iri, s_node, p, iri, node, quoted, datatype, lang = (F.get("_g", F.lit(i)) for i in range(8))
+    is_text = quoted != ""
+    return found.select(
+        *keep,
+        F.when(s_node != "", s_node).otherwise(s_iri).alias("s"),
+        p.alias("p"),
+        F.when(is_text, _unescape(quoted)).when(node != "", node).otherwise(iri).alias("o"),
+        F.when(is_text, F.lit("literal")).when(node != "", F.lit("bnode")).otherwise(F.lit("iri")).alias("o_type"),
+        F.when(datatype != "", datatype).alias("o_datatype"),
+        F.when(lang != "", lang).alias("o_lang"),
     )
 
 
 def malformed_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Lines with something that is neither a statement nor a comment."""
-    rest = F.col("_rest")
-    return _statements(lines, col).where(~F.regexp_like(rest, F.lit(COMMENT_OR_BLANK))).select(*lines.columns)
+    between = F.array_join(F.filter(_pieces(col), lambda piece, at: at % 2 == 0), "")
+    return lines.where(~F.regexp_like(between, F.lit(COMMENT_OR_BLANK)))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:

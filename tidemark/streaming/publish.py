@@ -54,13 +54,12 @@ def publish_stream(
         if batch_id and _exists(spark, before):
             rows = rows.unionByName(spark.read.schema(batch.schema).parquet(before))
         counted = ordinal_batch(rows, group, size, ts, ties)
-        sizes = counted.groupBy(*group, "batch").agg(F.count(F.lit(1)).alias("_n"))
-        marked = counted.join(sizes, [*group, "batch"])
-        full = bucketed(marked.where(F.col("_n") == size), group, ts)
-        full.drop("_n", "ordinal", "batch").write.mode("overwrite").parquet(_part(buckets, batch_id))
-        marked.where(F.col("_n") < size).select(*batch.columns).write.mode("overwrite").parquet(
-            _part(pending, batch_id)
-        )
+        counted.persist()
+        full = bucketed(counted.where("full"), group, ts)
+        full.drop("full", "ordinal", "batch").write.mode("overwrite").parquet(_part(buckets, batch_id))
+        left = counted.where("NOT full").select(*batch.columns)
+        left.write.mode("overwrite").parquet(_part(pending, batch_id))
+        counted.unpersist()
 
     _run(results, step, folder, "publish")
     return buckets
