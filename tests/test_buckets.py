@@ -92,7 +92,7 @@ def test_positions_on_skewed_groups(skewed, cell_ms):
         rows.sort()
         last = {ts: i for i, (ts, _, _) in enumerate(rows)}
         expected.update({m: (i, last[ts], len(rows)) for i, (ts, _, m) in enumerate(rows)})
-    out = ordering.positions(df, ["stream"], cell_ms=cell_ms).collect()
+    out = ordering.positions(df, ["stream"], cell_ms=cell_ms, peers=True).collect()
     assert {r["member_id"]: (r["ordinal"], r["last_peer"], r["group_size"]) for r in out} == expected
 
 

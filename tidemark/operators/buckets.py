@@ -110,7 +110,7 @@ def _assign_large(members, bounds, by, ts, cell_ms) -> DataFrame:
         *[F.col(f"__{c}").alias(c) for c in members.columns if c not in by and c != ts],
     )
     so_far = Window.partitionBy(*cell).orderBy(ts, "_row").rowsBetween(Window.unboundedPreceding, 0)
-    merged = rows.unionByName(bound_rows).join(carried, cell, "left")
+    merged = rows.unionByName(bound_rows).join(carried.hint("shuffle_hash"), cell, "left")
     return (
         merged.withColumn("_in_cell", F.last("_node", ignorenulls=True).over(so_far))
         .where(F.col("_row") == 1)
@@ -142,7 +142,7 @@ def rebalance(
     than its own time; rows before the first start stay. So rows with one event time stay
     together and a bucket may exceed `size`.
     """
-    placed = positions(members, by, ts, ties, cell_ms)
+    placed = positions(members, by, ts, ties, cell_ms, peers=True)
     chunked = placed.withColumn("_chunk", F.floor(F.col("last_peer") / size).cast("bigint"))
     chunk = [*by, "_chunk"]
     # All rows of a chunk are at or after its first place, so the least time is that of the start.

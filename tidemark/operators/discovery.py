@@ -24,12 +24,13 @@ def find_streams(type_index: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def locate_stream(type_index: DataFrame, metric: str, seq: str = "seq") -> DataFrame:
     """Per pod: the first subject related to the metric, else its first view, else empty."""
     related, view = _relates([metric]), F.col("p") == TREE_VIEW
-    return type_index.groupBy("pod").agg(
+    found = type_index.where(related | view).groupBy("pod").agg(
         F.coalesce(
             F.min_by(F.when(related, F.col("s")), F.when(related, F.col(seq))),
             F.min_by(F.when(view, F.col("o")), F.when(view, F.col(seq))),
         ).alias("stream")
     )
+    return type_index.select("pod").distinct().join(found, "pod", "left")
 
 
 def exists_metric(type_index: DataFrame, metrics: Sequence[str]) -> DataFrame:

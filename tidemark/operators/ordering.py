@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import time_cell
@@ -36,13 +36,15 @@ def positions(
     ts: str = "ts",
     ties: Sequence[str] = ("seq",),
     cell_ms: int = HOUR_MS,
+    peers: bool = False,
 ) -> DataFrame:
-    """Adds `ordinal`, the 0-based place in the group by (ts, ties), `last_peer`, the highest
-    ordinal among rows of the group with the same ts, and `group_size`.
+    """Adds `ordinal`, the 0-based place in the group by (ts, ties), and `group_size`;
+    with `peers` also `last_peer`, the highest ordinal among rows of the group with its ts.
 
     No task sorts a whole group. A group is cut into time cells, the cells are counted
     (partial counts, one small row per cell), and a row's place is the count of the cells
-    before its own plus its place in the cell.
+    before its own plus its place in the cell. The counts are hashed, not sorted, to meet
+    the rows, which then are sorted once.
     """
     keyed = df.withColumn("_cell", time_cell(ts, cell_ms))
     cell = [*group, "_cell"]
@@ -56,13 +58,14 @@ def positions(
             F.sum("_n").over(Window.partitionBy(*group)).alias("group_size"),
         )
     )
-    in_cell = Window.partitionBy(*cell)
-    return (
-        keyed.join(offsets, cell)
-        .withColumn("ordinal", F.col("_before") + F.row_number().over(in_cell.orderBy(ts, *ties)) - 1)
-        .withColumn("last_peer", F.col("_before") + F.count(F.lit(1)).over(in_cell.orderBy(ts)) - 1)
-        .drop("_cell", "_before")
+    placed = keyed.join(offsets.hint("shuffle_hash"), cell).withColumn(
+        "ordinal", F.col("_before") + F.row_number().over(Window.partitionBy(*cell).orderBy(ts, *ties)) - 1
     )
+    if peers:
+        # The frame up to the current row holds all rows of the same ts, whatever the ties.
+        by_time = Window.partitionBy(*cell).orderBy(ts)
+        placed = placed.withColumn("last_peer", F.max("ordinal").over(by_time))
+    return placed.drop("_cell", "_before")
 
 
 def ordinal_batch(
@@ -84,13 +87,19 @@ def ordinal_batch(
 
 
 def earliest(df: DataFrame, event: Sequence[str], by: Sequence[str] = (), ts: str = "ts", seq: str = "seq"):
-    """Earliest event per group, first in among equals; an empty input gives no row."""
-    first = F.min_by(F.struct(*event), F.struct(ts, seq)).alias("_first")
-    return df.groupBy(*by).agg(first).where(F.col("_first").isNotNull()).select(*by, "_first.*")
+    """Earliest event per group, first in among equals; an empty input gives no row.
+
+    The least time is found first, by hashing over two columns. Only rows of that time are
+    then compared; taking the whole event along at once would sort all rows.
+    """
+    least = df.groupBy(*by).agg(F.min(ts).alias(ts))
+    nearest = df.join(least, [*by, ts], "left_semi")
+    first = F.min_by(F.struct(*event), seq).alias("_first")
+    return nearest.groupBy(*by).agg(first).where(F.col("_first").isNotNull()).select(*by, "_first.*")
 
 
 def first_object(triples: DataFrame, predicate: str, by: Sequence[str] = (), seq: str = "seq") -> DataFrame:
     """Object of the first triple with this predicate, else an empty text."""
-    hit = F.when(F.col("p") == predicate, F.col("o"))
-    at: Column = F.when(F.col("p") == predicate, F.col(seq))
-    return triples.groupBy(*by).agg(F.coalesce(F.min_by(hit, at), F.lit("")).alias("first_object"))
+    hits = triples.where(F.col("p") == predicate).groupBy(*by).agg(F.min_by("o", seq).alias("_o"))
+    found = triples.select(*by).distinct().join(hits, list(by), "left") if by else hits
+    return found.select(*by, F.coalesce("_o", F.lit("")).alias("first_object"))

@@ -36,8 +36,8 @@ def triple(s, p: str, o, o_type: str = "iri", datatype: str | None = None, lang:
     )
 
 
-def to_triples(observations: DataFrame) -> DataFrame:
-    """Observations to the four triples each member consists of."""
+def to_triples(observations: DataFrame, keep: Sequence[str] = ("stream", "member_id", "ts")) -> DataFrame:
+    """Observations to the four triples each member consists of, next to the `keep` columns."""
     s = F.col("member_id")
     body = F.array(
         triple(s, RDF_TYPE, F.lit(MEASUREMENT)),
@@ -45,7 +45,7 @@ def to_triples(observations: DataFrame) -> DataFrame:
         triple(s, HAS_VALUE, F.col("value"), "literal", XSD_FLOAT),
         triple(s, RELATES_TO_PROPERTY, F.col("property")),
     )
-    return observations.select("stream", "member_id", "ts", F.inline(body))
+    return observations.select(*keep, F.inline(body))
 
 
 def match(triples: DataFrame, pattern: Pattern, keep: Sequence[str] = ()) -> DataFrame:
@@ -141,7 +141,7 @@ def event_times(triples: DataFrame, path: str = HAS_TIMESTAMP) -> DataFrame:
 
 def first_event_time(triples: DataFrame, path: str = HAS_TIMESTAMP, seq: str = "seq") -> DataFrame:
     """Per member, the first value of the time path."""
-    first = F.min_by("o", seq).try_cast("timestamp").cast("timestamp_ntz")
+    first = F.min_by(F.col("o").try_cast("timestamp").cast("timestamp_ntz"), seq)
     return triples.where(F.col("p") == path).groupBy("member_id").agg(first.alias("event_time"))
 
 

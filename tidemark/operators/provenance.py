@@ -13,7 +13,8 @@ from tidemark.operators.ordering import HOUR_MS
 def window_bounds(result_triples: DataFrame) -> DataFrame:
     """Window of each result event, from its triples: `s`, `timestamp_from`, `timestamp_to`."""
     def stated(p: str):
-        return F.max(F.when(F.col("p") == p, F.col("o"))).try_cast("timestamp").cast("timestamp_ntz")
+        # Read as a time before it is aggregated: times are hashed, texts would be sorted.
+        return F.max(F.when(F.col("p") == p, F.col("o").try_cast("timestamp").cast("timestamp_ntz")))
 
     rows = result_triples.where(F.col("p").isin(VOCALS_STARTED_AT, VOCALS_ENDED_AT))
     bounds = rows.groupBy("s").agg(

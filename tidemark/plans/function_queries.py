@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark.operators.registry import query_catalog, retarget
 from tidemark.plans.inputs import (
-    day_buckets, hashed_queries, iso_sql, noon_index, observations, query_table, result_table, sql, table,
+    day_buckets, iso_sql, noon_index, observations, query_table, result_table, sql, table,
 )
 from tidemark.plans.named import named
 

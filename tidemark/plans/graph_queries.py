@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import iso_ms
 from tidemark.model import (
     Agg, ContinuousQuery, FOCUS_PREDICATES, HAS_TIMESTAMP, HAS_VALUE, LDP_CONTAINS, Pattern, RDF_TYPE,
     RELATES_TO_PROPERTY, TREE_VIEW, VANN_PREFIX, XSD_FLOAT,
@@ -12,9 +11,8 @@ from tidemark.model import (
 from tidemark.operators import buckets, delivery, discovery, patterns, provenance, registry, windows
 from tidemark.plans.continuous import over_triples
 from tidemark.plans.inputs import (
-    AVG2, DAILY, HOUR, REPRESENTATIVE, SENSOR, SIX_HOURLY, as_observations, at, day_buckets, hashed_queries, iso_sql,
+    AVG2, DAILY, HOUR, REPRESENTATIVE, SENSOR, SIX_HOURLY, at, day_buckets, hashed_queries,
     noon_index, observations, query_table, result_table, sql, subscriptions, table, triples, type_index,
-    windows_sql,
 )
 from tidemark.plans.named import named
 from tidemark.session import stored

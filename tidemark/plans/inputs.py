@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import epoch_ms, iso_ms, query_hash
+from tidemark.functions import epoch_ms, query_hash
 from tidemark.model import (
     Agg,
     HAS_TIMESTAMP,

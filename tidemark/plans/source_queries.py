@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import epoch_ms
 from tidemark.model import (
-    DCT_SOURCE, HAS_TIMESTAMP, LDP_CONTAINS, LDP_INBOX, NOTIFICATION_SCHEMA, RDF_TYPE, SAREF, TREE_MEMBER,
+    DCT_SOURCE, HAS_TIMESTAMP, LDP_INBOX, RDF_TYPE, SAREF, TREE_MEMBER,
 )
 from tidemark.operators import buckets, delivery
-from tidemark.operators.patterns import triple
+from tidemark.operators.patterns import to_triples
 from tidemark.operators.registry import query_catalog
 from tidemark.plans.graph_queries import bnode_triples, container_triples
 from tidemark.plans.inputs import (
@@ -43,7 +42,7 @@ SELECT stream, node, value FROM (
   SELECT *, lead(value) OVER (PARTITION BY stream ORDER BY value) AS until FROM noon)
 WHERE value <= TIMESTAMP '{TO}' AND (until IS NULL OR until > TIMESTAMP '{FROM}')"""))
 def prune(spark, sf_dir):
-    index = noon_index(observations(spark, sf_dir))
+    index = stored(noon_index(observations(spark, sf_dir)), "index")
     return buckets.prune_buckets(index, at(FROM), at(TO)).select("stream", "node", "value")
 
 
@@ -60,12 +59,11 @@ def assemble(spark, sf_dir):
     rows = day_buckets(observations(spark, sf_dir))
     alone = F.col("property") == SENSOR + "click"
     placed = rows.withColumn("doc", F.when(alone, F.col("member_id")).otherwise(F.col("bucket")))
-    body = triples(spark, sf_dir).select("member_id", "s", "p", "o").join(placed.select("member_id", "doc"), "member_id")
+    body = to_triples(placed, ["doc"]).select("doc", "s", "p", "o")
     links = placed.where(~alone).select(
         "doc", F.col("stream").alias("s"), F.lit(TREE_MEMBER).alias("p"), F.col("member_id").alias("o")
     )
-    docs = body.select("doc", "s", "p", "o").unionByName(links)
-    return members.assemble_members(docs).select("doc", "member_id", "s", "p", "o")
+    return members.assemble_members(body.unionByName(links)).select("doc", "member_id", "s", "p", "o")
 
 
 @named("src5_list_bucket", sql("bucketed", body="SELECT DISTINCT bucket AS s, member_id AS o FROM bucketed"))
@@ -134,7 +132,8 @@ full_batches AS (SELECT * FROM batched QUALIFY count(*) OVER (PARTITION BY query
 
 @named("snk1_publish_batches", sql("results", body=_BATCHED + "SELECT event_id, query_hash, batch FROM full_batches"))
 def publish_batches(spark, sf_dir):
-    rows = publish.publish_batches(result_table(spark, sf_dir), cell_ms=24 * HOUR)
+    results = stored(result_table(spark, sf_dir), "results")
+    rows = publish.publish_batches(results, cell_ms=24 * HOUR)
     return rows.select("event_id", "query_hash", "batch")
 
 
@@ -143,7 +142,8 @@ SELECT event_id, query_hash, batch, max((epoch_us(emitted_at) // 1000)) OVER (PA
 FROM full_batches"""))
 def write_buckets(spark, sf_dir):
     path = fresh_folder(spark, "buckets")
-    publish.write_buckets(publish.publish_batches(result_table(spark, sf_dir), cell_ms=24 * HOUR), path)
+    results = stored(result_table(spark, sf_dir), "results")
+    publish.write_buckets(publish.publish_batches(results, cell_ms=24 * HOUR), path)
     return spark.read.parquet(path).select("event_id", "query_hash", "batch", "bucket_ts")
 
 

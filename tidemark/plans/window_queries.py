@@ -15,6 +15,7 @@ from tidemark.plans.inputs import (
     observations, query_table, result_table, sql, subscriptions, triples, type_index, windows_sql,
 )
 from tidemark.plans.named import named
+from tidemark.session import stored
 
 CLICK = SENSOR + "click"
 PURCHASE = SENSOR + "purchase"
@@ -187,7 +188,8 @@ SELECT query_hash, event_id,
        CAST(floor((row_number() OVER (PARTITION BY query_hash ORDER BY emitted_at, event_id) - 1) / 20) AS BIGINT) AS batch
 FROM results"""))
 def ordinal_batch(spark, sf_dir):
-    rows = ordering.ordinal_batch(result_table(spark, sf_dir), ["query_hash"], 20, "emitted_at", ["event_id"], 24 * HOUR)
+    results = stored(result_table(spark, sf_dir), "results")
+    rows = ordering.ordinal_batch(results, ["query_hash"], 20, "emitted_at", ["event_id"], 24 * HOUR)
     return rows.select("query_hash", "event_id", "ordinal", "batch")
 
 

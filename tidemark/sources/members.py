@@ -18,13 +18,11 @@ def assemble_members(doc_triples: DataFrame, time_path: str = HAS_TIMESTAMP, doc
     """
     is_link = F.col("p") == TREE_MEMBER
     links = doc_triples.where(is_link).select(doc, F.col("o").alias("s"), F.lit(True).alias("_linked")).distinct()
-    body = doc_triples.where(~is_link).join(links, [doc, "s"], "left")
-    linked = body.where(F.col("_linked")).withColumn("member_id", F.col("s"))
-    rest = body.where(F.col("_linked").isNull())
-    whole = rest.join(links.select(doc).distinct(), doc, "left_anti")
-    names = doc_triples.where(F.col("p") == time_path).select(doc, F.col("s").alias("member_id")).distinct()
-    own = whole.join(names, doc)
-    return linked.drop("_linked").unionByName(own.drop("_linked"))
+    names = doc_triples.where(F.col("p") == time_path).select(doc, F.col("s").alias("_own")).distinct()
+    alone = names.join(links.select(doc).distinct(), doc, "left_anti")
+    body = doc_triples.where(~is_link).join(links, [doc, "s"], "left").join(alone, doc, "left")
+    member = F.when(F.col("_linked"), F.col("s")).otherwise(F.col("_own"))
+    return body.withColumn("member_id", member).where(F.col("member_id").isNotNull()).drop("_linked", "_own")
 
 
 def list_bucket(triples: DataFrame) -> DataFrame:
