@@ -68,7 +68,7 @@ def assign_bucket(
 def _assign_small(members, bounds, by, ts, size) -> DataFrame:
     if size["n"] == 0:
         return members.withColumn("bucket", F.lit(NO_BUCKET))
-    # As many cells as a group has bounds on average: at most about two rows per bound.
+    # As many cells as a group has bounds on average: some three rows per bound at most.
     per_group = max(1, size["n"] // max(1, size["groups"]))
     cell_ms = max(1, (size["last"] - size["first"]) // per_group + 1)
     last_cell = size["last"] // cell_ms

@@ -34,12 +34,13 @@ def query_catalog(queries: DataFrame) -> DataFrame:
     names, streams = _all(text, WINDOW_CLAUSE, 1), _all(text, WINDOW_CLAUSE, 2)
     widths, slides = _all(text, WINDOW_CLAUSE, 3), _all(text, WINDOW_CLAUSE, 4)
     operator = F.regexp_extract(text, REGISTER_CLAUSE, 1)
-    catalog = queries.withColumns({
+    # Each array is read from the text once, in a step of its own, and then used by name.
+    read = queries.withColumns({
         "r2s_operator": F.when(operator == "", F.lit("RStream")).otherwise(operator),
         "r2s_name": F.regexp_extract(text, REGISTER_CLAUSE, 2),
-        "prefixes": F.map_from_entries(_last_per_key(F.arrays_zip(
+        "_k": F.arrays_zip(
             _all(text, PREFIX_CLAUSE, 1).alias("key"), _all(text, PREFIX_CLAUSE, 2).alias("value")
-        ))),
+        ),
         "_w": F.arrays_zip(
             names.alias("name"), streams.alias("stream"), widths.alias("width"), slides.alias("slide")
         ),
@@ -51,6 +52,7 @@ def query_catalog(queries: DataFrame) -> DataFrame:
             _all(text, WINDOW_BLOCK, 1).alias("name"), _all(text, WINDOW_BLOCK, 2).alias("body")
         ),
     })
+    catalog = read.withColumn("prefixes", F.map_from_entries(_last_per_key(F.col("_k"))))
     prefixes = F.col("prefixes")
 
     def term(t: Column) -> Column:
@@ -85,7 +87,7 @@ def query_catalog(queries: DataFrame) -> DataFrame:
         )),
         "patterns": F.flatten(F.transform("_b", block_patterns)),
         "query_hash": query_hash("query_text"),
-    }).drop("_w", "_a", "_b")
+    }).drop("_k", "_w", "_a", "_b")
 
 
 def _last_per_key(pairs: Column) -> Column:
@@ -98,7 +100,10 @@ def _last_per_key(pairs: Column) -> Column:
 def catalog_patterns(catalog: DataFrame) -> DataFrame:
     """One row per triple pattern, with the kind of its predicate."""
     kind = F.when(F.col("p").startswith("?"), F.lit("variable")).otherwise(F.lit("iri"))
-    return catalog.select("query_id", F.inline("patterns")).withColumn("p_type", kind)
+    # The outer form: for the plain one Spark adds a test on the array's size and, moving it
+    # down, would read every text twice.
+    rows = catalog.select("query_id", F.inline_outer("patterns")).where(F.col("p").isNotNull())
+    return rows.withColumn("p_type", kind)
 
 
 def equivalence_key(catalog: DataFrame) -> DataFrame:

@@ -69,31 +69,30 @@ def r2s_stream(results: DataFrame, folder: str, spec: WindowSpec, mode: str) ->
     """IStream or DStream of closed windows, in two stages.
 
     `results` is a windowed aggregate in append mode: a micro-batch brings all rows of the
-    windows that closed since the one before. They are stored, and compared with the stored
-    rows one slide earlier. `closed` remembers up to which window end that has been done, so
-    that a deletion is also reported where the later window is empty.
+    windows that closed since the one before. It is stored under `closed` and compared with
+    the rows of the last slide before it, which the micro-batch before put under `recent`.
+    `done` remembers up to which window end that has come, so that a deletion is also
+    reported where the later window is empty.
     """
-    closed, done, out = f"{folder}/closed", f"{folder}/done", f"{folder}/{mode.lower()}"
+    closed, recent, done, out = (f"{folder}/{name}" for name in ("closed", "recent", "done", mode.lower()))
+    end, slide = F.col("window.end"), F.expr(f"INTERVAL '{spec.slide / 1000:.3f}' SECOND")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(_part(closed, batch_id))
-        upto = None
+        rows = spark.read.schema(batch.schema).parquet(_part(closed, batch_id))
+        upto, newest = None, rows.agg(F.max(end).alias("upto")).first()["upto"]
         if batch_id and _exists(spark, _part(done, batch_id - 1)):
             upto = spark.read.schema("upto timestamp").parquet(_part(done, batch_id - 1)).first()["upto"]
-        fresh = spark.read.schema(batch.schema).parquet(_part(closed, batch_id))
-        newest = fresh.agg(F.max("window.end").alias("upto")).first()["upto"] or upto
-        spark.createDataFrame([(newest,)], "upto timestamp").write.mode("overwrite").parquet(
-            _part(done, batch_id)
-        )
-        stored = spark.read.schema(batch.schema.add("batch_id", "long")).parquet(closed)
-        rows = stored.where(F.col("batch_id") <= batch_id).drop("batch_id")
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(_part(recent, batch_id - 1)))
+        newest = newest or upto
+        changed = r2s(rows, spec, mode).where(end <= F.lit(newest).cast("timestamp"))
         if upto is not None:
-            rows = rows.where(F.col("window.end") >= F.lit(upto) - F.expr(f"INTERVAL '{spec.slide / 1000:.3f}' SECOND"))
-        changed = r2s(rows, spec, mode).where(F.col("window.end") <= F.lit(newest))
-        if upto is not None:
-            changed = changed.where(F.col("window.end") > F.lit(upto))
+            changed = changed.where(end > F.lit(upto))
         changed.write.mode("overwrite").parquet(_part(out, batch_id))
+        rows.where(end > F.lit(newest).cast("timestamp") - slide).write.mode("overwrite").parquet(_part(recent, batch_id))
+        reached = spark.createDataFrame([(newest,)], "upto timestamp")
+        reached.write.mode("overwrite").parquet(_part(done, batch_id))
 
     _run(results, step, folder, mode.lower())
     return out
