@@ -81,8 +81,8 @@ def test_pruned_buckets(spark, frm, to, expected):
     assert sorted(r["node"] for r in out.collect()) == expected
 
 
-@pytest.mark.parametrize("cell_ms", [1000, 3_600_000])
-def test_positions_on_skewed_groups(skewed, cell_ms):
+@pytest.mark.parametrize("cell_ms,cell_rows", [(1000, 1), (None, 10**9), (None, 100), (None, 1)])
+def test_positions_on_skewed_groups(skewed, cell_ms, cell_rows):
     data, df = skewed
     groups = defaultdict(list)
     for stream, member, seq, ts in data:
@@ -92,15 +92,44 @@ def test_positions_on_skewed_groups(skewed, cell_ms):
         rows.sort()
         last = {ts: i for i, (ts, _, _) in enumerate(rows)}
         expected.update({m: (i, last[ts], len(rows)) for i, (ts, _, m) in enumerate(rows)})
-    out = ordering.positions(df, ["stream"], cell_ms=cell_ms, peers=True).collect()
+    out = ordering.positions(df, ["stream"], cell_ms=cell_ms, cell_rows=cell_rows, peers=True).collect()
     assert {r["member_id"]: (r["ordinal"], r["last_peer"], r["group_size"]) for r in out} == expected
 
 
-def test_positions_cut_a_hot_group(skewed):
+def test_positions_cut_a_hot_group(spark, skewed):
     """The rows of the group with a third of all rows do not meet in one task."""
-    placed = ordering.positions(skewed[1].where("stream = 's0'"), ["stream"], cell_ms=60_000)
-    parts = placed.select(F.spark_partition_id().alias("part")).distinct().count()
-    assert parts > 1
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # small partitions would be put together
+    try:
+        placed = ordering.positions(skewed[1].where("stream = 's0'"), ["stream"], cell_ms=60_000)
+        assert placed.select(F.spark_partition_id().alias("part")).distinct().count() == 8
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_positions_keep_empty_groups_and_times(spark):
+    df = spark.createDataFrame(
+        [(None, 1, at(5)), (None, 0, at(4)), ("a", 2, None), ("a", 3, at(1)), ("a", 4, at(9000))],
+        "stream string, seq long, ts timestamp_ntz",
+    )
+    out = ordering.positions(df, ["stream"]).collect()
+    assert {r["seq"]: (r["ordinal"], r["group_size"]) for r in out} == {
+        0: (0, 2), 1: (1, 2), 2: (0, 3), 3: (1, 3), 4: (2, 3),
+    }
+
+
+def test_cells_shrink_until_they_fit(spark, skewed):
+    data, df = skewed
+    hour, _ = ordering.cell_counts(df, ["stream"], "ts")
+    assert hour == 3_600_000
+    length, counts = ordering.cell_counts(df, ["stream"], "ts", cell_rows=100)
+    assert length < hour
+    assert counts.agg(F.max("_n")).first()[0] <= 100
+    assert counts.agg(F.sum("_n")).first()[0] == len(data)
+    # Rows at one instant stay together, and the search ends.
+    same = spark.createDataFrame([("a", at(1))] * 50, "stream string, ts timestamp_ntz")
+    assert ordering.cell_counts(same, ["stream"], "ts", cell_rows=10)[0] == 1
+    assert ordering.cell_counts(df.where("seq < 0"), ["stream"], "ts")[0] == 3_600_000
 
 
 def brute_rebalance(rows, size):

@@ -29,4 +29,5 @@ def time_cell(ts, cell_ms: int) -> Column:
 
     Cells split the rows of one stream or bucket over tasks; they never show in results.
     """
-    return F.floor(epoch_us(ts) / F.lit(cell_ms * 1000)).cast("bigint")
+    us, cell = epoch_us(ts), F.lit(cell_ms * 1000).cast("bigint")
+    return F.call_function("div", us - F.pmod(us, cell), cell)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bucket_url_sibling, epoch_ms, epoch_us, time_cell
-from tidemark.operators.ordering import HOUR_MS, positions
+from tidemark.operators.ordering import cell_counts, positions
 
 NO_BUCKET = "none"
 BROADCAST_INDEX_ROWS = 10_000
@@ -44,7 +44,7 @@ def assign_bucket(
     index: DataFrame,
     by: Sequence[str] = ("stream",),
     ts: str = "ts",
-    cell_ms: int = HOUR_MS,
+    cell_ms: int | None = None,
     broadcast_rows: int = BROADCAST_INDEX_ROWS,
 ) -> DataFrame:
     """Adds `bucket`: the node of the greatest bound `<= ts`, else `none`.
@@ -92,29 +92,30 @@ def _assign_small(members, bounds, by, ts, size) -> DataFrame:
 
 def _assign_large(members, bounds, by, ts, cell_ms) -> DataFrame:
     cell = [*by, "_cell"]
+    cell_ms, counts = cell_counts(members, by, ts, cell_ms)
     keyed = members.withColumn("_cell", time_cell(ts, cell_ms))
     marks = bounds.withColumn("_cell", time_cell("value", cell_ms))
     # What a cell starts with: the last bound of the cells before it. One row per cell.
     latest = marks.groupBy(*cell).agg(F.max_by("node", "value").alias("_last"))
-    used = keyed.select(*cell).distinct().withColumn("_last", F.lit(None).cast("string"))
+    used = counts.select(*cell, F.lit(None).cast("string").alias("_last"))
     before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         latest.unionByName(used).groupBy(*cell).agg(F.max("_last").alias("_last"))
-        .select(*cell, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+        .select(*cell, F.last("_last", ignorenulls=True).over(before).alias("node"))
+        .where(F.col("node").isNotNull())
+        .withColumn("value", F.lit(None).cast(bounds.schema["value"].dataType))
     )
-    rows = keyed.withColumn("_node", F.lit(None).cast("string")).withColumn("_row", F.lit(1))
-    for name in (c for c in members.columns if c not in by and c != ts):
-        marks = marks.withColumn(f"__{name}", F.lit(None).cast(members.schema[name].dataType))
-    bound_rows = marks.select(
+    rows = keyed.withColumns({"_node": F.lit(None).cast("string"), "_row": F.lit(1)})
+    others = [f for f in members.schema if f.name not in by and f.name != ts]
+    # What is carried has no time and thus comes first in its cell.
+    bound_rows = marks.unionByName(carried).select(
         *cell, F.col("value").alias(ts), F.col("node").alias("_node"), F.lit(0).alias("_row"),
-        *[F.col(f"__{c}").alias(c) for c in members.columns if c not in by and c != ts],
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in others],
     )
     so_far = Window.partitionBy(*cell).orderBy(ts, "_row").rowsBetween(Window.unboundedPreceding, 0)
-    merged = rows.unionByName(bound_rows).join(carried.hint("shuffle_hash"), cell, "left")
-    return (
-        merged.withColumn("_in_cell", F.last("_node", ignorenulls=True).over(so_far))
-        .where(F.col("_row") == 1)
-        .select(*members.columns, F.coalesce("_in_cell", "_carried", F.lit(NO_BUCKET)).alias("bucket"))
+    merged = rows.unionByName(bound_rows).withColumn("_held", F.last("_node", ignorenulls=True).over(so_far))
+    return merged.where(F.col("_row") == 1).select(
+        *members.columns, F.coalesce("_held", F.lit(NO_BUCKET)).alias("bucket")
     )
 
 
@@ -133,7 +134,7 @@ def rebalance(
     by: Sequence[str] = ("stream", "bucket"),
     ts: str = "ts",
     ties: Sequence[str] = ("seq",),
-    cell_ms: int = HOUR_MS,
+    cell_ms: int | None = None,
 ) -> DataFrame:
     """Splits overfull buckets: `bucket` becomes the new one, `old_bucket` keeps the former.
 
@@ -164,7 +165,7 @@ def initial_load(
     root: str = "stream",
     ts: str = "ts",
     ties: Sequence[str] = ("seq",),
-    cell_ms: int = HOUR_MS,
+    cell_ms: int | None = None,
 ) -> DataFrame:
     """Members into buckets: as-of over the index, one new bucket for what lies before it
     (named by the least time of the load), then rebalanced."""

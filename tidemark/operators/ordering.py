@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import time_cell
+from tidemark.session import stored
 
 HOUR_MS = 3_600_000
+CELL_ROWS = 2_000_000
 
 
 def sort_events(df: DataFrame, ts: str = "ts", seq: str = "seq") -> DataFrame:
@@ -30,42 +32,72 @@ def sort_strings(df: DataFrame, col: str) -> DataFrame:
     return df.orderBy(col)
 
 
+def cell_counts(
+    df: DataFrame, group: Sequence[str], ts: str, cell_ms: int | None = None, cell_rows: int = CELL_ROWS
+) -> tuple[int, DataFrame]:
+    """A cell length at which no group has more than `cell_rows` rows in one cell, and the
+    rows per (group, `_cell`) in `_n`, stored.
+
+    Cells start at an hour. If the fullest holds too many rows, they are cut shorter by as
+    much as it is too full, and counted anew. Rows of one group at one instant cannot be
+    parted, so there is an end to it. A given `cell_ms` is taken as it is.
+    """
+    length = cell_ms or HOUR_MS
+    while True:
+        counts = stored(
+            df.groupBy(*group, time_cell(ts, length).alias("_cell")).agg(F.count(F.lit(1)).alias("_n")),
+            "cell-counts",
+        )
+        if cell_ms:
+            return length, counts
+        fullest = counts.agg(F.max("_n").alias("n")).first()["n"] or 0
+        if fullest <= cell_rows or length == 1:
+            return length, counts
+        length = max(1, length * cell_rows // (2 * fullest))
+
+
 def positions(
     df: DataFrame,
     group: Sequence[str],
     ts: str = "ts",
     ties: Sequence[str] = ("seq",),
-    cell_ms: int = HOUR_MS,
+    cell_ms: int | None = None,
     peers: bool = False,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Adds `ordinal`, the 0-based place in the group by (ts, ties), and `group_size`;
     with `peers` also `last_peer`, the highest ordinal among rows of the group with its ts.
 
     No task sorts a whole group. A group is cut into time cells, the cells are counted
-    (partial counts, one small row per cell), and a row's place is the count of the cells
-    before its own plus its place in the cell. The counts are hashed, not sorted, to meet
-    the rows, which then are sorted once.
+    (see `cell_counts`), and a row's place is the count of the cells before its own plus its
+    place in the cell. Each cell's count travels as one more row ahead of the cell's rows:
+    one shuffle, one sort and no join, and empty group values are a group like any other.
     """
-    keyed = df.withColumn("_cell", time_cell(ts, cell_ms))
+    length, counts = cell_counts(df, group, ts, cell_ms, cell_rows)
     cell = [*group, "_cell"]
     earlier = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *cell,
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(*group)).alias("group_size"),
-        )
-    )
-    placed = keyed.join(offsets.hint("shuffle_hash"), cell).withColumn(
-        "ordinal", F.col("_before") + F.row_number().over(Window.partitionBy(*cell).orderBy(ts, *ties)) - 1
+    heads = counts.select(
+        *cell,
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in group],
+        F.lit(0).alias("_row"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*group)).alias("_size"),
     )
+    rows = df.withColumns({
+        "_cell": time_cell(ts, length), "_row": F.lit(1),
+        "_before": F.lit(None).cast("bigint"), "_size": F.lit(None).cast("bigint"),
+    })
+    in_order = Window.partitionBy(*cell).orderBy("_row", ts, *ties)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.unionByName(heads).withColumns({
+        "ordinal": F.max("_before").over(so_far) + F.row_number().over(in_order) - 2,
+        "group_size": F.max("_size").over(so_far),
+    })
     if peers:
         # The frame up to the current row holds all rows of the same ts, whatever the ties.
-        by_time = Window.partitionBy(*cell).orderBy(ts)
+        by_time = Window.partitionBy(*cell).orderBy("_row", ts)
         placed = placed.withColumn("last_peer", F.max("ordinal").over(by_time))
-    return placed.drop("_cell", "_before")
+    return placed.where(F.col("_row") == 1).drop("_cell", "_row", "_before", "_size")
 
 
 def ordinal_batch(
@@ -74,7 +106,7 @@ def ordinal_batch(
     size: int,
     ts: str = "ts",
     ties: Sequence[str] = ("seq",),
-    cell_ms: int = HOUR_MS,
+    cell_ms: int | None = None,
 ) -> DataFrame:
     """Adds `batch` (rows 0..size-1 of a group form batch 0, and so on) and `full`, whether
     the batch has all its rows."""

@@ -226,32 +226,27 @@ def explode_bindings(results: DataFrame, aggs: Sequence[str], keep: Sequence[str
     return same_type.unpivot(list(keep), list(aggs), "var", "value").where(F.col("value").isNotNull())
 
 
-def idle_periods(
-    df: DataFrame, gap_ms: int, by: Sequence[str] = (), ts: str = "ts", cell_ms: int = 3_600_000
-) -> DataFrame:
+def idle_periods(df: DataFrame, gap_ms: int, by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """Stretches of activity; a stretch ends once nothing came for `gap_ms`, and idleness
     counts from its last row plus that gap.
 
-    Stretches are built per time cell first. Those of one cell lie at least a gap apart, so
-    what is merged per group is bounded by time, whatever the number of rows.
+    Rows within one slot as long as the gap are always of one stretch, so they are folded to
+    first, last and count, with partial results. What is left to put in order per group is
+    one row per slot, bounded by time and not by the number of rows.
     """
-    gap = F.lit(gap_ms * 1000)
-
-    def stretches(rows, keys, first, last, n):
-        order = Window.partitionBy(*keys).orderBy(first)
-        apart = epoch_us(first) - epoch_us(F.lag(last).over(order)) >= gap
-        numbered = rows.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
-            "_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        )
-        return numbered.groupBy(*keys, "_no").agg(
-            F.min(first).alias("_first"), F.max(last).alias("_last"), F.sum(n).alias("_n")
-        )
-
-    rows = df.select(*by, ts, time_cell(ts, cell_ms).alias("_cell"), F.lit(1).alias("_one"))
-    in_cell = stretches(rows, [*by, "_cell"], ts, ts, "_one").drop("_no")
-    whole = stretches(in_cell, list(by), "_first", "_last", "_n")
+    slots = df.groupBy(*by, time_cell(ts, gap_ms).alias("_slot")).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
+    )
+    order = Window.partitionBy(*by).orderBy("_first")
+    apart = epoch_us("_first") - epoch_us(F.lag("_last").over(order)) >= F.lit(gap_ms * 1000)
+    numbered = slots.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
+        "_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    stretch = numbered.groupBy(*by, "_no").agg(
+        F.min("_first").alias("active_from"), F.max("_last").alias("_last"), F.sum("_n").alias("n")
+    )
     idle = F.col("_last") + F.expr(f"INTERVAL '{gap_ms / 1000:.3f}' SECOND")
-    return whole.select(*by, F.col("_first").alias("active_from"), idle.alias("idle_from"), F.col("_n").alias("n"))
+    return stretch.select(*by, "active_from", idle.alias("idle_from"), "n")
 
 
 def union_streams(*dfs: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ full_batches AS (SELECT * FROM batched QUALIFY count(*) OVER (PARTITION BY query
 @named("snk1_publish_batches", sql("results", body=_BATCHED + "SELECT event_id, query_hash, batch FROM full_batches"))
 def publish_batches(spark, sf_dir):
     results = stored(result_table(spark, sf_dir), "results")
-    rows = publish.publish_batches(results, cell_ms=24 * HOUR)
+    rows = publish.publish_batches(results)
     return rows.select("event_id", "query_hash", "batch")
 
 
@@ -143,7 +143,7 @@ FROM full_batches"""))
 def write_buckets(spark, sf_dir):
     path = fresh_folder(spark, "buckets")
     results = stored(result_table(spark, sf_dir), "results")
-    publish.write_buckets(publish.publish_batches(results, cell_ms=24 * HOUR), path)
+    publish.write_buckets(publish.publish_batches(results), path)
     return spark.read.parquet(path).select("event_id", "query_hash", "batch", "bucket_ts")
 
 

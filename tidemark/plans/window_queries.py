@@ -189,7 +189,7 @@ SELECT query_hash, event_id,
 FROM results"""))
 def ordinal_batch(spark, sf_dir):
     results = stored(result_table(spark, sf_dir), "results")
-    rows = ordering.ordinal_batch(results, ["query_hash"], 20, "emitted_at", ["event_id"], 24 * HOUR)
+    rows = ordering.ordinal_batch(results, ["query_hash"], 20, "emitted_at", ["event_id"])
     return rows.select("query_hash", "event_id", "ordinal", "batch")
 
 

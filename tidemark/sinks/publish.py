@@ -31,7 +31,7 @@ from tidemark.model import (
     XSD_DATETIME,
     XSD_INTEGER,
 )
-from tidemark.operators.ordering import HOUR_MS, ordinal_batch
+from tidemark.operators.ordering import ordinal_batch
 from tidemark.operators.patterns import inline_bnodes, triple
 
 # The description vocabulary of an aggregation, the same for every query.
@@ -61,7 +61,7 @@ def publish_batches(
     flush: bool = False,
     ts: str = "emitted_at",
     ties: Sequence[str] = ("event_id",),
-    cell_ms: int = HOUR_MS,
+    cell_ms: int | None = None,
 ) -> DataFrame:
     """Results with their `batch`; only full batches, unless `flush` asks for the rest too."""
     batched = ordinal_batch(results, group, size, ts, ties, cell_ms)
