@@ -49,10 +49,15 @@ def publish_stream(
         # be computed only one time.
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(_part(arrived, batch_id))
-        rows = spark.read.schema(batch.schema).parquet(_part(arrived, batch_id))
-        before = _part(pending, batch_id - 1)
+        fresh = spark.read.schema(batch.schema).parquet(_part(arrived, batch_id))
+        rows, before = fresh, _part(pending, batch_id - 1)
         if batch_id and _exists(spark, before):
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(before))
+            rows = fresh.unionByName(spark.read.schema(batch.schema).parquet(before))
+        if fresh.isEmpty():
+            none = fresh.withColumn("bucket_ts", F.lit(None).cast("bigint"))
+            none.write.mode("overwrite").parquet(_part(buckets, batch_id))
+            rows.write.mode("overwrite").parquet(_part(pending, batch_id))
+            return
         counted = ordinal_batch(rows, group, size, ts, ties)
         counted.persist()
         full = bucketed(counted.where("full"), group, ts)
