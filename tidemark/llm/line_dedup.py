@@ -68,8 +68,11 @@ def entries(lines: DataFrame, threshold: int) -> DataFrame:
 def group_counts(line: Column, groups: int) -> list[Column]:
     """Per group of characters (by code point), a digest of the counts of each of its characters."""
     chars = F.sort_array(F.split(line, ""))
-    return [F.xxhash64(F.lit(g), F.array_join(F.filter(chars, lambda c, g=g: F.pmod(F.crc32(c.cast("binary")), F.lit(groups)) == g), ""))
-            for g in range(groups)]
+
+    def of(g: int) -> Column:
+        return F.filter(chars, lambda c: F.pmod(F.crc32(c.cast("binary")), F.lit(groups)) == g)
+
+    return [F.xxhash64(F.lit(g), F.array_join(of(g), "")) for g in range(groups)]
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:

@@ -13,8 +13,8 @@ and what remains is confirmed on the full sets. No group is expanded into all it
 1. Documents with equal sets are folded into one representative.
 2. The members of a band's bucket are tied to one of them, which differs from band to band.
    Confirmed ties are joined into components.
-3. Members of a bucket that are in different components after two such rounds are compared
-   across components, all of them, so that no link between components is lost.
+3. What is in different components after two such rounds is compared across components: pair by
+   pair in buckets of a few documents, on full sets in blocks where buckets are crowded.
 
 Null texts, and texts without words, have empty sets and are linked with nothing. Rows with
 equal ids share their component. Rows without an id are never linked and always kept. An empty
@@ -23,7 +23,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -40,6 +43,8 @@ EMPTY = np.uint16(0xFFFF)
 _BORROW = np.random.default_rng(20240611).integers(0, REGISTERS, (96, REGISTERS))
 # Five standard deviations of the share of equal registers below a similarity of 0.8.
 LEEWAY = 0.126
+FEW = 32  # members of a bucket that are compared pair by pair
+BLOCK = 500
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -172,6 +177,61 @@ def _links(candidates: DataFrame, links: DataFrame | None, reps: DataFrame, docs
     return links, roots
 
 
+def _shared_counts(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each of `others`, how many members it shares with each of `queries`, by an inverted index."""
+    size = np.array([len(q) for q in queries])
+    owner, all_ = np.repeat(np.arange(len(queries)), size), np.concatenate(queries)
+    order = np.argsort(all_, kind="stable")
+    owner, all_ = owner[order], all_[order]
+    keys, starts, counts = np.unique(all_, return_index=True, return_counts=True)
+    for other in others:
+        at = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
+        at = at[keys[at] == other]
+        n = counts[at]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)
+        yield np.bincount(owner[places], minlength=len(queries))
+
+
+def _across_crowds(seats: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of different components in crowded buckets (key, rep, centre0, c).
+
+    Buckets that share documents form a crowd. Of a crowd, the documents outside its largest
+    component are compared with all others on their full sets. Both are cut into blocks of
+    `BLOCK` documents; a task has one block of each, and an inverted index of the former counts
+    what each pair shares. Only links leave the task.
+    """
+    ties = stored(seats.select(F.col("rep").alias("a"), F.col("centre0").alias("b")).distinct(), "crowd-ties")
+    crowds = stored(components(ties), "crowds").toDF("rep", "crowd")
+    people = stored(seats.select("rep", "c").distinct().join(crowds, "rep"), "crowd-members")
+    parts = people.groupBy("crowd", "c").agg(F.count(F.lit(1)).alias("k"))
+    sizes = stored(parts.groupBy("crowd").agg(F.max_by("c", "k").alias("main"), F.sum("k").alias("n_all"), F.max("k").alias("n_main"))
+                   .where("n_all > n_main"), "crowd-sizes")
+    sets = _sets(docs, stored(people.select(F.col("rep").alias("id")), "crowd-ids"), size).withColumnRenamed("id", "rep")
+    p = people.join(small(sizes), "crowd").join(sets, "rep")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    p = stored(p.select("crowd", "rep", "c", "members", (F.col("c") != F.col("main")).alias("asks"),
+                        blocks(F.col("n_all")).alias("n_answers"), blocks(F.col("n_all") - F.col("n_main")).alias("n_asks")), "crowd-sets")
+    place = F.xxhash64("rep")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = p.where("asks").select("crowd", F.pmod(place, F.col("n_asks")).cast("int").alias("i"), every(F.col("n_answers")).alias("j"),
+                                    F.lit(True).alias("asking"), "rep", "c", "members")
+    answering = p.select("crowd", every(F.col("n_asks")).alias("i"), F.pmod(place, F.col("n_answers")).cast("int").alias("j"),
+                         F.lit(False).alias("asking"), "rep", "c", "members")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        q, o = group[group["asking"]], group[~group["asking"]]
+        out = []
+        if len(q) and len(o):
+            q_rep, q_c, q_size = q["rep"].to_numpy(), q["c"].to_numpy(), np.array([len(x) for x in q["members"]])
+            for rep, c, members, shared in zip(o["rep"], o["c"], o["members"], _shared_counts(list(q["members"]), list(o["members"]))):
+                hit = (100 * shared >= percent * (q_size + len(members) - shared)) & (q_c != c)
+                out += [(min(rep, x), max(rep, x)) for x in q_rep[hit]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return stored(asking.unionAll(answering).groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long"), "crowd-links").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`."""
     signed = stored(signatures(docs, size, doc_id, text), "signatures")
@@ -195,15 +255,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     again = _labelled(labelled, "centre1", roots, "c1").where((F.col("n") > 2) & (F.col("c") != F.col("c1")))
     links, roots = _links(again.select(*_ordered("rep", "centre1")), links, reps, by_id, size, percent, roots)
 
-    # What is left in a bucket: members outside its largest component against all of other components.
-    labelled = stored(_labelled(seated.select("key", "rep", "n"), "rep", roots, "c").where("n > 2"), "seated-roots")
-    counted = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = counted.groupBy("key").agg(F.max_by("c", "k").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed_ = stored(labelled.join(main, "key").select("key", "rep", "c", (F.col("c") == F.col("main")).alias("in_main")), "mixed")
-    one, other = mixed_.where("not in_main").toDF("key", "x", "c_x", "m_x"), mixed_.toDF("key", "y", "c_y", "m_y")
-    across = (one.join(other, (one["key"] == other["key"]) & (F.col("c_x") != F.col("c_y")) & (F.col("m_y") | (F.col("x") < F.col("y"))))
-              .select(*_ordered("x", "y")))
-    links, roots = _links(across, links, reps, by_id, size, percent, roots)
+    # What is left: members of a bucket outside its largest component, against those of other components.
+    labelled = stored(_labelled(seated.select("key", "rep", "n", "centre0"), "rep", roots, "c").where("n > 2"), "seated-roots")
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo != c_hi").select("key")
+    mixed = stored(labelled.join(small(stored(mixed, "mixed-keys")), "key", "left_semi"), "mixed")
+    few = mixed.where(F.col("n") <= FEW)
+    one, other = few.select("key", "rep", "c").toDF("key", "x", "c_x"), few.select("key", "rep", "c").toDF("key", "y", "c_y")
+    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")))
+    more, _ = _links(pairs.select(*_ordered("x", "y")), links, reps, by_id, size, percent, roots)
+    links = stored(more.unionAll(_across_crowds(mixed.where(F.col("n") > FEW), by_id, size, percent)), "links")
+    roots = stored(components(links), "roots")
 
     placed = _labelled(members.select("doc_id", "n_shingles", "rep"), "rep", roots, "component_id").drop("rep")
     rest = signed.where(F.col("doc_id").isNull() | F.col("whole").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

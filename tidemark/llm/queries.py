@@ -9,8 +9,10 @@ from tidemark.llm import (
     byte_bpe,
     decontaminate,
     language_model,
+    licenses,
     line_dedup,
     near_dedup,
+    pii,
     quality_fm,
     quality_rules,
     warc_zip,
@@ -18,6 +20,7 @@ from tidemark.llm import (
 from tidemark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PII_KEY = "replace-me"  # a deployment passes its own secret
 QUERIES, SQL = {}, {}
 
 
@@ -70,6 +73,15 @@ def op2_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+@query
+def op3_license_scan(spark, sf_dir):
+    """Documents as files: a source is a root, and ids in thousands and tens are directories below it."""
+    docs = table(spark, sf_dir, "documents")
+    at = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("/"),
+                  F.floor(F.col("doc_id") % 1000 / 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return licenses.scan(docs.withColumn("path", at), keep=("doc_id",))
+
+
 @query
 def op4_factorisation_machine(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -102,3 +114,10 @@ def op8_winnowing(spark, sf_dir):
 @query
 def op9_log_bilinear(spark, sf_dir):
     return language_model.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_surrogates(spark, sf_dir):
+    out = pii.pseudonymised(table(spark, sf_dir, "documents"), key=PII_KEY)
+    counts = [f"n_{k}" for k in pii.TYPES]
+    return out.select(F.col("row").getField("doc_id").alias("doc_id"), *counts, F.sha2(F.col("replaced").cast("binary"), 256).alias("replaced_sha256"))
