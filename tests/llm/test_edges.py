@@ -132,7 +132,7 @@ def test_edit_links_are_complete(spark, monkeypatch, threshold):
 
 def test_repeated_lines_leave_later_documents(spark):
     a, b, c = ("the quick brown fox jumps over the dog " * 2, "another line that is long enough to count here", "a third line, which nobody has seen before now")
-    docs = [(1, f"{a}\nshort\n{b}", 1), (2, f"{a[:-3]}XX\nshort\n{c}", 2), (3, f"{b}\n\n{a}", 3), (4, "short\nshort", 4), (5, f"{c}\n{c}\nshort", 5)]
+    docs = [(1, f"{a}\nshort\n{b}", 1), (2, f"{a[:-2]}X\nshort\n{c}", 2), (3, f"{b}\n\n{a}", 3), (4, "short\nshort", 4), (5, f"{c}\n{c}\nshort", 5)]
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string, places long")).collect()}
     assert out == {1: docs[0][1], 2: f"short\n{c}", 4: "short\nshort", 5: "short"}
 
