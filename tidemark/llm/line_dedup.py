@@ -32,37 +32,30 @@ _SPACE = r"^[\s\x1c-\x1f]*$"
 PLACES = 1 << 31
 
 
-def segment(line: str | Column, length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Place (from 1) and size of segment i of `parts` of a line of `length` characters; the last
-    ones are longer by one where the length does not divide."""
-    size = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")
-    first_longer = parts - longer
-    place = F.lit(1) + i * size + F.greatest(F.lit(0), i - first_longer)
-    return place, size + (F.lit(i) >= first_longer).cast("int")
-
-
 def entries(lines: DataFrame, threshold: int) -> DataFrame:
-    """key, id, own, length, groups...: each line under its own segments (own) and what it probes."""
-    parts, length = threshold + 1, F.length("line")
-    rows = []
-    for i in range(parts):
-        place, size = segment("line", length, i, parts)
-        rows.append(F.struct(F.xxhash64(length, F.lit(i), F.substring("line", place, size)).alias("key"), F.lit(True).alias("own")))
+    """id, key, own: each line under its own segments, and what it probes."""
+    parts = threshold + 1
+    looks = []  # characters fewer than the line, segment, shift
     for less in range(threshold + 1):
-        l = length - less
         for i in range(parts):
-            place, size = segment("line", l, i, parts)
             # Shifts that leave no more edits on either side of the segment than there are.
             lo, hi = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
-            for shift in range(lo, hi + 1):
-                if less == 0 and shift == 0:
-                    continue  # the line's own entry
-                at = place + shift
-                key = F.xxhash64(l, F.lit(i), F.substring("line", at, size))
-                rows.append(F.when((at >= 1) & (at + size - 1 <= length), F.struct(key.alias("key"), F.lit(False).alias("own"))))
-    return (lines.select("id", F.explode(F.array(*rows)).alias("e")).where("e is not null")
-            .select("id", "e.key", "e.own"))
+            looks += [(less, i, shift) for shift in range(lo, hi + 1)]
+    names = ("less", "i", "shift")
+    # A short loop over a constant: written out, the code would be too long for the JVM to compile.
+    specs = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, look)]) for look in looks])
+
+    def entry(s: Column) -> Column:
+        length = F.col("length") - s["less"]
+        size, first_longer = F.floor(length / parts).cast("int"), parts - length % parts
+        place = s["i"] * size + F.greatest(F.lit(0), s["i"] - first_longer) + 1 + s["shift"]
+        size = size + (s["i"] >= first_longer).cast("int")
+        key = F.xxhash64(length, s["i"], F.substring("line", place, size))
+        return F.when((place >= 1) & (place + size - 1 <= F.col("length")),
+                      F.struct(key.alias("key"), ((s["less"] == 0) & (s["shift"] == 0)).alias("own")))
+
+    measured = lines.select("id", "line", F.length("line").alias("length"))
+    return measured.select("id", F.explode(F.transform(specs, entry)).alias("e")).where("e is not null").select("id", "e.key", "e.own")
 
 
 def group_counts(line: Column, groups: int) -> list[Column]:
@@ -93,15 +86,18 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
             out.append(levels[e].bitwiseOR(F.shiftleft(out[e - 1], 1).bitwiseAND(F.lit(full))))
         return out
 
-    def step(acc: Column, i: Column) -> Column:
-        equal = F.lit(0)
+    def equal(i: Column) -> Column:
+        bits = F.lit(0)
         for d in range(2 * k + 1):  # beyond the ends get() gives null, which equals nothing
-            equal = equal.bitwiseOR(F.when(F.get(a, i - 1) == F.get(b, i - 1 + (d - k)), 1 << d).otherwise(0))
+            bits = bits.bitwiseOR(F.when(F.get(a, i - 1) == F.get(b, i - 1 + (d - k)), 1 << d).otherwise(0))
+        return bits
+
+    def step(acc: Column, bits: Column) -> Column:
         levels = [acc[f"l{e}"] for e in range(k + 1)]
-        moved = [levels[0].bitwiseAND(equal)]
+        moved = [levels[0].bitwiseAND(bits)]
         for e in range(1, k + 1):
             # Equal characters, another character, or one only in a.
-            moved.append(levels[e].bitwiseAND(equal).bitwiseOR(levels[e - 1]).bitwiseOR(F.shiftright(levels[e - 1], 1)))
+            moved.append(levels[e].bitwiseAND(bits).bitwiseOR(levels[e - 1]).bitwiseOR(F.shiftright(levels[e - 1], 1)))
         return F.struct(*[x.alias(f"l{e}") for e, x in enumerate(insertions(moved))])
 
     start = insertions([F.lit(1 << k)] + [F.lit(0)] * k)
@@ -115,7 +111,7 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
         return out
 
     return F.when(F.size(a) == 0, F.size(b)).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), first, step, least))
+        F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), equal), first, step, least))
 
 
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -141,7 +137,9 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     both = pairs.join(texts_.toDF("a", "line_a"), "a").join(texts_.toDF("b", "line_b"), "b")
     both = both.where(F.abs(F.length("line_a") - F.length("line_b")) <= threshold)
     both = both.select("a", "b", F.split("line_a", "").alias("chars_a"), F.split("line_b", "").alias("chars_b"))
-    return both.where(banded_distance(F.col("chars_a"), F.col("chars_b"), threshold) <= threshold).select("a", "b")
+    # Written before it is filtered: a filter would be moved below, and split both lines anew for every character.
+    far = stored(both.select("a", "b", banded_distance(F.col("chars_a"), F.col("chars_b"), threshold).alias("far")), "line-distances")
+    return far.where(F.col("far") <= threshold).select("a", "b")
 
 
 def split_lines(text: Column) -> Column:
@@ -180,8 +178,8 @@ def judged(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHA
            text: str = "text") -> DataFrame:
     """row (all columns), kept_text, n_lines (that take part), n_dropped, emptied for every row of `docs`."""
     kept = kept_places(line_classes(docs, threshold, min_chars, doc_id, text).select("first", "root"))
-    d = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("own_id"), split_lines(F.col(text)).alias("lines"))
-    d = d.join(kept, F.col("own_id") == F.col("kept_id"), "left")
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("own_id"))
+    d = d.join(kept, F.col("own_id") == F.col("kept_id"), "left").withColumn("lines", split_lines(F.col("row").getField(text)))
     none = F.array().cast("array<int>")
     stays = F.filter("lines", lambda x, i: ~takes_part(x, min_chars) | F.array_contains(F.coalesce("places", none), i))
     d = d.select("row", "lines", F.when(F.col("own_id").isNull(), F.col("lines")).otherwise(stays).alias("stays"))
