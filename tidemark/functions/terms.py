@@ -68,6 +68,15 @@ def retarget_query(text, old, new) -> Column:
     return F.when(at > 0, F.overlay(text, new, at, F.length(old))).otherwise(text)
 
 
+def joined_text(*values) -> Column:
+    """Values as one text from which each could be read again: separators in them are escaped, and
+    null differs from every text."""
+    if not values:
+        return F.lit("")
+    parts = [F.regexp_replace(_col(v).cast("string"), r"([\\|])", r"\\$1") for v in values]
+    return F.concat_ws("|", *[F.coalesce(p, F.lit("\\N")) for p in parts])
+
+
 def event_iri(query_hash_, var, start, base) -> Column:
     """Id of a result event. It is a digest of what the event is, so re-runs write the same."""
     key = F.concat_ws("|", _col(query_hash_), _col(var), _col(start).cast("string"))

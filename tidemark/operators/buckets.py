@@ -81,7 +81,7 @@ def _assign_small(members, bounds, by, ts, size) -> DataFrame:
         F.col("value").alias("_value"), F.col("until").alias("_until"), F.col("node").alias("_node"),
     )
     keyed = members.withColumn("_cell", F.least(time_cell(ts, cell_ms), F.lit(last_cell)))
-    on = [F.col(c) == F.col(f"_{c}") for c in by] + [
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [
         F.col("_cell") == F.col("_cell_of"),
         F.col(ts) >= F.col("_value"),
         F.col("_until").isNull() | (F.col(ts) < F.col("_until")),
@@ -172,7 +172,9 @@ def initial_load(
     placed = assign_bucket(members, index, ts=ts, cell_ms=cell_ms)
     first = earliest_ts(members, [root], ts)
     new_bucket = F.concat(root, epoch_ms("earliest").cast("string"), F.lit("/"))
-    loaded = placed.join(first, root).withColumn(
-        "bucket", F.when(F.col("bucket") == NO_BUCKET, new_bucket).otherwise(F.col("bucket"))
+    # Null-safe: members of no known stream are loaded too, and keep `none` where no bound applies.
+    first = first.withColumnRenamed(root, "_root")
+    loaded = placed.join(first, F.col(root).eqNullSafe(F.col("_root")), "left").withColumn(
+        "bucket", F.when(F.col("bucket") == NO_BUCKET, F.coalesce(new_bucket, F.lit(NO_BUCKET))).otherwise(F.col("bucket"))
     )
-    return rebalance(loaded.drop("earliest"), size, (root, "bucket"), ts, ties, cell_ms)
+    return rebalance(loaded.drop("earliest", "_root"), size, (root, "bucket"), ts, ties, cell_ms)

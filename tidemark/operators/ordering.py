@@ -125,7 +125,9 @@ def earliest(df: DataFrame, event: Sequence[str], by: Sequence[str] = (), ts: st
     then compared; taking the whole event along at once would sort all rows.
     """
     least = df.groupBy(*by).agg(F.min(ts).alias(ts))
-    nearest = df.join(least, [*by, ts], "left_semi")
+    least = least.select(*[F.col(c).alias(f"_least_{c}") for c in (*by, ts)])
+    on = [F.col(c).eqNullSafe(F.col(f"_least_{c}")) for c in by] + [F.col(ts) == F.col(f"_least_{ts}")]
+    nearest = df.join(least, on, "left_semi")
     first = F.min_by(F.struct(*event), seq).alias("_first")
     return nearest.groupBy(*by).agg(first).where(F.col("_first").isNotNull()).select(*by, "_first.*")
 
@@ -133,5 +135,9 @@ def earliest(df: DataFrame, event: Sequence[str], by: Sequence[str] = (), ts: st
 def first_object(triples: DataFrame, predicate: str, by: Sequence[str] = (), seq: str = "seq") -> DataFrame:
     """Object of the first triple with this predicate, else an empty text."""
     hits = triples.where(F.col("p") == predicate).groupBy(*by).agg(F.min_by("o", seq).alias("_o"))
-    found = triples.select(*by).distinct().join(hits, list(by), "left") if by else hits
+    if by:
+        keys, hits = triples.select(*by).distinct(), hits.select("_o", *[F.col(c).alias(f"_of_{c}") for c in by])
+        found = keys.join(hits, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], "left")
+    else:
+        found = hits
     return found.select(*by, F.coalesce("_o", F.lit("")).alias("first_object"))

@@ -137,8 +137,16 @@ def equivalence_key(catalog: DataFrame) -> DataFrame:
             t.startswith("?"), F.concat(F.lit("?"), F.array_position(F.col("_v"), t).cast("string"))
         ).otherwise(t)
 
+    # What the clause shapes leave unread, without white space: texts that differ there are taken to differ.
+    unread = F.col("query_text")
+    for clause in (REGISTER_CLAUSE, WINDOW_CLAUSE, PREFIX_CLAUSE, AGGREGATE_ITEM, WINDOW_BLOCK):
+        unread = F.regexp_replace(unread, clause, " ")
+    blocks = F.regexp_extract_all("query_text", F.lit(WINDOW_BLOCK), F.lit(2))
+    in_blocks = F.transform(blocks, lambda b: F.regexp_replace(F.regexp_replace(b, TRIPLE_PATTERN, " "), r"\s", ""))
     key = F.concat_ws(
         "\n",
+        F.regexp_replace(unread, r"\s", ""),
+        F.array_join(F.array_sort(in_blocks), ";"),
         F.col("r2s_operator"),
         F.array_join(F.array_sort(F.transform(windows, described)), ";"),
         F.array_join(F.array_sort(F.transform("aggregates", lambda a: F.concat_ws(

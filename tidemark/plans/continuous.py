@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.model import HAS_VALUE, RELATES_TO_PROPERTY, TRIPLE, ContinuousQuery
+from tidemark.model import TRIPLE, ContinuousQuery
+from tidemark.operators.observed import matching, value_variables
 from tidemark.operators.patterns import bgp, scope
 from tidemark.operators.windows import aggregate, assign_windows, r2s, windowed
 
@@ -15,11 +16,6 @@ from tidemark.operators.windows import aggregate, assign_windows, r2s, windowed
 NUMERIC = ("max", "min", "avg", "sum")
 
 
-def _literals(query: ContinuousQuery) -> set[str]:
-    """Variables that stand for measured values."""
-    return {p.o[1:] for p in query.patterns if p.p == HAS_VALUE and p.o.startswith("?")}
-
-
 def over_triples(query: ContinuousQuery, triples: DataFrame) -> DataFrame:
     """Answers a query over triples: each window's triples form one graph (a set), the
     pattern is matched over all of it, and its solutions are aggregated."""
@@ -32,9 +28,9 @@ def over_triples(query: ContinuousQuery, triples: DataFrame) -> DataFrame:
         rows = rows.where(F.col("p").isin(*named))
     graph = assign_windows(rows.select("ts", *TRIPLE), spec).select("window", *TRIPLE).distinct()
     solutions = bgp(graph, query.patterns, ["window"])
-    for agg in query.aggregates:
-        if agg.func in NUMERIC and agg.var in _literals(query):
-            solutions = solutions.withColumn(agg.var, F.col(agg.var).try_cast("double"))
+    # Means and sums are of numbers; the least and greatest may also be an IRI or a text.
+    numbers = {a.var for a in query.aggregates if a.func in ("avg", "sum") or a.func in NUMERIC and a.var in value_variables(query)}
+    solutions = solutions.withColumns({v: F.col(v).try_cast("double") for v in sorted(numbers)})
     found = aggregate(solutions, query.aggregates, ["window", *query.group_by], query.having)
     return r2s(found, spec, query.r2s)
 
@@ -43,16 +39,9 @@ def over_observations(query: ContinuousQuery, observations: DataFrame, propertie
     """The same over observations, for patterns that ask for the value of given properties.
 
     One row per member holds both value and property, so there is nothing to join: the
-    properties filter, which reaches the scan, and the windows aggregate.
+    properties filter, which reaches the scan, and the windows aggregate. Raises for several
+    windows and for patterns that observations cannot answer.
     """
-    spec = query.windows[0]
-    rows = observations
-    if spec.stream:
-        rows = rows.where(F.col("stream") == spec.stream)
-    wanted = list(properties) or [p.o for p in query.patterns if p.p == RELATES_TO_PROPERTY]
-    if wanted:
-        rows = rows.where(F.col("property").isin(*wanted))
-    for name in _literals(query):
-        rows = rows.withColumn(name, F.col("value"))
+    rows, spec = matching(query, observations, properties), query.windows[0]
     found = windowed(rows, spec, query.aggregates, query.group_by, having=query.having)
     return r2s(found, spec, query.r2s)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import event_iri, iso_ms
+from tidemark.functions import event_iri, iso_ms, joined_text
 from tidemark.model import (
     DERIVED_FROM,
     EVENT_BASE,
@@ -41,7 +41,7 @@ def result_events(
     """
     rows = explode_bindings(flat(windowed_df), aggs, ["w_start", "w_end", *by])
     named = rows.withColumn("query_hash", query_hash)
-    key = F.concat_ws("|", "var", *by)
+    key = joined_text("var", *by)
     return named.select(
         event_iri("query_hash", key, F.col("w_start"), event_base).alias("event_id"),
         "query_hash", *by, "var", "value",

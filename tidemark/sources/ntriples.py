@@ -14,6 +14,8 @@ STATEMENT = (
     rf"(?:<([^<>\"\s]*)>|({_BNODE})|({_QUOTED})(?:\^\^<([^<>\"\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)"
     r"\s*\."
 )
+# A sign outside of terms begins a comment that ends with the line.
+COMMENT = r"^((?:[^#<\"]++|<[^<>\"\s]*+>|" + _QUOTED + r")*+)#.*$"
 COMMENT_OR_BLANK = r"^\s*(?:#.*)?$"
 _EDGE, _GAP = "\u0001", "\u0002"
 
@@ -35,6 +37,7 @@ def _pieces(col: str) -> Column:
     line = F.col(col)
     for mark in (_EDGE, _GAP):
         line = F.replace(line, F.lit(mark), F.lit(f"\\u{ord(mark):04X}"))
+    line = F.regexp_replace(line, COMMENT, "$1")
     groups = _GAP.join(f"${i}" for i in range(1, 9))
     return F.split(F.regexp_replace(line, STATEMENT, f"{_EDGE}{groups}{_EDGE}"), _EDGE)
 
@@ -42,7 +45,7 @@ def _pieces(col: str) -> Column:
 def parse_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
     """Statements of each line as `s, p, o, o_type, o_datatype, o_lang`, other columns kept.
 
-    A line may hold several statements. What is no statement yields nothing here; see
+    A line may hold several statements, and a comment after them. What is no statement yields nothing here; see
     `malformed_lines`.
     """
     keep = [c for c in lines.columns if c != col]

@@ -51,7 +51,9 @@ def publish_stream(
         batch.write.mode("overwrite").parquet(_part(arrived, batch_id))
         fresh = spark.read.schema(batch.schema).parquet(_part(arrived, batch_id))
         rows, before = fresh, _part(pending, batch_id - 1)
-        if batch_id and _exists(spark, before):
+        if batch_id:
+            if not _exists(spark, before):
+                raise RuntimeError(f"{before} is gone: rows that wait for a full batch would be lost")
             rows = fresh.unionByName(spark.read.schema(batch.schema).parquet(before))
         if fresh.isEmpty():
             none = fresh.withColumn("bucket_ts", F.lit(None).cast("bigint"))
@@ -87,7 +89,9 @@ def r2s_stream(results: DataFrame, folder: str, spec: WindowSpec, mode: str) ->
         batch.write.mode("overwrite").parquet(_part(closed, batch_id))
         rows = spark.read.schema(batch.schema).parquet(_part(closed, batch_id))
         upto, newest = None, rows.agg(F.max(end).alias("upto")).first()["upto"]
-        if batch_id and _exists(spark, _part(done, batch_id - 1)):
+        if batch_id:
+            if not _exists(spark, _part(done, batch_id - 1)):
+                raise RuntimeError(f"{_part(done, batch_id - 1)} is gone: changes since the last micro-batch would be lost")
             upto = spark.read.schema("upto timestamp").parquet(_part(done, batch_id - 1)).first()["upto"]
             rows = rows.unionByName(spark.read.schema(batch.schema).parquet(_part(recent, batch_id - 1)))
         newest = newest or upto
