@@ -58,7 +58,7 @@ def test_annotation(spark):
     when = F.col("registered_at")
     note = publish.annotate_queries(query_catalog(table(spark, Q_MAX)), when, when, when)
     row = note.first()
-    assert (row["window_size"], row["window_slide"], row["projection_variable"]) == (180000, 30000, "maxSKT")
+    assert (row["window_size"], row["window_slide"], row["projection_variable"]) == (90000, 15000, "peak")
     assert row["focus"] == "http://sensor.example/wearable.skt"
     triples = publish.annotation_triples(note)
     assert triples.count() == 29

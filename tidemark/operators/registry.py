@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expand_iri, query_hash, retarget_query
 
-# Shapes of the clauses that a query text consists of.
-REGISTER_CLAUSE = r"(?m)^\s*REGISTER +(RStream|IStream|DStream) +<([^>]+)> AS"
+# Clauses of a query text as the published grammar has them: any white space, keywords in any
+# case, names as IRIs or prefixed names, durations in milliseconds or as ISO 8601.
+_NAME = r"(?:<[^<>\s]*>|[^\s<>\[\]{}()]*:[^\s<>\[\]{}()]*)"
+REGISTER_CLAUSE = rf"(?i)\bREGISTER\s+([RID]STREAM)\s+({_NAME})\s+AS\b"
 WINDOW_CLAUSE = (
-    r"(?m)^\s*FROM +NAMED +WINDOW +([^ ]+) +ON +STREAM +([^ ]+) +\[RANGE +([^ ]+) +STEP +([^ ]+)\]"
+    rf"(?i)\bFROM\s+NAMED\s+WINDOW\s+({_NAME})\s+ON\s+(?:STREAM\s+)?({_NAME})\s*"
+    r"\[\s*RANGE\s+([^\s\]]+)(?:\s+(?:STEP|SLIDE)\s+([^\s\]]+)|\s+TUMBLING)?\s*\]"
 )
-PREFIX_CLAUSE = r"(?m)^\s*PREFIX +([^:]*): +<([^>]+)>"
+PREFIX_CLAUSE = r"(?i)\bPREFIX\s+([^\s:<>]*):\s*<([^<>\s]*)>"
+_ISO_DURATION = r"(?i)^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d{1,3})?)S)?)?$"
 AGGREGATE_ITEM = (
     r"(?i)\(\s*(COUNT|SUM|MIN|MAX|AVG|SAMPLE|GROUP_CONCAT)\s*\(\s*(DISTINCT\s+)?\?(\w+)\s*\)\s+AS\s+\?(\w+)\s*\)"
 )
@@ -24,11 +28,17 @@ def _all(text: Column, regex: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(regex), F.lit(group))
 
 
+def duration_ms(text: Column) -> Column:
+    """Milliseconds of a count of them or of an ISO 8601 duration; null for anything else."""
+    part = [F.coalesce(F.regexp_extract(text, _ISO_DURATION, i).try_cast("decimal(18,3)"), F.lit(0)) for i in range(1, 5)]
+    total = sum((p * ms for p, ms in zip(part, (86_400_000, 3_600_000, 60_000, 1000))), F.lit(0)).cast("bigint")
+    return F.when(text.rlike(_ISO_DURATION) & text.rlike(r"\d"), total).otherwise(text.try_cast("bigint"))
+
+
 def query_catalog(queries: DataFrame) -> DataFrame:
     """Query texts to typed columns: r2s, windows, prefixes, aggregates, patterns.
 
-    Works on the clause shapes above, upper-case clause keywords at the start of a line.
-    A text without a REGISTER clause counts as RStream.
+    A window without a step moves by its width. A text without a REGISTER clause counts as RStream.
     """
     text = F.col("query_text")
     names, streams = _all(text, WINDOW_CLAUSE, 1), _all(text, WINDOW_CLAUSE, 2)
@@ -36,8 +46,9 @@ def query_catalog(queries: DataFrame) -> DataFrame:
     operator = F.regexp_extract(text, REGISTER_CLAUSE, 1)
     # Each array is read from the text once, in a step of its own, and then used by name.
     read = queries.withColumns({
-        "r2s_operator": F.when(operator == "", F.lit("RStream")).otherwise(operator),
-        "r2s_name": F.regexp_extract(text, REGISTER_CLAUSE, 2),
+        "r2s_operator": F.when(operator == "", F.lit("RStream")).otherwise(
+            F.concat(F.upper(F.substring(operator, 1, 1)), F.lit("Stream"))),
+        "r2s_name": F.regexp_replace(F.regexp_extract(text, REGISTER_CLAUSE, 2), "^<|>$", ""),
         "_k": F.arrays_zip(
             _all(text, PREFIX_CLAUSE, 1).alias("key"), _all(text, PREFIX_CLAUSE, 2).alias("value")
         ),
@@ -78,8 +89,8 @@ def query_catalog(queries: DataFrame) -> DataFrame:
         "windows": F.transform("_w", lambda w: F.struct(
             expand_iri(w["name"], prefixes).alias("name"),
             expand_iri(w["stream"], prefixes).alias("stream"),
-            w["width"].try_cast("bigint").alias("width"),
-            w["slide"].try_cast("bigint").alias("slide"),
+            duration_ms(w["width"]).alias("width"),
+            duration_ms(F.when(w["slide"] == "", w["width"]).otherwise(w["slide"])).alias("slide"),
         )),
         "aggregates": F.transform("_a", lambda a: F.struct(
             F.lower(a["func"]).alias("func"), (a["distinct"] != "").alias("distinct"),
