@@ -59,7 +59,7 @@ def test_annotation(spark):
     note = publish.annotate_queries(query_catalog(table(spark, Q_MAX)), when, when, when)
     row = note.first()
     assert (row["window_size"], row["window_slide"], row["projection_variable"]) == (90000, 15000, "peak")
-    assert row["focus"] == "http://sensor.example/wearable.skt"
+    assert row["focus"] == "http://plant.test/kinds/pressure.upper"
     triples = publish.annotation_triples(note)
     assert triples.count() == 29
     stated = {r["p"]: r["o"] for r in triples.collect()}
