@@ -11,6 +11,8 @@ from tidemark.sources.ntriples import parse_ntriples
 from tidemark.sources.notifications import parse_notifications, route_notifications
 from test_registry import Q_MAX, table
 
+from tidemark.model import RELATES_TO_PROPERTY
+
 import pytest
 
 T0 = datetime(2024, 1, 1)
@@ -55,8 +57,9 @@ def test_result_triples(spark):
 
 
 def test_annotation(spark):
+    text = Q_MAX.replace("core:kind", f"<{RELATES_TO_PROPERTY}>")
     when = F.col("registered_at")
-    note = publish.annotate_queries(query_catalog(table(spark, Q_MAX)), when, when, when)
+    note = publish.annotate_queries(query_catalog(table(spark, text)), when, when, when)
     row = note.first()
     assert (row["window_size"], row["window_slide"], row["projection_variable"]) == (90000, 15000, "peak")
     assert row["focus"] == "http://plant.test/kinds/pressure.upper"
@@ -64,7 +67,7 @@ def test_annotation(spark):
     assert triples.count() == 29
     stated = {r["p"]: r["o"] for r in triples.collect()}
     assert stated["http://www.example.org/has_query_hash"] == row["query_hash"]
-    assert stated["http://www.example.org/has_query_string"] == Q_MAX
+    assert stated["http://www.example.org/has_query_string"] == text
 
 
 def test_index_triples_and_latest_bucket(spark):
