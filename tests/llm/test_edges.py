@@ -4,6 +4,7 @@ that small tables do not take by themselves."""
 import io
 import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -137,6 +138,21 @@ def test_repeated_lines_leave_later_documents(spark):
     assert out == {1: docs[0][1], 2: f"short\n{c}", 4: "short\nshort", 5: "short"}
 
 
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    a, b, c = (x * 40 for x in "abc")
+    docs = [(1, f"{a}\n{b}"), (2, f"{c}\nshort\n{b}"), (2, f"short\n{a}\n{a}\n{a}"), (None, a), (3, None), (4, "")]
+    out = line_dedup.judged(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {(r["row"]["doc_id"], r["row"]["text"]): (r["kept_text"], r["n_lines"], r["n_dropped"], r["emptied"]) for r in out}
+    assert got == {docs[0]: (docs[0][1], 2, 0, False), docs[1]: (f"{c}\nshort", 2, 1, False), docs[2]: ("short", 3, 3, False),
+                   docs[3]: (a, 1, 0, False), docs[4]: (None, 0, 0, False), docs[5]: ("", 0, 0, False)}
+
+
+def test_character_groups_are_disjoint_and_complete():
+    groups = [re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: rf"\U{int(m[1], 16):08X}", x)) for x in line_dedup.character_groups(5)]
+    for c in [*range(0x2000), 0x4E2D, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]:
+        assert sum(not g.fullmatch(chr(c)) for g in groups) == 1
+
+
 def test_blocks_of_items_agree_with_one_block(spark, documents):
     rows = [(d["doc_id"], d["text"]) for d in documents[:300]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

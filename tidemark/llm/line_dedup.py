@@ -4,7 +4,8 @@ Lines of `min_chars` characters or more that differ by at most `threshold` edits
 A line of l characters is cut into threshold + 1 segments; if another line is within the
 threshold, one segment occurs in it unchanged, at a place that the lengths narrow to a few. So
 each line is entered under its segments, and probes, for each length it may be linked with, the
-few substrings that can be such a segment. Candidates are verified by edit distance.
+few substrings that can be such a segment. Of candidates cut into `PIECES` pieces, all but
+`threshold` must be found again; what passes is verified by banded bit-parallel edit distance.
 
 Segments held by many lines would make all pairs candidates. An edit changes the counts of at
 most two characters, so of 2 * threshold + 1 groups of characters one keeps all its counts:
@@ -28,6 +29,7 @@ from tidemark.session import stored
 
 THRESHOLD, MIN_CHARS = 2, 30
 CROWDED = 24
+PIECES = 16
 _SPACE = r"^[\s\x1c-\x1f]*$"
 PLACES = 1 << 31
 
@@ -41,31 +43,75 @@ def entries(lines: DataFrame, threshold: int) -> DataFrame:
             # Shifts that leave no more edits on either side of the segment than there are.
             lo, hi = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
             looks += [(less, i, shift) for shift in range(lo, hi + 1)]
-    names = ("less", "i", "shift")
-    # A short loop over a constant: written out, the code would be too long for the JVM to compile.
-    specs = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, look)]) for look in looks])
+    # Exploded, not transformed: rows of a constant table run in compiled code, lambdas do not.
+    specs = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("less", "i", "shift"), look)]) for look in looks])
+    e = lines.select("id", "line", F.length("line").alias("own_length"), F.explode(specs).alias("s")).select("id", "line", "own_length", "s.*")
+    length = F.col("own_length") - F.col("less")
+    size, first_longer = F.floor(length / parts).cast("int"), parts - length % parts
+    e = e.select("id", "line", "own_length", "less", "i", "shift", length.alias("length"),
+                 (F.col("i") * size + F.greatest(F.lit(0), F.col("i") - first_longer) + 1 + F.col("shift")).alias("place"),
+                 (size + (F.col("i") >= first_longer).cast("int")).alias("size"))
+    e = e.where((F.col("place") >= 1) & (F.col("place") + F.col("size") - 1 <= F.col("own_length")))
+    key = F.xxhash64("length", "i", F.substring("line", F.col("place"), F.col("size")))
+    return e.select("id", key.alias("key"), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"))
+
+
+def character_groups(groups: int) -> list[str]:
+    """Regular expressions of what is not in a group; each code point is in one of the groups.
+
+    ASCII is dealt out one by one, further letters by blocks of 16 and from U+0600 by blocks of 256;
+    what lies beyond the basic plane is in the first group.
+    """
+    blocks = [(c, c) for c in range(0x80)] + [(c, c + 15) for c in range(0x80, 0x600, 16)] + [(c, c + 255) for c in range(0x600, 0x10000, 256)]
+    of = [""] * groups
+    for k, (lo, hi) in enumerate(blocks):
+        of[k % groups] += rf"\x{{{lo:X}}}" + (rf"-\x{{{hi:X}}}" if hi > lo else "")
+    of[0] += r"\x{10000}-\x{10FFFF}"
+    return [f"[^{x}]+" for x in of]
+
 
-    def entry(s: Column) -> Column:
-        length = F.col("length") - s["less"]
-        size, first_longer = F.floor(length / parts).cast("int"), parts - length % parts
-        place = s["i"] * size + F.greatest(F.lit(0), s["i"] - first_longer) + 1 + s["shift"]
-        size = size + (s["i"] >= first_longer).cast("int")
-        key = F.xxhash64(length, s["i"], F.substring("line", place, size))
-        return F.when((place >= 1) & (place + size - 1 <= F.col("length")),
-                      F.struct(key.alias("key"), ((s["less"] == 0) & (s["shift"] == 0)).alias("own")))
+def group_counts(line: Column, groups: int) -> list[Column]:
+    """Per group of characters, a digest of the counts of each of its characters."""
+    out = []
+    for g, other in enumerate(character_groups(groups)):
+        kept = F.translate(line, "".join(chr(c) for c in range(0x80) if c % groups != g), "")
+        kept = F.when(F.octet_length(line) == F.length(line), kept).otherwise(F.regexp_replace(kept, other, ""))
+        out.append(F.xxhash64(F.lit(g), F.array_join(F.sort_array(F.split(kept, "")), "")))
+    return out
 
-    measured = lines.select("id", "line", F.length("line").alias("length"))
-    return measured.select("id", F.explode(F.transform(specs, entry)).alias("e")).where("e is not null").select("id", "e.key", "e.own")
 
+def pieces_found(a: Column, b: Column, pieces: int, reach: int) -> Column:
+    """How many of the `pieces` equal parts of `a` occur in `b` unchanged, `reach` places away at most."""
+    n = F.length(a)
 
-def group_counts(line: Column, groups: int) -> list[Column]:
-    """Per group of characters (by code point), a digest of the counts of each of its characters."""
-    chars = F.sort_array(F.split(line, ""))
+    def found(k: int) -> Column:
+        start, end = F.floor(n * k / pieces).cast("int"), F.floor(n * (k + 1) / pieces).cast("int")
+        part = F.substring(a, start + 1, end - start)
+        return F.contains(F.substring(b, F.greatest(F.lit(1), start + 1 - reach), end - start + 2 * reach), part).cast("int")
+
+    out = found(0)
+    for k in range(1, pieces):
+        out = out + found(k)
+    return out
+
+
+def cores(pairs: DataFrame, pieces: int) -> DataFrame:
+    """a, b, and as arrays of characters what is left of line_a and line_b without what they begin and end with
+    alike, to the nearest of `pieces` cuts. Their edit distance is that of the lines."""
+    n, m = F.col("n"), F.col("m")
+    cuts = [F.floor(n * k / pieces).cast("int") for k in range(1, pieces + 1)]
+    p = pairs.withColumns({"n": F.length("line_a"), "m": F.length("line_b")})
+    head = [F.when(F.substring("line_a", F.lit(1), c) == F.substring("line_b", F.lit(1), c), c).otherwise(0) for c in cuts]
+    p = p.withColumn("head", F.greatest(*head))
+    room = F.least(n, m) - F.col("head")
+    tail = [F.when((c <= room) & (F.substring("line_a", n - c + 1, c) == F.substring("line_b", m - c + 1, c)), c).otherwise(0) for c in cuts]
+    p = p.withColumn("tail", F.greatest(*tail))
 
-    def of(g: int) -> Column:
-        return F.filter(chars, lambda c: F.pmod(F.crc32(c.cast("binary")), F.lit(groups)) == g)
+    def core(line: str, length: Column) -> Column:
+        rest = length - F.col("head") - F.col("tail")
+        return F.when(rest > 0, F.split(F.substring(line, F.col("head") + 1, rest), "")).otherwise(F.array().cast("array<string>"))
 
-    return [F.xxhash64(F.lit(g), F.array_join(of(g), "")) for g in range(groups)]
+    return p.select("a", "b", core("line_a", n).alias("chars_a"), core("line_b", m).alias("chars_b"))
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -125,7 +171,8 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     crowded = met.where(F.col("n") > CROWDED).select("id", "own", "key")
     ids = stored(met.select("id").distinct(), "segment-lines")
     texts_ = stored(lines.join(small(ids), "id", "left_semi"), "segment-texts")
-    counts = texts_.select(F.col("id").alias("of"), F.array(*group_counts(F.col("line"), groups)).alias("counts"))
+    counts = texts_.join(small(stored(crowded.select("id").distinct(), "crowded-lines")), "id", "left_semi")
+    counts = stored(counts.select(F.col("id").alias("of"), F.array(*group_counts(F.col("line"), groups)).alias("counts")), "character-counts")
     finer = (crowded.join(counts, F.col("id") == F.col("of"))
              .select("id", "own", "key", F.posexplode("counts").alias("g", "count"))
              .select("id", "own", F.xxhash64("key", "g", "count").alias("key")))
@@ -135,8 +182,10 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = own.join(probe, (F.col("key_x") == F.col("key_y")) & (F.col("x") != F.col("y")) & (~F.col("own_y") | (F.col("x") < F.col("y"))))
     pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
     both = pairs.join(texts_.toDF("a", "line_a"), "a").join(texts_.toDF("b", "line_b"), "b")
-    both = both.where(F.abs(F.length("line_a") - F.length("line_b")) <= threshold)
-    both = both.select("a", "b", F.split("line_a", "").alias("chars_a"), F.split("line_b", "").alias("chars_b"))
+    # An edit touches one piece at most; all others are found again.
+    both = both.where((F.abs(F.length("line_a") - F.length("line_b")) <= threshold)
+                      & (pieces_found(F.col("line_a"), F.col("line_b"), PIECES, threshold) >= PIECES - threshold))
+    both = cores(both, PIECES)
     # Written before it is filtered: a filter would be moved below, and split both lines anew for every character.
     far = stored(both.select("a", "b", banded_distance(F.col("chars_a"), F.col("chars_b"), threshold).alias("far")), "line-distances")
     return far.where(F.col("far") <= threshold).select("a", "b")
@@ -181,14 +230,17 @@ def judged(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHA
     d = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("own_id"))
     d = d.join(kept, F.col("own_id") == F.col("kept_id"), "left").withColumn("lines", split_lines(F.col("row").getField(text)))
     none = F.array().cast("array<int>")
-    stays = F.filter("lines", lambda x, i: ~takes_part(x, min_chars) | F.array_contains(F.coalesce("places", none), i))
-    d = d.select("row", "lines", F.when(F.col("own_id").isNull(), F.col("lines")).otherwise(stays).alias("stays"))
-    n_dropped = F.coalesce(F.size("lines") - F.size("stays"), F.lit(0)).cast("long")
+    at = F.filter(F.transform("lines", lambda x, i: F.when(takes_part(x, min_chars), i)), lambda i: i.isNotNull())
+    d = d.select("row", "lines", F.coalesce(at, none).alias("at"), F.coalesce("places", none).alias("places"), "own_id")
+    lost = F.when(F.col("own_id").isNull(), none).otherwise(F.array_except("at", "places"))
+    d = d.select("row", "lines", F.size("at").cast("long").alias("n_lines"), lost.alias("lost"))
+    # Most documents lose nothing, and their lines are not gone through again.
+    stays = F.when(F.size("lost") > 0, F.filter("lines", lambda x, i: ~F.array_contains("lost", i)))
+    d = d.select("row", "n_lines", F.size("lost").cast("long").alias("n_dropped"), stays.alias("stays"))
     return d.select(
-        "row", F.array_join("stays", "\n").alias("kept_text"),
-        F.coalesce(F.size(F.filter("lines", lambda x: takes_part(x, min_chars))), F.lit(0)).cast("long").alias("n_lines"),
-        n_dropped.alias("n_dropped"),
-        F.coalesce((n_dropped > 0) & ~F.exists("stays", lambda x: ~F.rlike(x, F.lit(_SPACE))), F.lit(False)).alias("emptied"),
+        "row", F.when(F.col("n_dropped") > 0, F.array_join("stays", "\n")).otherwise(F.col("row").getField(text)).alias("kept_text"),
+        "n_lines", "n_dropped",
+        F.when(F.col("n_dropped") > 0, ~F.exists("stays", lambda x: ~F.rlike(x, F.lit(_SPACE)))).otherwise(F.lit(False)).alias("emptied"),
     )
 
 
