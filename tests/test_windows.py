@@ -27,7 +27,8 @@ def obs(spark, sf_dir):
     return observations(spark, sf_dir).cache()
 
 
-@pytest.mark.parametrize("spec", [WindowSpec(180_000, 30_000), WindowSpec(7 * HOUR, 3 * HOUR), WindowSpec(HOUR, HOUR)])
+@pytest.mark.parametrize("spec", [WindowSpec(180_000, 30_000), WindowSpec(7 * HOUR, 3 * HOUR), WindowSpec(HOUR, HOUR),
+                                  WindowSpec(180_000, 30_001), WindowSpec(2 * HOUR + 1, 2 * HOUR)])
 def test_panes_agree_with_direct(obs, spec):
     aggs = [*AGGS, Agg("sum", "value", "total", exact=2), Agg("count", "value", "n"), Agg("sample", "value", "s")]
     direct = windows.windowed(obs, spec, aggs, ["property"], panes=False)
@@ -60,6 +61,23 @@ def test_width_below_a_second(spark):
     assert out.where("window.start = timestamp_ntz'2024-01-01 00:00:00'").first()["a"] == 2.0
 
 
+def test_plan_does_not_grow_with_the_overlap(spark):
+    df = spark.createDataFrame([(at(0), 2.0), (at(7200), 3.0), (None, 9.0)], "ts timestamp_ntz, value double")
+    specs = [WindowSpec(60_000, 20_000), WindowSpec(HOUR, 20)]
+    out = [windows.windowed(df, spec, [Agg("max")]) for spec in specs]
+    assert len({len(o._jdf.queryExecution().optimizedPlan().toString().splitlines()) for o in out}) == 1
+    assert out[1].count() == 2 * HOUR // 20
+    ends = out[1].where("max_value = 2").agg(F.min("window.start"), F.max("window.start"), F.count_distinct("window")).first()
+    assert tuple(ends) == (at(-3599.98), at(0), HOUR // 20)
+
+
+def test_windows_agree_with_those_of_spark(obs):
+    for width, slide in [(180_000, 30_001), (5000, 5000), (7 * HOUR, 3 * HOUR)]:
+        ours = windows.assign_windows(obs.select("seq", "ts"), WindowSpec(width, slide)).select("seq", "window")
+        theirs = obs.select("seq", F.window("ts", f"{width} milliseconds", f"{slide} milliseconds").alias("window"))
+        assert ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty()
+
+
 def test_relation_to_stream_balance(obs):
     """A window's result is the one before, less what went, plus what came."""
     spec = WindowSpec(6 * HOUR, HOUR)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import gcd
 
 # Vocabulary terms and constants that results must carry as they are.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -75,11 +74,6 @@ class WindowSpec:
         """Largest number of windows one instant can fall in."""
         return -(-self.width // self.slide)
 
-    @property
-    def pane(self) -> int:
-        """Largest step that divides every window boundary."""
-        return gcd(self.width, self.slide)
-
 
 AGGREGATES = ("max", "min", "avg", "sum", "count", "sample", "group_concat")
 

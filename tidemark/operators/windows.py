@@ -16,21 +16,29 @@ def _ms(n: int) -> str:
     return f"{n} milliseconds"
 
 
+def _span(n: int) -> Column:
+    return F.expr(f"INTERVAL '{n / 1000:.3f}' SECOND")
+
+
 def assign_windows(df: DataFrame, spec: WindowSpec, ts: str = "ts") -> DataFrame:
     """One row per (row, window it falls in), with a `window` struct of start and end.
 
     Windows are `[k*slide, k*slide + width)`, counted from the epoch. Where the slide
-    exceeds the width, the instants between two windows belong to none.
+    exceeds the width, the instants between two windows belong to none. Rows without a time
+    are in no window.
+
+    The plan is of one size whatever the overlap: windows are counted back from the last one
+    that holds the row. Only a stream keeps Spark's own sliding windows, which carry its
+    watermark but are laid out one by one in the plan.
     """
-    if spec.slide <= spec.width:
+    if df.isStreaming and spec.slide <= spec.width:
         return df.withColumn("window", F.window(ts, _ms(spec.width), _ms(spec.slide)))
-    hop = df.withColumn("_hop", F.window(ts, _ms(spec.slide)))
-    end = F.col("_hop.start") + F.expr(f"INTERVAL '{spec.width / 1000:.3f}' SECOND")
-    return (
-        hop.withColumn("window", F.struct(F.col("_hop.start").alias("start"), end.alias("end")))
-        .where(F.col(ts) < F.col("window.end"))
-        .drop("_hop")
-    )
+    start, hop = F.col("_hop.start"), df.withColumn("_hop", F.window(ts, _ms(spec.slide)))
+    if spec.overlap > 1:
+        hop = hop.withColumn("_back", F.explode(F.sequence(F.lit(0), F.lit(spec.overlap - 1))))
+        start = start - _span(spec.slide) * F.col("_back")
+    hop = hop.withColumn("window", F.struct(start.alias("start"), (start + _span(spec.width)).alias("end")))
+    return hop.where(F.col(ts) < F.col("window.end")).drop("_hop", "_back")
 
 
 def _measure(agg: Agg) -> Column:
@@ -106,11 +114,11 @@ def windowed(
 ) -> DataFrame:
     """Aggregates per window and group: `window`, the group columns, one column per aggregate.
 
-    With `panes`, rows are first aggregated per pane (the longest step that divides every
-    window boundary) and only the panes are spread over the windows that cover them. Each
-    row is then handled once instead of width/slide times, for one more shuffle, of
-    aggregated rows only. They are the default wherever windows overlap and the aggregates
-    allow it.
+    With `panes`, rows are first aggregated per pane (the stretches between one window
+    boundary and the next, two per slide at most) and only the panes are spread over the
+    windows that cover them. Each row is then handled once instead of width/slide times, for
+    one more shuffle, of aggregated rows only. They are the default wherever windows overlap
+    and the aggregates allow it.
     """
     usable = all(algebraic(a) for a in aggs) and spec.slide <= spec.width and spec.overlap > 1
     if usable and panes is not False:
@@ -123,13 +131,14 @@ def windowed(
 
 def _over_panes(df, spec, aggs, by, ts) -> DataFrame:
     parts = {name: part for a in aggs for name, part in _parts(a).items()}
-    pane = df.groupBy(F.window(ts, _ms(spec.pane)).alias("_pane"), *by).agg(
-        *[col.alias(name) for name, (col, _) in parts.items()]
-    )
+    # Windows start at multiples of the slide and end `cut` after one.
+    at, cut = F.col("_hop.start"), spec.width % spec.slide
+    if cut:
+        at = F.when(F.col(ts) < at + _span(cut), at).otherwise(at + _span(cut))
+    hop = df.withColumn("_hop", F.window(ts, _ms(spec.slide)))
+    pane = hop.groupBy(at.alias("_at"), *by).agg(*[col.alias(name) for name, (col, _) in parts.items()])
     # A pane lies wholly inside or outside a window, so its start stands for all its rows.
-    spread = pane.withColumn("_at", F.col("_pane.start")).withColumn(
-        "window", F.window("_at", _ms(spec.width), _ms(spec.slide))
-    )
+    spread = assign_windows(pane, spec, "_at")
     combined = spread.groupBy("window", *by).agg(
         *[getattr(F, how)(name).alias(name) for name, (_, how) in parts.items()]
     )

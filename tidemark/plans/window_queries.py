@@ -128,6 +128,27 @@ def sliding_panes(spark, sf_dir):
     return windows.flat(windows.windowed(observations(spark, sf_dir), spec, aggs, ["property"], panes=True))
 
 
+# Windows that end between two slides: two panes per slide.
+@named("wn1_uneven_slide", sql("obs", body=f"""
+SELECT w_start, w_end, property, count(value) AS n, max(value) AS max_value
+FROM ({windows_sql('obs', 'INTERVAL 180000 MILLISECOND', 'INTERVAL 30001 MILLISECOND', 6)}) GROUP BY ALL"""))
+def uneven_slide(spark, sf_dir):
+    aggs = [Agg("count", "value", "n"), Agg("max", "value", "max_value")]
+    return windows.flat(windows.windowed(observations(spark, sf_dir), WindowSpec(180_000, 30_001), aggs, ["property"]))
+
+
+# 300 windows overlap; each one's result is computed, and told by day to keep the answer short.
+@named("wn1_step_20ms", sql("obs", body=f"""
+SELECT date_trunc('day', w_start)::TIMESTAMP AS day, property, count(*) AS n_windows, sum(n)::BIGINT AS n, max(max_value) AS max_value
+FROM (SELECT w_start, property, count(value) AS n, max(value) AS max_value
+      FROM ({windows_sql('obs', 'INTERVAL 6000 MILLISECOND', 'INTERVAL 20 MILLISECOND', 300)}) GROUP BY ALL) GROUP BY ALL"""))
+def step_20ms(spark, sf_dir):
+    aggs = [Agg("count", "value", "n"), Agg("max", "value", "max_value")]
+    found = windows.flat(windows.windowed(observations(spark, sf_dir), WindowSpec(6000, 20), aggs, ["property"]))
+    day = F.date_trunc("day", "w_start").cast("timestamp_ntz").alias("day")
+    return found.groupBy(day, "property").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n"), F.max("max_value").alias("max_value"))
+
+
 @named("wn2_tumbling", sql("win1d", body=f"""
 SELECT w_start, w_end, stream, {AVG2} AS avg_value FROM win1d GROUP BY ALL"""))
 def tumbling(spark, sf_dir):
