@@ -266,6 +266,25 @@ def test_statements_are_cosines(spark, documents):
     assert out == want and sum(want.values()) > 5
 
 
+def test_statements_do_not_hang_on_the_number_of_files(spark):
+    """Common and rare words around a notice, and unrelated files: the verdict on a line stays the same."""
+    said = {
+        "common": ("Content licensed under the Apache License, Version 2.0", "Apache-2.0"),
+        "rare": ("Copyright 2021 Zyxwvut Qponmlk. Licensed under the Apache License, Version 2.0 (the \"License\");", "Apache-2.0"),
+        "heading": ("MIT License", "MIT"),
+        "text": ("Permission is hereby granted, free of charge, to any person obtaining a copy", "MIT"),
+        "tag": ("// SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+        "with": ("# SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note)", "GPL-2.0"),
+        "none": ("This content came under the hammer in 2021", None),
+    }
+    files = spark.createDataFrame([(f"d{i}/{k}", v[0]) for i, (k, v) in enumerate(said.items())], "path string, text string")
+    words_ = F.concat(F.lit("word content 2021 "), F.col("id").cast("string"))
+    for n in (10, 20_000):
+        more = spark.range(n).select(F.concat(F.lit("x/"), "id").alias("path"), words_.alias("text"))
+        out = {r["path"].split("/")[1]: r["license"] for r in licenses.scan(files.unionAll(more)).where("path like 'd%'").collect()}
+        assert out == {k: v[1] for k, v in said.items()}, n
+
+
 def test_repeated_three_word_windows(spark):
     texts = ["a b c d a b c", "a b c b c a b c x", "x y", "a a a a", "p q r"]
     out = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.document_counts(
