@@ -266,6 +266,22 @@ def test_statements_are_cosines(spark, documents):
     assert out == want and sum(want.values()) > 5
 
 
+def test_tiny_sets_are_not_lost(spark):
+    """6,000 pairs that share 4 of 5 shingles: in a band, past the estimate, and linked in the end."""
+    rng = np.random.default_rng(5)
+    lost = 0
+    for _ in range(6000):
+        s = np.sort(rng.integers(0, 2 ** 63, 5).astype(np.uint64) * np.uint64(2))
+        a, b = near_dedup.registers(s), near_dedup.registers(np.delete(s, rng.integers(5)))
+        j = near_dedup.similarity(a[None], b[None], np.array([5]), np.array([4]))
+        banded = (a == b).reshape(near_dedup.BANDS, near_dedup.ROWS).all(1).any()
+        lost += not (banded and near_dedup.may_reach(j, np.array([5]), np.array([4]), 80)[0])
+    assert lost <= 2
+    texts = [t for i in range(2000) for t in (f"a{i} b{i} c{i} d{i} e{i}", f"a{i} b{i} c{i} d{i} e{i} f{i}")]
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2)
+    assert sum(r["doc_id"] % 2 and r["component_id"] == r["doc_id"] for r in out.collect()) == 0
+
+
 def test_statements_do_not_hang_on_the_number_of_files(spark):
     """Common and rare words around a notice, and unrelated files: the verdict on a line stays the same."""
     said = {

@@ -8,7 +8,8 @@ are bands; documents that agree in one band are candidates. Two sets of similari
 other in all 42 bands with a chance of 3 in a million.
 
 Candidates are weighed by the share of equal registers, less what equal registers arise by chance,
-and what remains is confirmed on the full sets. No group is expanded into all its pairs:
+and what remains is confirmed on the full sets. The estimate rejects no set of fewer than `SMALL`
+members, whose registers are mostly borrowed. No group is expanded into all its pairs:
 
 1. Documents with equal sets are folded into one representative.
 2. The members of a band's bucket are tied to one of them, which differs from band to band.
@@ -41,8 +42,11 @@ REGISTERS = ROWS * BANDS
 BITS = 40  # of a digest within its bucket
 EMPTY = np.uint16(0xFFFF)
 _BORROW = np.random.default_rng(20240611).integers(0, REGISTERS, (96, REGISTERS))
+# Whom a register that found none asks next: all others, in an order of its own.
+_ORDER = np.random.default_rng(20240612).permuted(np.tile(np.arange(REGISTERS, dtype=np.int16), (REGISTERS, 1)), axis=1)
 # Five standard deviations of the share of equal registers below a similarity of 0.8.
 LEEWAY = 0.126
+SMALL = 32  # sets with fewer members are confirmed whatever their estimate
 FEW = 32  # members of a bucket that are compared pair by pair
 BLOCK = 500
 
@@ -72,7 +76,9 @@ def registers(members: np.ndarray) -> np.ndarray:
         ok = full[from_]
         out[todo[ok]] = packed[from_[ok]]
         todo = todo[~ok]
-    out[todo] = packed[least.argmin()]
+    if len(todo):
+        donors = np.flatnonzero(full)
+        out[todo] = packed[donors[_ORDER[todo][:, donors].argmin(1)]]
     return out
 
 
@@ -90,6 +96,11 @@ def similarity(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
     return ((a == b).mean(1) - chance) / (1 - chance)
 
 
+def may_reach(j: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of estimate j, of sets of n and m members, are to be confirmed."""
+    return (j >= percent / 100 - LEEWAY) | (np.minimum(n, m) < SMALL)
+
+
 def signatures(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest of the whole set, registers; the last two null for empty sets."""
 
@@ -118,9 +129,10 @@ def _weighed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         if not batch.num_rows:
             return None
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("r_a", "r_b"))
-        j = similarity(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+        n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        j = similarity(a, b, n, m)
         out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j)], ["a", "b", "j"])
-        return out.filter(pa.array(j >= percent / 100 - LEEWAY))
+        return out.filter(pa.array(may_reach(j, n, m, percent)))
 
     return over_batches(both.select("a", "b", "n_a", "n_b", "r_a", "r_b"), work, "a long, b long, j double")
 
