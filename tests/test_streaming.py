@@ -2,12 +2,16 @@
 
 import os
 import shutil
+from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import Agg, ContinuousQuery, WindowSpec
 from tidemark.operators import windows
+from tidemark.plans import stream_queries
 from tidemark.plans.inputs import as_observations
 from tidemark.session import fresh_folder, shared_folder
 from tidemark.sinks.publish import bucketed, publish_batches
@@ -143,3 +147,28 @@ def test_distinct_aggregates_are_refused_on_streams(spark, arrivals):
 def test_folder_setting_comes_from_the_session(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_folder(spark) == (before or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+@pytest.fixture(scope="module")
+def backwards(tmp_path_factory):
+    """One event in each of 40 files that span 13 months, the latest first; two triggers read them."""
+    folder = tmp_path_factory.mktemp("backwards")
+    (folder / "events.parquet").mkdir()
+    for i in range(40):
+        at = datetime(2024, 2, 1) - timedelta(days=10 * i)
+        kinds = [("event_id", pa.int64(), i), ("ts", pa.timestamp("us"), at), ("user_id", pa.int64(), i), ("event_type", pa.string(), "view"),
+                 ("value", pa.float64(), 1.0), ("props", pa.string(), "{}")]
+        path = folder / "events.parquet" / f"{i}.parquet"
+        pq.write_table(pa.table({name: pa.array([value], kind) for name, kind, value in kinds}), path)
+        os.utime(path, (1_700_000_000 + i * 60,) * 2)
+    return folder
+
+
+def test_named_streams_lose_nothing_however_long_the_table(spark, backwards):
+    assert stream_queries.watermark(spark, str(backwards)).agg(F.sum("n")).first()[0] == 40
+    assert stream_queries.dedup_stream(spark, str(backwards)).count() == 40
+
+
+def test_late_rows_raise(spark, backwards):
+    with pytest.raises(RuntimeError, match="after the watermark"):
+        run(spark, str(backwards / "events.parquet"), lambda obs: live.live_window(obs, SPEC, AGGS, by=["property"]))

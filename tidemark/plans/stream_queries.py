@@ -17,27 +17,34 @@ from tidemark.streaming import live, publish, shared
 
 # The whole table is replayed as a stream, in whatever order its files come, so the allowed
 # delay spans all of it. A live deployment sets the delay that its sources need.
-DELAY = "60 days"
 END = "2100-01-01 00:00:00"
 
 
-def _live(spark, sf_dir, closing=None):
+def _bounds_of(spark, sf_dir):
+    """Seconds between the first and the last event, one more, and the last event's time."""
+    ts = F.col("ts").cast("timestamp")
+    b = table(spark, sf_dir, "events").agg(F.min(F.unix_seconds(ts)).alias("lo"), F.max(F.unix_seconds(ts)).alias("hi")).first()
+    return (b["hi"] - b["lo"] + 2, b["hi"]) if b["lo"] is not None else (1, 0)
+
+
+def _live(spark, sf_dir, delay, closing=None):
     events = live.live_source(spark, LIVE_EVENTS.format(sf_dir), EVENT_SCHEMA)
     if closing is not None:
         events = events.unionByName(closing)
-    return live.with_watermark(events, DELAY)
+    return live.with_watermark(events, f"{delay} seconds")
 
 
 def _run(spark, sf_dir, purpose, build, run=live.drain):
     """`build` turns live observations into a streaming result. Rows of the closing events
     have no property, and are left out by the caller."""
-    table(spark, sf_dir, "events")
+    delay, last = _bounds_of(spark, sf_dir)
     folder = fresh_folder(spark, purpose)
 
     def whole(closing):
-        return build(as_observations(_live(spark, sf_dir, closing)))
+        return build(as_observations(_live(spark, sf_dir, delay, closing)))
 
-    return live.run_to_end(spark, whole, folder, EVENT_SCHEMA, "ts", F.to_timestamp(F.lit(END)), run)
+    end = F.greatest(F.to_timestamp(F.lit(END)), F.timestamp_seconds(F.lit(last))) + F.make_dt_interval(secs=F.lit(delay))
+    return live.run_to_end(spark, whole, folder, EVENT_SCHEMA, "ts", end, run, apart=10 + delay // (365 * 86_400))
 
 
 def _bounds(rows, *rest):
@@ -64,12 +71,12 @@ def watermark(spark, sf_dir):
 @named("sm3_dedup_stream", sql("obs", body="SELECT member_id, ts, value FROM obs"))
 def dedup_stream(spark, sf_dir):
     """Every event comes twice, by replay and live."""
-    table(spark, sf_dir, "events")
+    delay, _ = _bounds_of(spark, sf_dir)
     folder = fresh_folder(spark, "dedup")
     replayed, arriving = (
         live.live_source(spark, LIVE_EVENTS.format(sf_dir), EVENT_SCHEMA) for _ in range(2)
     )
-    both = as_observations(live.with_watermark(union_streams(replayed, arriving), DELAY))
+    both = as_observations(live.with_watermark(union_streams(replayed, arriving), f"{delay} seconds"))
     path = live.drain(live.dedup_stream(both, ["member_id"]).select("member_id", "ts", "value"), folder)
     return spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 

@@ -44,16 +44,33 @@ def live_window(
     return assign_windows(rows, spec, ts).groupBy("window", *by).agg(*[_direct(a) for a in aggs])
 
 
+def run_counted(query) -> None:
+    """Waits for a query to end, and raises if rows came after the watermark and were left out.
+    Progress is looked at as it comes, since a query keeps only the last of it."""
+    dropped: dict[int, int] = {}
+
+    def look():
+        for p in query.recentProgress:
+            late = sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"])
+            dropped[p["batchId"]] = max(late, dropped.get(p["batchId"], 0))
+
+    while not query.awaitTermination(1):
+        look()
+    look()
+    if late := sum(dropped.values()):
+        raise RuntimeError(f"{late} rows came after the watermark and were dropped: allow a longer delay")
+
+
 def drain(stream: DataFrame, folder: str, name: str = "out") -> str:
     """Runs an append-mode stream over what its source holds now, into parquet. Run again
-    with the same folder, it goes on where it stopped."""
+    with the same folder, it goes on where it stopped. Raises if rows were dropped as too late."""
     target = f"{folder}/{name}"
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{folder}/{name}-checkpoint").option("path", target)
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    run_counted(query)
     return target
 
 
@@ -64,27 +81,28 @@ def closing_source(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.format("parquet").schema(schema).load(end)
 
 
-def close_windows(spark: SparkSession, folder: str, schema, ts: str, at: Column) -> None:
+def close_windows(spark: SparkSession, folder: str, schema, ts: str, at: Column, apart: int = 10) -> None:
     """Adds two rows far ahead of all others, empty but for their time. A finite input has no
-    later event that would close its last windows; these do. The second, years later, closes
+    later event that would close its last windows; these do. The second, `apart` years later, closes
     the first one's windows too, so that also an empty window is known to have passed.
     Their own results carry empty groups and values; leave those out once results are stored,
     as a filter on a group column would be moved below the watermark and hide these rows."""
     fields = spark.createDataFrame([], schema).schema
-    far = spark.range(2).withColumn("_at", at + F.make_ym_interval(F.col("id").cast("int") * 10))
+    far = spark.range(2).withColumn("_at", at + F.make_ym_interval(F.col("id").cast("int") * apart))
     rows = far.select(*[
         (F.col("_at") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
     ])
     rows.coalesce(1).write.mode("append").parquet(f"{folder}/end-of-input")
 
 
-def run_to_end(spark, build, folder: str, schema, ts: str, at: Column, run=drain):
+def run_to_end(spark, build, folder: str, schema, ts: str, at: Column, run=drain, apart: int = 10):
     """Drains a stream, closes its windows and drains what they emit.
 
     `build(closing)` returns the streaming result, with `closing` unioned to its source.
+    `apart` years must be more than the stream's delay.
     """
     run(build(closing_source(spark, folder, schema)), folder)
-    close_windows(spark, folder, schema, ts, at)
+    close_windows(spark, folder, schema, ts, at, apart)
     return run(build(closing_source(spark, folder, schema)), folder)
 
 

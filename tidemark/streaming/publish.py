@@ -11,6 +11,7 @@ from tidemark.model import PUBLISH_BATCH, WindowSpec
 from tidemark.operators.ordering import ordinal_batch
 from tidemark.operators.windows import r2s
 from tidemark.sinks.publish import bucketed
+from tidemark.streaming.live import run_counted
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -29,7 +30,7 @@ def _run(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str,
         .option("checkpointLocation", f"{folder}/{name}-checkpoint")
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    run_counted(query)
 
 
 def publish_stream(
