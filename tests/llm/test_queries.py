@@ -21,7 +21,7 @@ def result(spark, name):
 
 
 def test_all_numbers_are_there():
-    assert {int(n[2:].split("_")[0]) for n in entry.queries() if re.match(r"op\d", n)} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in entry.queries() if re.match(r"op\d", n)} == set(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
@@ -32,7 +32,7 @@ def test_same_as_twin(spark, name):
     assert difference(QUERIES[name](spark, SF).toPandas(), connect(SF).execute(SQL[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if re.match(r"op(1|3|5|10)_", n)])
+@pytest.mark.parametrize("name", [n for n in QUERIES if re.match(r"op(1|3|5|10|12)_", n)])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     byte_bpe,
     decontaminate,
+    divergence,
     language_model,
     licenses,
     line_dedup,
@@ -15,6 +16,8 @@ from tidemark.llm import (
     pii,
     quality_fm,
     quality_rules,
+    sharding,
+    vector_codes,
     warc_zip,
 )
 from tidemark.llm.common import table
@@ -121,3 +124,80 @@ def op10_surrogates(spark, sf_dir):
     out = pii.pseudonymised(table(spark, sf_dir, "documents"), key=PII_KEY)
     counts = [f"n_{k}" for k in pii.TYPES]
     return out.select(F.col("row").getField("doc_id").alias("doc_id"), *counts, F.sha2(F.col("replaced").cast("binary"), 256).alias("replaced_sha256"))
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+w AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+c AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n, k.n AS ln
+      FROM g JOIN k ON k.lang = g.lang LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS (SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000::HUGEINT * (c.n + 1)) // (t.n + l.v) AS p,
+             1 + (1000000000::HUGEINT * (c.ln + 1)) // (l.n + l.v) AS q
+      FROM c JOIN t ON t.lang = c.lang AND t.source = c.source JOIN l ON l.lang = c.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op12_hypergeometric_shards(spark, sf_dir):
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_cover_tree_codes(spark, sf_dir):
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))[0].drop("label")
+
+
+def _lloyd_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Rounds one after the other, each comparing all parts with all entries."""
+    away = "list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS (SELECT rid, part, arg_min(entry, away * 256 + entry) AS entry, min(away) AS away
+       FROM (SELECT x.rid, x.part, b.entry, {away}::BIGINT AS away FROM x JOIN b{i} AS b ON x.part = b.part) GROUP BY rid, part)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (SELECT part, entry, list(m ORDER BY j) AS v FROM (
+       SELECT part, entry, j, ((sum(v[j]) - (sum(v[j]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS m
+       FROM a{i} JOIN x USING (rid, part), unnest(range(1, len(v) + 1)) AS u(j) GROUP BY part, entry, j) GROUP BY part, entry),
+b{i + 1} AS (SELECT b.part, b.entry, coalesce(s.v, b.v) AS v FROM b{i} AS b LEFT JOIN s{i} AS s ON s.part = b.part AND s.entry = b.entry)""")
+    return f"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT rid, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v FROM e, unnest([0, 1, 2, 3]) AS u(part)),
+b0 AS (SELECT part, rid - 1 AS entry, v FROM x WHERE rid <= 256),{",".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS digest FROM b{rounds}),
+o AS (SELECT rid, string_agg(lower(format('{{:02x}}', entry)), '' ORDER BY part) AS code, sum(away) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error::BIGINT AS error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+FROM e JOIN o USING (rid), h
+"""
+
+
+SQL["op13_cover_tree_codes"] = _lloyd_sql()
