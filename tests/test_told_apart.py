@@ -10,7 +10,7 @@ from tidemark.model import HAS_VALUE, RELATES_TO_PROPERTY, Agg, ContinuousQuery,
 from tidemark.operators.buckets import assign_bucket, initial_load
 from tidemark.operators.ordering import earliest, first_object
 from tidemark.operators.patterns import to_triples
-from tidemark.operators.registry import dedup_queries
+from tidemark.operators.registry import dedup_queries, equivalence_key, query_catalog
 from tidemark.plans.continuous import over_observations, over_triples
 from tidemark.sources.ntriples import malformed_lines, parse_ntriples
 from tidemark.streaming.shared import run_shared
@@ -98,3 +98,70 @@ def test_comments_hold_no_triples(spark):
     table = spark.createDataFrame([(x,) for x in lines], "value string")
     assert {(r["s"], r["o"]) for r in parse_ntriples(table).collect()} == {("a#x", "t # no"), ("a", "c"), ("d", "f")}
     assert [r["value"] for r in malformed_lines(table).collect()] == [lines[4]]
+
+
+def merged(spark, *texts):
+    """Which of the texts count as one query: the least place of each."""
+    rows = [(i, t) for i, t in enumerate(texts)]
+    keys = {r["query_id"]: r["equivalence_key"] for r in equivalence_key(spark.createDataFrame(rows, "query_id long, query_text string")).collect()}
+    return [min(j for j in keys if keys[j] == keys[i]) for i in range(len(texts))]
+
+
+def body(text, head="PREFIX ex: <http://one.test/>\n", select="(AVG(?a) AS ?m)", rest=""):
+    return (f"{head}REGISTER RStream <o> AS SELECT {select} FROM NAMED WINDOW <w> ON STREAM <s> [RANGE 10 STEP 5] "
+            f"WHERE {{ WINDOW <w> {{ {text} }} }} {rest}")
+
+
+def test_prefixes_count_wherever_they_are_used(spark):
+    one = body("?s ex:v ?a . FILTER(?s = ex:a)")
+    other, long = one.replace("http://one", "http://two"), body("?s <http://one.test/v> ?a . FILTER(?s = <http://one.test/a>)", "")
+    typed = [body(f'?s ex:v ?a . FILTER(?s = "1"^^{t})') for t in ("ex:a", "<http://one.test/a>", "ex:b")]
+    assert merged(spark, one, other, long, *typed) == [0, 1, 0, 3, 3, 5]
+
+
+def test_variables_are_one_graph_over_all_clauses(spark):
+    a = body("?s ex:v ?a ; ex:w ?b . FILTER(?a > 5)")
+    b = body("?s ex:v ?b ; ex:w ?a . FILTER(?a > 5)", select="(AVG(?b) AS ?m)")
+    same = body("?x ex:w ?z . ?x ex:v ?y . FILTER(?y > 5)", select="(AVG(?y) AS ?n)")
+    grouped = [body("?s ex:v ?a ; ex:w ?b", rest=r) for r in ("GROUP BY ?b", "GROUP BY ?s", "GROUP BY ?b HAVING (?m > 2)", "GROUP BY ?b HAVING (?b > 2)")]
+    assert merged(spark, a, b, same, *grouped) == [0, 1, 0, 3, 4, 5, 6]
+
+
+def test_literals_are_kept_as_written(spark):
+    texts = [body(f"?s ex:v ?a . FILTER(?s = {x})") for x in (
+        '"a b"', '"ab"', '"a  b"', "'a b'", '"a b"@en', '"# PREFIX ex: <http://one.test/>"', '"# "', '"} WINDOW <w> {"', r'"a\"b"', '"""a\nb"""')]
+    assert merged(spark, *texts) == list(range(len(texts)))
+    assert merged(spark, texts[0], texts[0].replace("FILTER", "# a note\n FILTER")) == [0, 0]
+
+
+def test_symmetric_patterns(spark):
+    def rings(*sizes, names="abcdef", back=False):
+        out, at = [], 0
+        for n in sizes:
+            ring = [f"?{names[at + i]} ex:p ?{names[at + (i + 1) % n]}" for i in range(n)]
+            out, at = out + (ring[::-1] if back else ring), at + n
+        return body(" . ".join(out), select="(COUNT(*) AS ?k)")
+
+    texts = [rings(6), rings(6, names="fbdace", back=True), rings(3, 3), rings(3, 3, names="cafbed"), rings(2, 4), rings(4, 2, names="bcdefa")]
+    assert merged(spark, *texts) == [0, 0, 2, 2, 4, 4]
+    same = body("?a ex:p ?o . ?b ex:p ?o . ?c ex:p ?o . ?d ex:p ?o", select="(COUNT(?o) AS ?k)")
+    assert merged(spark, same, same.replace("?d", "?z").replace("?a", "?d"), same.replace("?a ex:p ?o", "?a ex:p ?b")) == [0, 0, 2]
+
+
+def test_lists_and_what_is_not_understood(spark):
+    texts = [body("?s ex:v ?a ; a ex:T , ex:U ."), body("?s ex:v ?a . ?s a ex:U . ?s a ex:T"), body("?s ex:v ?a ; a ex:T . ?t a ex:U"),
+             body("?s ex:v ?a . OPTIONAL { ?s a ex:T }"), body("?s ex:v ?a OPTIONAL { ?s a ex:T } ."), body("?s ex:v [ ex:w ?a ]"),
+             body("?s ex:v/ex:w ?a"), body("?s ex:v ?a", rest="ORDER BY ?s LIMIT 3"), body("?s ex:v ?a", rest="ORDER BY ?s LIMIT 4")]
+    assert merged(spark, *texts) == [0, 0, 2, 3, 4, 5, 6, 7, 8]
+    rows = query_catalog(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id long, query_text string")).orderBy("query_id").collect()
+    assert [r["understood"] for r in rows] == [True] * 3 + [False] * 6
+    assert {(p["s"], p["p"].rsplit("/")[-1], p["o"]) for p in rows[0]["patterns"]} == {
+        ("?s", "v", "?a"), ("?s", "22-rdf-syntax-ns#type", "http://one.test/T"), ("?s", "22-rdf-syntax-ns#type", "http://one.test/U")}
+
+
+def test_clauses_become_columns(spark):
+    text = body('?s ex:v ?a . FILTER(?a > 5 && ?s != "x y"@en)', select="?s (COUNT(*) AS ?n) (SUM(DISTINCT ?a) AS ?t)", rest="GROUP BY ?s HAVING (COUNT(*) > 3)")
+    row = query_catalog(spark.createDataFrame([(1, text)], "query_id long, query_text string")).first()
+    assert row["understood"] and [tuple(a) for a in row["aggregates"]] == [("count", False, "*", "n"), ("sum", True, "a", "t")]
+    assert row["filters"] == ['FILTER ( ?a > 5 && ?s != "x y"@en )'] and row["having"] == "( COUNT ( * ) > 3 )"
+    assert (row["selected"], row["group_by"]) == (["s"], ["s"])

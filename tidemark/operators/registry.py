@@ -2,110 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import expand_iri, query_hash, retarget_query
-
-# Clauses of a query text as the published grammar has them: any white space, keywords in any
-# case, names as IRIs or prefixed names, durations in milliseconds or as ISO 8601.
-_NAME = r"(?:<[^<>\s]*>|[^\s<>\[\]{}()]*:[^\s<>\[\]{}()]*)"
-REGISTER_CLAUSE = rf"(?i)\bREGISTER\s+([RID]STREAM)\s+({_NAME})\s+AS\b"
-WINDOW_CLAUSE = (
-    rf"(?i)\bFROM\s+NAMED\s+WINDOW\s+({_NAME})\s+ON\s+(?:STREAM\s+)?({_NAME})\s*"
-    r"\[\s*RANGE\s+([^\s\]]+)(?:\s+(?:STEP|SLIDE)\s+([^\s\]]+)|\s+TUMBLING)?\s*\]"
-)
-PREFIX_CLAUSE = r"(?i)\bPREFIX\s+([^\s:<>]*):\s*<([^<>\s]*)>"
-_ISO_DURATION = r"(?i)^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d{1,3})?)S)?)?$"
-AGGREGATE_ITEM = (
-    r"(?i)\(\s*(COUNT|SUM|MIN|MAX|AVG|SAMPLE|GROUP_CONCAT)\s*\(\s*(DISTINCT\s+)?\?(\w+)\s*\)\s+AS\s+\?(\w+)\s*\)"
-)
-WINDOW_BLOCK = r"WINDOW\s+([^\s{]+)\s*\{([^}]*)\}"
-TRIPLE_PATTERN = r"([^\s{}]+)\s+([^\s{}]+)\s+([^\s{}]+?)\s*(?:\.(?=\s|$)|$)"
-
-
-def _all(text: Column, regex: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(regex), F.lit(group))
-
-
-def duration_ms(text: Column) -> Column:
-    """Milliseconds of a count of them or of an ISO 8601 duration; null for anything else."""
-    part = [F.coalesce(F.regexp_extract(text, _ISO_DURATION, i).try_cast("decimal(18,3)"), F.lit(0)) for i in range(1, 5)]
-    total = sum((p * ms for p, ms in zip(part, (86_400_000, 3_600_000, 60_000, 1000))), F.lit(0)).cast("bigint")
-    return F.when(text.rlike(_ISO_DURATION) & text.rlike(r"\d"), total).otherwise(text.try_cast("bigint"))
-
+from tidemark.functions import query_hash, retarget_query
+from tidemark.operators.canonical import canonical_key
+from tidemark.operators.query_text import PARTS, catalog_columns, clauses, read
 
 def query_catalog(queries: DataFrame) -> DataFrame:
-    """Query texts to typed columns: r2s, windows, prefixes, aggregates, patterns.
+    """Query texts to typed columns: r2s, windows, prefixes, aggregates, patterns, filters, plain
+    projections, grouping and HAVING.
 
     A window without a step moves by its width. A text without a REGISTER clause counts as RStream.
+    Predicate and object lists are written out. `understood` says whether the columns hold all
+    that the text says; what they leave out still counts for `equivalence_key`.
     """
-    text = F.col("query_text")
-    names, streams = _all(text, WINDOW_CLAUSE, 1), _all(text, WINDOW_CLAUSE, 2)
-    widths, slides = _all(text, WINDOW_CLAUSE, 3), _all(text, WINDOW_CLAUSE, 4)
-    operator = F.regexp_extract(text, REGISTER_CLAUSE, 1)
-    # Each array is read from the text once, in a step of its own, and then used by name.
-    read = queries.withColumns({
-        "r2s_operator": F.when(operator == "", F.lit("RStream")).otherwise(
-            F.concat(F.upper(F.substring(operator, 1, 1)), F.lit("Stream"))),
-        "r2s_name": F.regexp_replace(F.regexp_extract(text, REGISTER_CLAUSE, 2), "^<|>$", ""),
-        "_k": F.arrays_zip(
-            _all(text, PREFIX_CLAUSE, 1).alias("key"), _all(text, PREFIX_CLAUSE, 2).alias("value")
-        ),
-        "_w": F.arrays_zip(
-            names.alias("name"), streams.alias("stream"), widths.alias("width"), slides.alias("slide")
-        ),
-        "_a": F.arrays_zip(
-            _all(text, AGGREGATE_ITEM, 1).alias("func"), _all(text, AGGREGATE_ITEM, 2).alias("distinct"),
-            _all(text, AGGREGATE_ITEM, 3).alias("var"), _all(text, AGGREGATE_ITEM, 4).alias("alias"),
-        ),
-        "_b": F.arrays_zip(
-            _all(text, WINDOW_BLOCK, 1).alias("name"), _all(text, WINDOW_BLOCK, 2).alias("body")
-        ),
-    })
-    catalog = read.withColumn("prefixes", F.map_from_entries(_last_per_key(F.col("_k"))))
-    prefixes = F.col("prefixes")
-
-    def term(t: Column) -> Column:
-        is_name = t.startswith("<") | t.contains(":")
-        return (
-            F.when(t.startswith("?") | t.startswith('"'), t)
-            .when(t == "a", F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#type"))
-            .when(is_name, expand_iri(t, prefixes)).otherwise(t)
-        )
-
-    def block_patterns(block: Column) -> Column:
-        found = F.arrays_zip(
-            _all(block["body"], TRIPLE_PATTERN, 1).alias("s"),
-            _all(block["body"], TRIPLE_PATTERN, 2).alias("p"),
-            _all(block["body"], TRIPLE_PATTERN, 3).alias("o"),
-        )
-        return F.transform(found, lambda x: F.struct(
-            expand_iri(block["name"], prefixes).alias("window"),
-            term(x["s"]).alias("s"), term(x["p"]).alias("p"), term(x["o"]).alias("o"),
-        ))
-
-    return catalog.withColumns({
-        "windows": F.transform("_w", lambda w: F.struct(
-            expand_iri(w["name"], prefixes).alias("name"),
-            expand_iri(w["stream"], prefixes).alias("stream"),
-            duration_ms(w["width"]).alias("width"),
-            duration_ms(F.when(w["slide"] == "", w["width"]).otherwise(w["slide"])).alias("slide"),
-        )),
-        "aggregates": F.transform("_a", lambda a: F.struct(
-            F.lower(a["func"]).alias("func"), (a["distinct"] != "").alias("distinct"),
-            a["var"].alias("var"), a["alias"].alias("alias"),
-        )),
-        "patterns": F.flatten(F.transform("_b", block_patterns)),
-        "query_hash": query_hash("query_text"),
-    }).drop("_k", "_w", "_a", "_b")
-
-
-def _last_per_key(pairs: Column) -> Column:
-    """Of entries with one key only the last, as in a map that is written in order."""
-    return F.filter(pairs, lambda x, i: F.size(F.filter(
-        pairs, lambda y, j: (j > i) & (y["key"] == x["key"])
-    )) == 0)
+    columns = catalog_columns(F.col("prefixes")) | {"query_hash": query_hash("query_text")}
+    return read(queries).withColumns(columns).drop(*PARTS)
 
 
 def catalog_patterns(catalog: DataFrame) -> DataFrame:
@@ -117,57 +30,11 @@ def catalog_patterns(catalog: DataFrame) -> DataFrame:
     return rows.withColumn("p_type", kind)
 
 
-def equivalence_key(catalog: DataFrame) -> DataFrame:
-    """Adds `equivalence_key`, equal for queries that differ in layout, prefixes, variable
-    and window names, or the order of clauses and patterns.
-
-    Patterns are ordered with their variables blanked; then variables are numbered by first
-    use in that order. Patterns that agree once blanked keep their order in the text.
-    """
-    windows = F.col("windows")
-
-    def described(w: Column) -> Column:
-        return F.concat_ws("|", w["stream"], w["width"].cast("string"), w["slide"].cast("string"))
-
-    def blank(t: Column) -> Column:
-        return F.when(t.startswith("?"), F.lit("?")).otherwise(t)
-
-    placed = catalog.withColumn("_p", F.array_sort(F.transform("patterns", lambda p, i: F.struct(
-        F.concat_ws(" ", F.element_at(
-            F.transform(F.filter(windows, lambda w: w["name"] == p["window"]), described), 1
-        ), blank(p["s"]), blank(p["p"]), blank(p["o"])).alias("shape"),
-        i.alias("at"), p["s"].alias("s"), p["p"].alias("p"), p["o"].alias("o"),
-    ))))
-    used = F.flatten(F.transform("_p", lambda p: F.array(p["s"], p["p"], p["o"])))
-    numbered = placed.withColumn(
-        "_v", F.array_distinct(F.filter(used, lambda t: t.startswith("?")))
-    )
-
-    def number(t: Column) -> Column:
-        return F.when(
-            t.startswith("?"), F.concat(F.lit("?"), F.array_position(F.col("_v"), t).cast("string"))
-        ).otherwise(t)
-
-    # What the clause shapes leave unread, without white space: texts that differ there are taken to differ.
-    unread = F.col("query_text")
-    for clause in (REGISTER_CLAUSE, WINDOW_CLAUSE, PREFIX_CLAUSE, AGGREGATE_ITEM, WINDOW_BLOCK):
-        unread = F.regexp_replace(unread, clause, " ")
-    blocks = F.regexp_extract_all("query_text", F.lit(WINDOW_BLOCK), F.lit(2))
-    in_blocks = F.transform(blocks, lambda b: F.regexp_replace(F.regexp_replace(b, TRIPLE_PATTERN, " "), r"\s", ""))
-    key = F.concat_ws(
-        "\n",
-        F.regexp_replace(unread, r"\s", ""),
-        F.array_join(F.array_sort(in_blocks), ";"),
-        F.col("r2s_operator"),
-        F.array_join(F.array_sort(F.transform(windows, described)), ";"),
-        F.array_join(F.array_sort(F.transform("aggregates", lambda a: F.concat_ws(
-            "|", a["func"], a["distinct"].cast("string"), number(F.concat(F.lit("?"), a["var"]))
-        ))), ";"),
-        F.array_join(F.transform("_p", lambda p: F.concat_ws(
-            " ", p["shape"], number(p["s"]), number(p["p"]), number(p["o"])
-        )), ";"),
-    )
-    return numbered.withColumn("equivalence_key", F.md5(key)).drop("_p", "_v")
+def equivalence_key(queries: DataFrame) -> DataFrame:
+    """Adds `equivalence_key`, equal for queries that differ in layout, comments, prefixes, variable
+    and window names, or the order of clauses and patterns, and for no others."""
+    clauses_of = read(queries).withColumn("_clauses", clauses()).drop(*PARTS, "r2s_operator", "r2s_name", "prefixes")
+    return canonical_key(clauses_of, "_clauses", "equivalence_key").drop("_clauses")
 
 
 def dedup_queries(queries: DataFrame) -> DataFrame:
@@ -176,7 +43,7 @@ def dedup_queries(queries: DataFrame) -> DataFrame:
     A grouping with partial results, so that one query registered a million times is no
     sort of a million rows.
     """
-    keyed = equivalence_key(query_catalog(queries))
+    keyed = equivalence_key(queries).withColumn("query_hash", query_hash("query_text"))
     first = F.min_by(F.struct("query_id", "query_hash", "registered_at"),
                      F.struct("registered_at", "query_id")).alias("_first")
     return keyed.groupBy("equivalence_key").agg(

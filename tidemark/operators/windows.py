@@ -12,6 +12,10 @@ from tidemark.functions import epoch_us, time_cell
 from tidemark.model import Agg, WindowSpec
 
 
+# Above so many windows that overlap, windows are computed by runs; below, panes are spread over them.
+RUNS_FROM = 16
+
+
 def _ms(n: int) -> str:
     return f"{n} milliseconds"
 
@@ -122,21 +126,27 @@ def windowed(
     """
     usable = all(algebraic(a) for a in aggs) and spec.slide <= spec.width and spec.overlap > 1
     if usable and panes is not False:
-        out = _over_panes(df, spec, aggs, by, ts)
+        far = spec.overlap > RUNS_FROM and not df.isStreaming
+        out = _expanded(windowed_runs(df, spec, aggs, by, ts), spec) if far else _over_panes(df, spec, aggs, by, ts)
     else:
         rows = assign_windows(df, spec, ts)
         out = rows.groupBy("window", *by).agg(*[_direct(a) for a in aggs])
     return out.where(having) if having else out
 
 
-def _over_panes(df, spec, aggs, by, ts) -> DataFrame:
+def _in_panes(df, spec, aggs, by, ts, extra: Sequence[Column] = ()) -> tuple[DataFrame, dict]:
     parts = {name: part for a in aggs for name, part in _parts(a).items()}
     # Windows start at multiples of the slide and end `cut` after one.
     at, cut = F.col("_hop.start"), spec.width % spec.slide
     if cut:
         at = F.when(F.col(ts) < at + _span(cut), at).otherwise(at + _span(cut))
     hop = df.withColumn("_hop", F.window(ts, _ms(spec.slide)))
-    pane = hop.groupBy(at.alias("_at"), *by).agg(*[col.alias(name) for name, (col, _) in parts.items()])
+    pane = hop.groupBy(at.alias("_at"), *by).agg(*[col.alias(name) for name, (col, _) in parts.items()], *extra)
+    return pane, parts
+
+
+def _over_panes(df, spec, aggs, by, ts) -> DataFrame:
+    pane, parts = _in_panes(df, spec, aggs, by, ts)
     # A pane lies wholly inside or outside a window, so its start stands for all its rows.
     spread = assign_windows(pane, spec, "_at")
     combined = spread.groupBy("window", *by).agg(
@@ -147,6 +157,80 @@ def _over_panes(df, spec, aggs, by, ts) -> DataFrame:
     )
 
 
+def windowed_runs(
+    df: DataFrame, spec: WindowSpec, aggs: Sequence[Agg], by: Sequence[str] = (), ts: str = "ts"
+) -> DataFrame:
+    """As `windowed`, with neighbouring windows that hold the same rows as one row: `window` is
+    the first of them and `n_windows` their number. Work and rows grow with the panes that
+    hold rows, whatever the overlap.
+
+    Time is cut into blocks as long as a window. A window that starts in a block holds the end of
+    that block and the beginning of the next: extremes and sums from each pane to the end of its
+    block, and from the beginning of a block to each pane, are two running aggregates. Between
+    one pane's place in either block and the next nothing changes. A (group, block) is one
+    piece of work; it has no more rows than panes fit into two windows.
+    """
+    if not all(algebraic(a) for a in aggs) or spec.slide > spec.width:
+        raise ValueError("runs need overlapping windows and aggregates that panes can carry")
+    pane, parts = _in_panes(df, spec, aggs, by, ts, [F.lit(1).alias("_held")])
+    parts = parts | {"_held": (None, "max")}
+    width, slide = spec.width * 1000, spec.slide * 1000
+    us, kinds = F.col("_us"), {f.name: f.dataType for f in pane.schema}
+    placed = pane.withColumn("_us", epoch_us("_at")).withColumn("_place", F.pmod("_us", F.lit(width)))
+    block = F.call_function("div", us - F.col("_place"), F.lit(width))
+
+    def role(ends: bool):
+        """Part of windows that start in its own block, or in the one before."""
+        own = {n: F.col(n) for n in parts}
+        none = {n: F.lit(None).cast(kinds[n]) for n in parts}
+        return F.struct((block if ends else block - 1).alias("_block"),
+                        *[(own if ends else none)[n].alias(f"_e{n}") for n in parts],
+                        *[(none if ends else own)[n].alias(f"_b{n}") for n in parts])
+
+    rows = placed.select(*by, "_at", "_us", "_place", F.inline(F.array(role(True), role(False))))
+    piece = [*by, "_block"]
+    up = Window.partitionBy(*piece).orderBy("_place")
+    upto = up.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    since = Window.partitionBy(*piece).orderBy(F.desc("_place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.select(*piece, "_at", "_us", "_place",
+                      *[getattr(F, how)(f"_e{n}").over(since).alias(f"_e{n}") for n, (_, how) in parts.items()],
+                      *[getattr(F, how)(f"_b{n}").over(upto).alias(f"_b{n}") for n, (_, how) in parts.items()])
+    run = run.select("*", F.lag("_place").over(up).isNull().alias("_first"), F.lead("_place").over(up).alias("_next"),
+                     *[F.lead(f"_e{n}").over(up).alias(f"_s{n}") for n in parts])
+
+    def joined(how: str, a: Column, b: Column) -> Column:
+        if how in ("max", "min"):
+            return (F.greatest if how == "max" else F.least)(a, b)
+        return F.coalesce(a + b, a, b)
+
+    def stretch(after: Column, upto_: Column, end: str, begin: bool):
+        """Windows whose start lies after one place of the block and not after another."""
+        low = F.floor((F.col("_block") * width + after) / slide) + 1
+        high = F.floor((F.col("_block") * width + upto_) / slide)
+        return F.struct(low.cast("bigint").alias("_low"), (high - low + 1).cast("bigint").alias("n_windows"), *[
+            (joined(how, F.col(f"{end}{n}"), F.col(f"_b{n}")) if begin else F.col(f"{end}{n}")).alias(n) for n, (_, how) in parts.items()])
+
+    last = F.col("_next").isNull() | (F.col("_next") > F.col("_place"))  # of panes at one place
+    after = F.when(last, stretch(F.col("_place"), F.coalesce("_next", F.lit(width - 1)), "_s", True))
+    before = F.when(F.col("_first"), stretch(F.lit(-1), F.col("_place"), "_e", False))
+    found = run.select(*by, "_at", "_us", F.explode(F.array(before, after)).alias("_run")).where(
+        F.col("_run").isNotNull() & (F.col("_run.n_windows") > 0) & F.col("_run._held").isNotNull())
+    away = ((F.col("_run._low") * slide - us) / F.lit(1_000_000)).cast("decimal(18,6)")
+    start = F.col("_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), away)
+    return found.select(
+        F.struct(start.alias("start"), (start + _span(spec.width)).alias("end")).alias("window"),
+        F.col("_run.n_windows").alias("n_windows"), *by,
+        *[_final(a, {n: F.col(f"_run.{n}") for n in _parts(a)}) for a in aggs],
+    )
+
+
+def _expanded(runs: DataFrame, spec: WindowSpec) -> DataFrame:
+    """One row per window."""
+    each = runs.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_windows") - 1)))
+    start = F.col("window.start") + _span(spec.slide) * F.col("_k")
+    return each.withColumn("window", F.struct(start.alias("start"), (start + _span(spec.width)).alias("end"))).drop("_k", "n_windows")
+
+
 def flat(windowed_df: DataFrame) -> DataFrame:
     """`window` struct to two columns `w_start` and `w_end`."""
     rest = [c for c in windowed_df.columns if c != "window"]

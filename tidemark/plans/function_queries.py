@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark.operators.registry import query_catalog, retarget
 from tidemark.plans.inputs import (
-    day_buckets, iso_sql, noon_index, observations, query_table, result_table, sql, table,
+    LOOKALIKES, day_buckets, iso_sql, lookalike_queries, noon_index, observations, query_table, result_table, sql, table,
 )
 from tidemark.plans.named import named
 
@@ -154,3 +154,28 @@ def patterns(spark, sf_dir):
 
     rows = catalog_patterns(query_catalog(query_table(spark, sf_dir)))
     return rows.select("query_id", "s", "p", "o")
+
+
+def _pieces_sql() -> str:
+    """What the catalogue must find in each of LOOKALIKES, counted by hand: patterns, filters,
+    grouping, a condition on groups, and the aggregate."""
+    found = [(1, 1, 0, False, "avg", "o"), (1, 1, 0, False, "avg", "m"), (1, 1, 0, False, "avg", "o"), (2, 1, 0, False, "avg", "a"),
+             (2, 1, 0, False, "avg", "b"), (2, 1, 0, False, "avg", "b"), (2, 1, 0, False, "max", "o"), (2, 1, 0, False, "max", "o"),
+             (2, 0, 1, True, "count", "*"), (2, 0, 1, True, "count", "*"), (2, 0, 1, True, "count", "s"), (6, 0, 0, False, "count", "v0"),
+             (6, 0, 0, False, "count", "v4"), (6, 0, 0, False, "count", "v0"), (6, 0, 0, False, "count", "*"), (6, 0, 0, False, "count", "*")]
+    assert len(found) == len(LOOKALIKES)
+    values = ", ".join(f"({i}, {p}, {f}, {g}, {str(h).lower()}, '{fn_}', '{v}')" for i, (p, f, g, h, fn_, v) in enumerate(found))
+    return sql("lookalikes", body=f"""
+SELECT query_id, p::BIGINT AS n_patterns, f::BIGINT AS n_filters, g::BIGINT AS n_grouped, h AS has_having, fn AS func, v AS var, true AS understood
+FROM lookalikes JOIN (VALUES {values}) AS t(i, p, f, g, h, fn, v) ON query_id % 100 = i""")
+
+
+@named("sc14_query_clauses", _pieces_sql())
+def query_clauses(spark, sf_dir):
+    """Lists after `;` and `,`, filters, COUNT(*), grouping and HAVING as columns."""
+    rows = query_catalog(lookalike_queries(spark, sf_dir))
+    agg = F.get("aggregates", F.lit(0))
+    return rows.select(
+        "query_id", *[F.size(c).cast("bigint").alias(n) for c, n in (("patterns", "n_patterns"), ("filters", "n_filters"), ("group_by", "n_grouped"))],
+        F.col("having").isNotNull().alias("has_having"), agg["func"].alias("func"), agg["var"].alias("var"), "understood",
+    )

@@ -165,6 +165,45 @@ REWORDED = """
 FIELDS = {"user": "user_text", "fn": "fn", "width": "width_text", "slide": "slide_text", "prop": "event_type"}
 
 
+_HEAD = """PREFIX saref: <https://saref.etsi.org/core/>
+PREFIX @PREFIX@
+REGISTER RStream <out@user@> AS SELECT @SELECT@
+FROM NAMED WINDOW <http://window.example/w> ON STREAM <http://pod.example/u@user@/@prop@/> [RANGE @width@ STEP @slide@]
+WHERE { WINDOW <http://window.example/w> { @BODY@ } } @REST@"""
+
+
+def _query(select: str, body: str, prefix: str = "ex: <http://one.example/>", rest: str = "") -> str:
+    return (_HEAD.replace("@PREFIX@", prefix).replace("@SELECT@", select).replace("@BODY@", body)
+            .replace("@REST@", rest).strip())
+
+
+def _ring(*sizes: int) -> str:
+    """Rings of variables, each tied to the next: alike for every node that is looked at alone."""
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    return " . ".join(f"?v{a + i} saref:isPartOf ?v{a + (i + 1) % n}" for a, n in zip(starts, sizes) for i in range(n))
+
+
+# Queries that look alike: those with one number are the same query, and no others.
+LOOKALIKES = [
+    (0, _query("(AVG(?o) AS ?x)", "?s saref:hasValue ?o . FILTER(?s = ex:a)")),
+    (0, _query("(AVG(?m) AS ?y)", "FILTER ( ?z = <http://one.example/a> ) ?z saref:hasValue ?m", "b: <http://two.example/>")),
+    (1, _query("(AVG(?o) AS ?x)", "?s saref:hasValue ?o . FILTER(?s = ex:a)", "ex: <http://two.example/>")),
+    (2, _query("(AVG(?a) AS ?x)", "?s saref:hasValue ?a ; saref:hasWeight ?b . FILTER(?a > 5)")),
+    (2, _query("(AVG(?b) AS ?x)", "?s saref:hasWeight ?a . # the other way round\n ?s saref:hasValue ?b . FILTER(?b > 5)")),
+    (3, _query("(AVG(?b) AS ?x)", "?s saref:hasValue ?b ; saref:hasWeight ?a . FILTER(?a > 5)")),
+    (4, _query("(MAX(?o) AS ?x)", "?s saref:hasValue ?o ; saref:hasUnit ?u . FILTER(?u = \"a b\")")),
+    (5, _query("(MAX(?o) AS ?x)", "?s saref:hasValue ?o ; saref:hasUnit ?u . FILTER(?u = \"ab\")")),
+    (6, _query("(COUNT(*) AS ?n)", "?s a saref:Measurement , ex:@prop@ .", rest="GROUP BY ?s HAVING (?n > 3)")),
+    (6, _query("(count(*) as ?k)", "?q a ex:@prop@ . ?q a saref:Measurement", rest="group by ?q having (?k > 3)")),
+    (7, _query("(COUNT(?s) AS ?n)", "?s a saref:Measurement , ex:@prop@ .", rest="GROUP BY ?s HAVING (?n > 3)")),
+    (8, _query("(COUNT(?v0) AS ?n)", _ring(6))),
+    (8, _query("(COUNT(?v4) AS ?n)", _ring(6))),
+    (9, _query("(COUNT(?v0) AS ?n)", _ring(3, 3))),
+    (10, _query("(COUNT(*) AS ?n)", _ring(6))),
+    (11, _query("(COUNT(*) AS ?n)", _ring(3, 3))),
+]
+
+
 def _pieces(template: str) -> list[tuple[bool, str]]:
     return [(i % 2 == 1, part) for i, part in enumerate(template.split("@")) if part]
 
@@ -215,6 +254,19 @@ def query_table(spark, sf_dir) -> DataFrame:
     )
 
 
+def lookalike_queries(spark, sf_dir) -> DataFrame:
+    """`query_id, query_text, registered_at`: per user and event type all of LOOKALIKES, an hour apart."""
+    rows = query_table(spark, sf_dir).where(F.col("variant") == 0).select(
+        F.col("query_id").alias("_of"), F.col("registered_at").alias("_first"), "event_type", "fn",
+        *[F.col(c).cast("string").alias(n) for c, n in (("user_id", "user_text"), ("width", "width_text"), ("slide", "slide_text"))])
+    texts = F.array(*[F.struct(F.lit(i).alias("_no"), fill(text).alias("query_text")) for i, (_, text) in enumerate(LOOKALIKES)])
+    # Reading a text costs far more than its bytes suggest: spread by cores, not by size.
+    rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows.select("_of", "_first", F.inline(texts)).select(
+        (F.col("_of") * 100 + F.col("_no")).cast("bigint").alias("query_id"), "query_text",
+        (F.col("_first") + F.make_dt_interval(hours=F.col("_no"))).alias("registered_at"))
+
+
 def hashed_queries(spark, sf_dir) -> DataFrame:
     return query_table(spark, sf_dir).withColumn("query_hash", query_hash("query_text"))
 
@@ -313,6 +365,9 @@ _cte("queries", f"""
   UNION ALL
   SELECT query_no * 10 + 1, {fill_sql(REWORDED)}, registered_at + INTERVAL 1 HOUR,
          user_id, event_type, fn, width, slide, CAST(1 AS BIGINT) FROM made""", "made")
+_cte("lookalikes", "\nUNION ALL\n".join(
+    f"SELECT query_no * 1000 + {i} AS query_id, {fill_sql(text)} AS query_text, registered_at + INTERVAL {i} HOUR AS registered_at, "
+    f"query_no * 100 + {of} AS same FROM made" for i, (of, text) in enumerate(LOOKALIKES)), "made")
 _cte("hashed", r"SELECT *, md5(regexp_replace(query_text, '\s', '', 'g')) AS query_hash FROM queries", "queries")
 
 

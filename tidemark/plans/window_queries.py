@@ -11,7 +11,7 @@ from tidemark.operators.registry import dedup_queries, registry_summary
 from tidemark.operators.discovery import exists_metric
 from tidemark.plans.continuous import over_observations
 from tidemark.plans.inputs import (
-    AGGS, AVG2, DAILY, HOUR, REPRESENTATIVE, SENSOR, SIX_HOURLY, SUM2, at, day_buckets, noon_index,
+    AGGS, AVG2, DAILY, HOUR, REPRESENTATIVE, SENSOR, SIX_HOURLY, SUM2, at, day_buckets, lookalike_queries, noon_index,
     observations, query_table, result_table, sql, subscriptions, triples, type_index, windows_sql,
 )
 from tidemark.plans.named import named
@@ -112,6 +112,13 @@ def registry_counts(spark, sf_dir):
     return registry_summary(query_table(spark, sf_dir))
 
 
+@named("ag9_lookalike_counts", sql("lookalikes", body="""
+SELECT 'registered' AS status, count(*) AS n FROM lookalikes
+UNION ALL SELECT 'executing', count(DISTINCT same) FROM lookalikes"""))
+def lookalike_counts(spark, sf_dir):
+    return registry_summary(lookalike_queries(spark, sf_dir))
+
+
 @named("wn1_sliding", sql("win180s", body="""
 SELECT w_start, w_end, stream, count(value) AS n, max(value) AS max_value FROM win180s GROUP BY ALL"""))
 def sliding(spark, sf_dir):
@@ -137,16 +144,33 @@ def uneven_slide(spark, sf_dir):
     return windows.flat(windows.windowed(observations(spark, sf_dir), WindowSpec(180_000, 30_001), aggs, ["property"]))
 
 
-# 300 windows overlap; each one's result is computed, and told by day to keep the answer short.
-@named("wn1_step_20ms", sql("obs", body=f"""
-SELECT date_trunc('day', w_start)::TIMESTAMP AS day, property, count(*) AS n_windows, sum(n)::BIGINT AS n, max(max_value) AS max_value
-FROM (SELECT w_start, property, count(value) AS n, max(value) AS max_value
-      FROM ({windows_sql('obs', 'INTERVAL 6000 MILLISECOND', 'INTERVAL 20 MILLISECOND', 300)}) GROUP BY ALL) GROUP BY ALL"""))
+# 180,000 windows overlap. The result of each is there, in runs of equal neighbours; it is told by
+# day to keep the answer short. The twin adds up the windows that each event is in.
+@named("wn1_step_20ms", sql("obs", body="""
+, held AS (SELECT property, value, (epoch_us(ts) - 3600000000) // 20000 + 1 AS low, epoch_us(ts) // 20000 AS high FROM obs),
+days AS (SELECT property, value, d, greatest(low, d * 4320000) AS low, least(high, (d + 1) * 4320000 - 1) AS high
+         FROM held, unnest(range(low // 4320000, high // 4320000 + 1)) AS u(d)),
+fresh AS (SELECT *, high - greatest(low - 1, coalesce(max(high) OVER (
+            PARTITION BY property, d ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), low - 1)) AS more FROM days)
+SELECT TIMESTAMP '1970-01-01' + d::INT * INTERVAL 1 DAY AS day, property, sum(greatest(more, 0))::BIGINT AS n_windows,
+       sum(high - low + 1)::BIGINT AS n, max(value) AS max_value
+FROM fresh GROUP BY ALL"""))
 def step_20ms(spark, sf_dir):
     aggs = [Agg("count", "value", "n"), Agg("max", "value", "max_value")]
-    found = windows.flat(windows.windowed(observations(spark, sf_dir), WindowSpec(6000, 20), aggs, ["property"]))
+    found = windows.flat(windows.windowed_runs(observations(spark, sf_dir), WindowSpec(HOUR, 20), aggs, ["property"]))
     day = F.date_trunc("day", "w_start").cast("timestamp_ntz").alias("day")
-    return found.groupBy(day, "property").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n"), F.max("max_value").alias("max_value"))
+    return found.groupBy(day, "property").agg(
+        F.sum("n_windows").alias("n_windows"), F.sum(F.col("n") * F.col("n_windows")).alias("n"), F.max("max_value").alias("max_value"))
+
+
+# Each of 300 overlapping windows as a row of its own, for one property.
+@named("wn1_step_20ms_rows", sql("obs", body=f"""
+SELECT w_start, w_end, count(value) AS n, min(value) AS min_value
+FROM ({windows_sql('obs', 'INTERVAL 6000 MILLISECOND', 'INTERVAL 20 MILLISECOND', 300)}) WHERE property = '{PURCHASE}' GROUP BY ALL"""))
+def step_20ms_rows(spark, sf_dir):
+    aggs = [Agg("count", "value", "n"), Agg("min", "value", "min_value")]
+    bought = observations(spark, sf_dir).where(F.col("property") == PURCHASE)
+    return windows.flat(windows.windowed(bought, WindowSpec(6000, 20), aggs))
 
 
 @named("wn2_tumbling", sql("win1d", body=f"""
@@ -333,6 +357,17 @@ def unique_queries(spark, sf_dir):
     return dedup_queries(query_table(spark, sf_dir))
 
 
+@named("st5_dedup_lookalikes", sql("lookalikes", body=r"""
+SELECT arg_min(query_id, registered_at) AS query_id,
+       md5(regexp_replace(arg_min(query_text, registered_at), '\s', '', 'g')) AS query_hash,
+       min(registered_at) AS registered_at, count(*) AS registrations
+FROM lookalikes GROUP BY same"""))
+def unique_lookalikes(spark, sf_dir):
+    """Queries that differ in a prefix, in which variable is which, in the white space of a
+    literal, or in how symmetric patterns hang together; next to rewordings of the same."""
+    return dedup_queries(lookalike_queries(spark, sf_dir))
+
+
 @named("st6_subscribe", sql("subscriptions", body="""
 SELECT query_hash, client_id, count(*) AS n FROM (
   SELECT * FROM subscriptions UNION ALL SELECT * FROM subscriptions WHERE client_id < 'client5') GROUP BY ALL"""))
