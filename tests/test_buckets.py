@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import buckets, ordering
+from tidemark.operators import buckets, ordering, provenance
 from tidemark.operators.provenance import trace
 from tidemark.sources.event_log import bucket_index, read_log, write_log
 
@@ -81,8 +81,17 @@ def test_pruned_buckets(spark, frm, to, expected):
     assert sorted(r["node"] for r in out.collect()) == expected
 
 
-@pytest.mark.parametrize("cell_ms,cell_rows", [(1000, 1), (None, 10**9), (None, 100), (None, 1)])
-def test_positions_on_skewed_groups(skewed, cell_ms, cell_rows):
+@pytest.fixture
+def many_parts(spark):
+    """Small partitions are not put together."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    yield
+    spark.conf.unset(setting)
+
+
+@pytest.mark.parametrize("limit", [0, 10_485_760])
+def test_positions_on_skewed_groups(spark, skewed, many_parts, limit):
     data, df = skewed
     groups = defaultdict(list)
     for stream, member, seq, ts in data:
@@ -92,19 +101,25 @@ def test_positions_on_skewed_groups(skewed, cell_ms, cell_rows):
         rows.sort()
         last = {ts: i for i, (ts, _, _) in enumerate(rows)}
         expected.update({m: (i, last[ts], len(rows)) for i, (ts, _, m) in enumerate(rows)})
-    out = ordering.positions(df, ["stream"], cell_ms=cell_ms, cell_rows=cell_rows, peers=True).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        out = ordering.positions(df, ["stream"], peers=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r["member_id"]: (r["ordinal"], r["last_peer"], r["group_size"]) for r in out} == expected
 
 
-def test_positions_cut_a_hot_group(spark, skewed):
-    """The rows of the group with a third of all rows do not meet in one task."""
-    setting = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(setting, "false")  # small partitions would be put together
-    try:
-        placed = ordering.positions(skewed[1].where("stream = 's0'"), ["stream"], cell_ms=60_000)
-        assert placed.select(F.spark_partition_id().alias("part")).distinct().count() == 8
-    finally:
-        spark.conf.unset(setting)
+def test_one_group_at_one_instant_is_many_tasks(spark, many_parts, tmp_path, monkeypatch):
+    df = spark.range(4000).select(F.lit("g").alias("stream"), F.lit(at(1)).cast("timestamp_ntz").alias("ts"), F.col("id").alias("seq")).repartition(5)
+    kept = []
+    real = ordering.stored
+    monkeypatch.setattr(ordering, "stored", lambda d, purpose: kept.append(real(d, purpose)) or kept[-1])
+    for ties in (["seq"], []):
+        out = {r["seq"]: r["ordinal"] for r in ordering.positions(df, ["stream"], ties=ties).collect()}
+        assert sorted(out.values()) == list(range(4000))
+        assert not ties or all(k == v for k, v in out.items())
+        sizes = [r["count"] for r in kept[-2].groupBy("_range").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1000
 
 
 def test_positions_keep_empty_groups_and_times(spark):
@@ -143,7 +158,7 @@ def brute_rebalance(rows, size):
 def test_rebalance(skewed, size):
     data, df = skewed
     named = df.withColumn("bucket", F.concat(F.lit("http://h/"), "stream", F.lit("/0/")))
-    out = buckets.rebalance(named, size, cell_ms=60_000).collect()
+    out = buckets.rebalance(named, size).collect()
     assert len(out) == len(data)
     groups = defaultdict(list)
     for stream, member, seq, ts in data:
@@ -189,6 +204,19 @@ def test_trace(spark, bounds):
         trace(results, members, "()")
 
 
+@pytest.mark.parametrize("lengths", [16, 1])
+def test_trace_of_windows_of_many_lengths(spark, monkeypatch, lengths):
+    monkeypatch.setattr(provenance, "LENGTHS", lengths)
+    rng = random.Random(5)
+    spans = [(f"r{i}", f"s{i % 2}", a, a + d) for i in range(150) for a, d in [(rng.randint(-50, 500), rng.choice([0, 1, 2, 7, 60, 64, 400]))]]
+    members = [(f"s{i % 2}", f"m{i}", rng.randint(-60, 900)) for i in range(200)]
+    out = trace(
+        spark.createDataFrame([(e, s, at(a), at(b)) for e, s, a, b in spans], "event_id string, stream string, started_at timestamp_ntz, ended_at timestamp_ntz"),
+        spark.createDataFrame([(s, m, at(t)) for s, m, t in members], "stream string, member_id string, ts timestamp_ntz"))
+    got = Counter((r["event_id"], r["member_id"]) for r in out.collect())
+    assert got == Counter((e, m) for e, s, a, b in spans for of, m, t in members if s == of and a <= t <= b)
+
+
 def test_log_opens_only_the_days_it_needs(spark, skewed, tmp_path):
     data, df = skewed
     path = str(tmp_path / "log")

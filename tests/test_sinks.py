@@ -97,6 +97,23 @@ def test_delivery(spark):
     assert delivery.undeliverable(both, subs).count() == 5
 
 
+def test_only_hot_queries_are_spread(spark):
+    subs = spark.createDataFrame([("hot", f"c{i}") for i in range(3)] + [("cold", "c9")], "query_hash string, client_id string")
+    both = results(spark, 900, "hot").unionByName(results(spark, 30, "cold"))
+    out = delivery.fan_out(both, subs, hot_rows=100)
+    assert out.count() == 2730 and set(out.columns) == {*both.columns, "client_id"}
+    assert out.groupBy("event_id", "client_id").count().where("count > 1").isEmpty()
+
+
+def test_batches_of_one_instant_are_all_stored(spark, tmp_path):
+    path, at_once = str(tmp_path / "buckets"), results(spark, 40).withColumn("emitted_at", F.lit(T0).cast("timestamp_ntz"))
+    batches = publish.publish_batches(at_once)
+    publish.write_buckets(batches.where("batch = 0"), path)
+    for _ in range(2):
+        publish.write_buckets(batches, path, existing=spark.read.parquet(path))
+    assert spark.read.parquet(path).count() == 40
+
+
 def test_discovery(spark):
     rel, view = "https://saref.etsi.org/core/relatesToProperty", "https://w3id.org/tree#view"
     rows = [("p1", "d1", rel, "bvp", 1), ("p1", "d1", view, "v1", 2), ("p1", "d2", view, "v2", 3), ("p2", "d3", rel, "skt", 1),

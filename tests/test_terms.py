@@ -53,3 +53,18 @@ def test_expand_iri_without_prefixes(spark):
 ])
 def test_url_and_time_terms(spark, column, expected):
     assert value(spark, column()) == expected
+
+
+def test_times_do_not_depend_on_the_zone(spark):
+    from tidemark.functions import epoch_ms, epoch_us
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Brussels", "America/St_Johns"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            row = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-31 02:30:00.123456' AS a, TIMESTAMP_NTZ'1969-12-31 23:59:59.9995' AS b, "
+                            "'2024-07-01T00:00:00.250Z' AS c").select(
+                epoch_us("a").alias("a"), epoch_ms("a").alias("am"), epoch_us("b").alias("b"), epoch_ms("b").alias("bm"), epoch_ms("c").alias("c")).first()
+            assert tuple(row) == (1711852200123456, 1711852200123, -500, -1, 1719792000250)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

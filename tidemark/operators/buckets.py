@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bucket_url_sibling, epoch_ms, epoch_us, time_cell
 from tidemark.operators.ordering import cell_counts, positions
+from tidemark.session import stored
 
 NO_BUCKET = "none"
 BROADCAST_INDEX_ROWS = 10_000
@@ -134,7 +135,6 @@ def rebalance(
     by: Sequence[str] = ("stream", "bucket"),
     ts: str = "ts",
     ties: Sequence[str] = ("seq",),
-    cell_ms: int | None = None,
 ) -> DataFrame:
     """Splits overfull buckets: `bucket` becomes the new one, `old_bucket` keeps the former.
 
@@ -143,7 +143,7 @@ def rebalance(
     than its own time; rows before the first start stay. So rows with one event time stay
     together and a bucket may exceed `size`.
     """
-    placed = positions(members, by, ts, ties, cell_ms, peers=True)
+    placed = positions(members, by, ts, ties, peers=True)
     chunked = placed.withColumn("_chunk", F.floor(F.col("last_peer") / size).cast("bigint"))
     chunk = [*by, "_chunk"]
     # All rows of a chunk are at or after its first place, so the least time is that of the start.
@@ -169,12 +169,13 @@ def initial_load(
 ) -> DataFrame:
     """Members into buckets: as-of over the index, one new bucket for what lies before it
     (named by the least time of the load), then rebalanced."""
-    placed = assign_bucket(members, index, ts=ts, cell_ms=cell_ms)
-    first = earliest_ts(members, [root], ts)
+    # The least time of a stream is one bound more of its index, which takes what no other does: the
+    # members meet the index once, and are joined with nothing else.
+    first = earliest_ts(members, [root], ts).where(F.col(root).isNotNull() & F.col("earliest").isNotNull())
     new_bucket = F.concat(root, epoch_ms("earliest").cast("string"), F.lit("/"))
-    # Null-safe: members of no known stream are loaded too, and keep `none` where no bound applies.
-    first = first.withColumnRenamed(root, "_root")
-    loaded = placed.join(first, F.col(root).eqNullSafe(F.col("_root")), "left").withColumn(
-        "bucket", F.when(F.col("bucket") == NO_BUCKET, F.coalesce(new_bucket, F.lit(NO_BUCKET))).otherwise(F.col("bucket"))
-    )
-    return rebalance(loaded.drop("earliest", "_root"), size, (root, "bucket"), ts, ties, cell_ms)
+    known = _usable(index, (root,)).groupBy(F.col(root).alias("_root")).agg(F.min("value").alias("_least"))
+    needed = first.join(known, F.col(root) == F.col("_root"), "left").where(F.col("_least").isNull() | (F.col("earliest") < F.col("_least")))
+    added = needed.select(root, new_bucket.alias("node"), F.col("earliest").alias("value"))
+    wider = stored(index.select(root, "node", "value").unionByName(added), "wider-index")
+    placed = assign_bucket(members, wider, (root,), ts, cell_ms)
+    return rebalance(placed, size, (root, "bucket"), ts, ties)

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+# Results of one query that one task delivers.
+HOT_ROWS = 1_000_000
 
 
-def fan_out(results: DataFrame, subscriptions: DataFrame, salts: int = SALTS, spread: str = "event_id"):
+def fan_out(results: DataFrame, subscriptions: DataFrame, hot_rows: int = HOT_ROWS, spread: str = "event_id"):
     """Every result to every subscriber of its query hash.
 
-    One query may hold a large part of the results. Its rows are spread over `salts` keys,
-    and the subscriptions, short rows of two texts, are repeated once per key.
+    Results are counted by hash, with partial counts. Where a hash has more than `hot_rows`, its
+    rows are spread over as many keys as it has such portions, and its subscriptions repeated
+    once per key; nothing is repeated for the others. There are at most as many such hashes as
+    the table has portions, so their list is sent around.
     """
-    salted = results.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = subscriptions.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
+    counts = results.groupBy("query_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = F.broadcast(counts.select("query_hash", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = results.join(hot, "query_hash", "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    copies = subscriptions.join(hot, "query_hash", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted.join(copies, ["query_hash", "_salt"]).drop("_salt")
 
 

@@ -57,60 +57,45 @@ def cell_counts(
 
 
 def positions(
-    df: DataFrame,
-    group: Sequence[str],
-    ts: str = "ts",
-    ties: Sequence[str] = ("seq",),
-    cell_ms: int | None = None,
-    peers: bool = False,
-    cell_rows: int = CELL_ROWS,
+    df: DataFrame, group: Sequence[str], ts: str = "ts", ties: Sequence[str] = ("seq",), peers: bool = False,
 ) -> DataFrame:
     """Adds `ordinal`, the 0-based place in the group by (ts, ties), and `group_size`;
     with `peers` also `last_peer`, the highest ordinal among rows of the group with its ts.
 
-    No task sorts a whole group. A group is cut into time cells, the cells are counted
-    (see `cell_counts`), and a row's place is the count of the cells before its own plus its
-    place in the cell. Each cell's count travels as one more row ahead of the cell's rows:
-    one shuffle, one sort and no join, and empty group values are a group like any other.
+    Rows are cut into ranges over (group, ts, ties), whatever their groups: a group, and rows of
+    one instant, lie in as many ranges as they fill. Ranges are sorted and written, rows are
+    counted per (range, group), and a place is the group's rows in the ranges before plus the
+    place in its own. The input is read twice, to find the ranges and to fill them. Rows that
+    are equal in all of that are told apart by a number drawn for them.
     """
-    length, counts = cell_counts(df, group, ts, cell_ms, cell_rows)
-    cell = [*group, "_cell"]
-    earlier = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    heads = counts.select(
-        *cell,
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in group],
-        F.lit(0).alias("_row"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*group)).alias("_size"),
-    )
-    rows = df.withColumns({
-        "_cell": time_cell(ts, length), "_row": F.lit(1),
-        "_before": F.lit(None).cast("bigint"), "_size": F.lit(None).cast("bigint"),
-    })
-    in_order = Window.partitionBy(*cell).orderBy("_row", ts, *ties)
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.unionByName(heads).withColumns({
-        "ordinal": F.max("_before").over(so_far) + F.row_number().over(in_order) - 2,
-        "group_size": F.max("_size").over(so_far),
-    })
-    if peers:
-        # The frame up to the current row holds all rows of the same ts, whatever the ties.
-        by_time = Window.partitionBy(*cell).orderBy("_row", ts)
-        placed = placed.withColumn("last_peer", F.max("ordinal").over(by_time))
-    return placed.where(F.col("_row") == 1).drop("_cell", "_row", "_before", "_size")
+    order = [*group, ts, *ties, "_lot"]
+    cut = df.withColumn("_lot", F.rand(0)).repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # counts up within a range, and from range to range
+    ranged = stored(cut.select(*df.columns, F.spark_partition_id().alias("_range"), at.alias("_at")), "ranges")
+    piece = ["_range", *group]
+    sizes = stored(ranged.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")), "range-sizes")
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in piece], "_first",
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("group_size"))
+    # The key holds the range, so a group's rows meet in as many tasks as they fill ranges.
+    rows = ranged.join(before, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in piece])
+    placed = rows.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("ordinal"), "group_size")
+    if not peers:
+        return placed
+    key = [*group, ts]
+    shared = placed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in key]).agg(
+        F.max("ordinal").alias("_last"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    return placed.join(shared, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key], "left").select(
+        *placed.columns, F.coalesce("_last", "ordinal").alias("last_peer"))
 
 
 def ordinal_batch(
-    df: DataFrame,
-    group: Sequence[str],
-    size: int,
-    ts: str = "ts",
-    ties: Sequence[str] = ("seq",),
-    cell_ms: int | None = None,
+    df: DataFrame, group: Sequence[str], size: int, ts: str = "ts", ties: Sequence[str] = ("seq",),
 ) -> DataFrame:
     """Adds `batch` (rows 0..size-1 of a group form batch 0, and so on) and `full`, whether
     the batch has all its rows."""
-    placed = positions(df, group, ts, ties, cell_ms)
+    placed = positions(df, group, ts, ties)
     return placed.select(
         *df.columns, "ordinal",
         F.floor(F.col("ordinal") / size).cast("bigint").alias("batch"),

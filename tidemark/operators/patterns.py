@@ -145,10 +145,13 @@ def first_event_time(triples: DataFrame, path: str = HAS_TIMESTAMP, seq: str = "
     return triples.where(F.col("p") == path).groupBy("member_id").agg(first.alias("event_time"))
 
 
-def share_event_time(triples: DataFrame, path: str = HAS_TIMESTAMP) -> DataFrame:
-    """All triples of a member get the member's event time as `ts`; members without one drop out."""
-    times = event_times(triples, path).where(F.col("event_time").isNotNull())
-    per_member = times.groupBy("member_id").agg(F.min("event_time").alias("ts"))
+def share_event_time(triples: DataFrame, path: str = HAS_TIMESTAMP, seq: str | None = None) -> DataFrame:
+    """All triples of a member get the member's event time as `ts`; members without one drop out.
+
+    Of several times the one stated first counts, where `seq` names the order; else the least."""
+    time = F.col("o").try_cast("timestamp").cast("timestamp_ntz")
+    stated = triples.where(F.col("p") == path).select("member_id", time.alias("ts"), F.col(seq).alias("_seq") if seq else time.alias("_seq"))
+    per_member = stated.where(F.col("ts").isNotNull()).groupBy("member_id").agg(F.min_by("ts", "_seq").alias("ts"))
     return triples.drop("ts").join(per_member, "member_id")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import time_cell
+from tidemark.functions import epoch_us
 from tidemark.model import VOCALS_ENDED_AT, VOCALS_STARTED_AT
-from tidemark.operators.ordering import HOUR_MS
+
+# Lengths of windows that are taken as they are.
+LENGTHS = 16
 
 
 def window_bounds(result_triples: DataFrame) -> DataFrame:
@@ -23,20 +25,32 @@ def window_bounds(result_triples: DataFrame) -> DataFrame:
     return bounds.dropna()
 
 
-def trace(results: DataFrame, members: DataFrame, bounds: str = "[]", cell_ms: int = HOUR_MS) -> DataFrame:
+def trace(results: DataFrame, members: DataFrame, bounds: str = "[]") -> DataFrame:
     """Source members of every result: same stream, event time within the result's window.
 
-    A window is laid over the time cells it touches and meets members by (stream, cell), an
-    equality that also cuts a stream into many keys; the bounds then decide.
+    Time is cut into cells as long as the window, so a window lies in two cells at most, and a
+    member, in one cell of each length, meets at most about twice the windows that hold it.
+    Windows of more than LENGTHS lengths are put under the next power of two microseconds.
+    (stream, length, cell) also cuts a stream into many keys; the bounds then decide.
     `bounds` is `[]` (both ends in) or `[)`.
     """
     if bounds not in ("[]", "[)"):
         raise ValueError(f"unknown bounds {bounds!r}")
-    touched = F.sequence(time_cell("started_at", cell_ms), time_cell("ended_at", cell_ms))
-    windows = results.select(
-        "event_id", "stream", "started_at", "ended_at", F.explode(touched).alias("_cell")
-    )
-    rows = members.withColumn("_cell", time_cell("ts", cell_ms))
+    span = F.greatest(epoch_us("ended_at") - epoch_us("started_at"), F.lit(1))
+    windows = results.select("event_id", "stream", "started_at", "ended_at", span.alias("_length")).where(F.col("_length").isNotNull())
+    lengths = [r[0] for r in windows.select("_length").distinct().limit(LENGTHS + 1).collect()]
+    if len(lengths) > LENGTHS:
+        power = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ceil(F.log2(F.col("_length").cast("double"))).cast("int"))
+        windows = windows.withColumn("_length", F.greatest(power, "_length"))  # a rounded logarithm may fall short
+        windows = windows.withColumn("_length", F.when(power >= F.col("_length"), power).otherwise(power * 2))
+        lengths = [r[0] for r in windows.select("_length").distinct().collect()]  # 64 at most
+
+    def cell(ts: str):
+        return F.call_function("div", epoch_us(ts) - F.pmod(epoch_us(ts), F.col("_length")), F.col("_length"))
+
+    laid = windows.select("*", F.explode(F.sequence(cell("started_at"), cell("ended_at"))).alias("_cell"))
+    kinds = F.array(*[F.lit(n).cast("bigint") for n in lengths]) if lengths else F.array().cast("array<bigint>")
+    rows = members.withColumn("_length", F.explode(kinds)).withColumn("_cell", cell("ts"))
     ts, end = F.col("ts"), F.col("ended_at")
     inside = (ts >= F.col("started_at")) & (ts <= end if bounds == "[]" else ts < end)
-    return windows.join(rows, ["stream", "_cell"]).where(inside).select("event_id", "member_id", "ts")
+    return laid.join(rows, ["stream", "_length", "_cell"]).where(inside).select("event_id", "member_id", "ts")

@@ -11,7 +11,7 @@ from tidemark.model import (
 from tidemark.operators import buckets, delivery, discovery, patterns, provenance, registry, windows
 from tidemark.plans.continuous import over_triples
 from tidemark.plans.inputs import (
-    AVG2, DAILY, HOUR, REPRESENTATIVE, SENSOR, SIX_HOURLY, at, day_buckets, hashed_queries,
+    AVG2, DAILY, REPRESENTATIVE, SENSOR, SIX_HOURLY, at, day_buckets, hashed_queries,
     noon_index, observations, query_table, result_table, sql, subscriptions, table, triples, type_index,
 )
 from tidemark.plans.named import named
@@ -108,6 +108,17 @@ def share_event_time(spark, sf_dir):
     return patterns.share_event_time(triples(spark, sf_dir)).select("member_id", "s", "p", "o", "ts")
 
 
+@named("prj2_share_first_time", sql("triples", body=f"""
+, stated AS (SELECT *, 1 AS seq FROM triples UNION ALL
+  SELECT stream, member_id, ts, s, p, '1999-01-01T00:00:00.000Z', o_type, o_datatype, o_lang, 2 FROM triples WHERE p = '{HAS_TIMESTAMP}')
+SELECT member_id, s, p, o, date_trunc('millisecond', ts) AS ts FROM stated"""))
+def share_first_time(spark, sf_dir):
+    """Members that state an earlier time after their own."""
+    rows = triples(spark, sf_dir).withColumn("seq", F.lit(1))
+    later = rows.where(F.col("p") == HAS_TIMESTAMP).withColumns({"o": F.lit("1999-01-01T00:00:00.000Z"), "seq": F.lit(2)})
+    return patterns.share_event_time(rows.unionByName(later), seq="seq").select("member_id", "s", "p", "o", "ts")
+
+
 @named("prj3_window_bounds", sql("results", body="""
 SELECT event_id AS s, started_at AS timestamp_from, ended_at AS timestamp_to FROM results"""))
 def window_bounds(spark, sf_dir):
@@ -182,10 +193,10 @@ def assign_bucket_long_index(spark, sf_dir):
 
 @named("jn4_trace_provenance", sql("daily_results", body="""
 SELECT r.event_id, o.member_id FROM daily_results r JOIN obs o
-ON o.stream = r.stream AND o.ts BETWEEN r.started_at AND r.ended_at WHERE r.var = 'max_value'"""))
+ON o.stream = r.stream AND o.ts BETWEEN r.started_at AND r.ended_at"""))
 def trace_provenance(spark, sf_dir):
-    results = result_table(spark, sf_dir, DAILY).where(F.col("var") == "max_value")
-    return provenance.trace(results, observations(spark, sf_dir), cell_ms=6 * HOUR).select("event_id", "member_id")
+    results = stored(result_table(spark, sf_dir, DAILY), "results")
+    return provenance.trace(results, observations(spark, sf_dir)).select("event_id", "member_id")
 
 
 @named("jn5_find_streams", sql("type_index", body=f"""
@@ -213,9 +224,9 @@ def reuse_lookup(spark, sf_dir):
 
 
 @named("jn8_deliver", sql("daily_results", "subscriptions", body="""
-SELECT event_id, query_hash, client_id FROM daily_results JOIN subscriptions USING (query_hash) WHERE var = 'avg_value'"""))
+SELECT event_id, query_hash, client_id FROM daily_results JOIN subscriptions USING (query_hash)"""))
 def deliver(spark, sf_dir):
-    results = result_table(spark, sf_dir, DAILY).where(F.col("var") == "avg_value")
+    results = stored(result_table(spark, sf_dir, DAILY), "results")
     return delivery.fan_out(results, subscriptions(spark, sf_dir)).select("event_id", "query_hash", "client_id")
 
 

@@ -15,7 +15,7 @@ from tidemark.plans.inputs import (
     DAILY, HOUR, LIVE_EVENTS, SENSOR, at, day_buckets, iso_sql, noon_index, observations, query_table, result_table, sql,
     subscriptions, table, triples,
 )
-from tidemark.plans.named import named
+from tidemark.plans.named import SQL, named
 from tidemark.plans.window_queries import rebalance_sql
 from tidemark.session import fresh_folder, stored
 from tidemark.sinks import publish
@@ -147,6 +147,16 @@ def write_buckets(spark, sf_dir):
     return spark.read.parquet(path).select("event_id", "query_hash", "batch", "bucket_ts")
 
 
+@named("snk2_write_buckets_again", SQL["snk2_write_buckets"])
+def write_buckets_again(spark, sf_dir):
+    """Batches that come in two calls, the second with all that the first had."""
+    path = fresh_folder(spark, "buckets")
+    batches = stored(publish.publish_batches(stored(result_table(spark, sf_dir), "results")), "batches")
+    publish.write_buckets(batches.where("batch % 3 = 0"), path)
+    publish.write_buckets(batches, path, existing=spark.read.parquet(path))
+    return spark.read.parquet(path).select("event_id", "query_hash", "batch", "bucket_ts")
+
+
 _RESULT_TRIPLES = " UNION ALL ".join(
     f"SELECT event_id AS s, '{p}' AS p, {o} AS o FROM daily_results" for p, o in [
         (RDF_TYPE, f"'{SAREF}Measurement'"),

@@ -61,10 +61,9 @@ def publish_batches(
     flush: bool = False,
     ts: str = "emitted_at",
     ties: Sequence[str] = ("event_id",),
-    cell_ms: int | None = None,
 ) -> DataFrame:
     """Results with their `batch`; only full batches, unless `flush` asks for the rest too."""
-    batched = ordinal_batch(results, group, size, ts, ties, cell_ms)
+    batched = ordinal_batch(results, group, size, ts, ties)
     return (batched if flush else batched.where("full")).drop("full")
 
 
@@ -76,17 +75,20 @@ def bucketed(batches: DataFrame, group: Sequence[str] = ("query_hash",), ts: str
 
 def write_buckets(
     batches: DataFrame, path: str, existing: DataFrame | None = None,
-    group: Sequence[str] = ("query_hash",), ts: str = "emitted_at",
+    group: Sequence[str] = ("query_hash",), ts: str = "emitted_at", ids: Sequence[str] = ("event_id",),
 ) -> None:
-    """Appends published batches by bucket; a bucket that exists is left as it is.
+    """Appends published batches by bucket; what a bucket holds already is left as it is.
 
+    A bucket is named by a time, so batches that end at one instant share it: rows are known by
+    their ids, and a full batch is stored whatever call brings it. Rows that come again are not.
     Buckets hold some twenty rows, far too few for a folder each: they are rows of day
     partitions, and files are cut by ranges over (day, bucket).
     """
     rows = bucketed(batches, group, ts)
     if existing is not None:
-        known = existing.select(*group, "bucket_ts").distinct()
-        rows = rows.join(known, [*group, "bucket_ts"], "left_anti")
+        key = [*group, "bucket_ts", *ids]
+        known = existing.select(*[F.col(c).alias(f"_of_{c}") for c in key])
+        rows = rows.join(known, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key], "left_anti")
     dated = rows.withColumn("bucket_date", F.to_date(F.timestamp_millis("bucket_ts")))
     dated.repartitionByRange("bucket_date", "bucket_ts").write.mode("append").partitionBy(
         "bucket_date"
