@@ -35,6 +35,57 @@ def test_panes_agree_with_direct(obs, spec):
     assert rows(windows.flat(direct)) == rows(windows.flat(windows.windowed(obs, spec, aggs, ["property"], panes=True)))
 
 
+@pytest.mark.parametrize("spec", [WindowSpec(180_000, 30_000), WindowSpec(7 * HOUR, 3 * HOUR), WindowSpec(30 * HOUR, HOUR), WindowSpec(100_000, 30_001)])
+def test_runs_and_differences_agree_with_direct(spark, spec, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    near = [0, 30, 59.98, 60, 90.000001, 5000]
+    data = [(rng.choice("ab") if i % 7 else None, at(rng.choice(near) if i % 3 else rng.uniform(-90_000, 90_000)),
+             rng.choice([None, 1.25, 2.5, 2.5, -3.0])) for i in range(400)] + [("a", None, 1.0)]
+    df = spark.createDataFrame(data, "k string, ts timestamp_ntz, value double").repartition(4)
+    plain = [Agg("max"), Agg("min"), Agg("count"), Agg("count", "*"), Agg("sum", exact=2), Agg("avg", exact=2), Agg("sample")]
+    distinct = [Agg("count", "value", "dc", distinct=True), Agg("sum", "value", "ds", distinct=True, exact=2), Agg("avg", "value", "da", distinct=True, exact=2),
+                Agg("count", "k", "dk", distinct=True), Agg("group_concat", "k", "ks"), Agg("sum", "value", "df", distinct=True)]
+    monkeypatch.setattr(windows, "RUNS_FROM", 1)
+    for aggs in (plain, [*plain, *distinct]):
+        for by in ([], ["k"]):
+            direct = windows.windowed(df, spec, aggs, by, panes=False)
+            assert rows_of(direct) == rows_of(windows.windowed(df, spec, aggs, by))
+
+
+def rows_of(df):
+    return sorted(map(repr, windows.flat(df).collect()))
+
+
+def test_runs_do_not_grow_with_the_overlap(spark):
+    df = spark.createDataFrame([(at(i * 0.7), float(i % 5)) for i in range(200)], "ts timestamp_ntz, value double")
+    out = windows.windowed_runs(df, WindowSpec(HOUR, 20), [Agg("count"), Agg("max")]).collect()
+    assert len(out) <= 2 * 200 + 2
+    assert sum(r["n_windows"] for r in out) == (HOUR + 139_300) // 20
+    assert sum(r["n_windows"] * r["count_value"] for r in out) == 200 * HOUR // 20
+
+
+def test_two_windows_meet_as_bags(spark):
+    """Pairs of solutions that agree are counted one by one, as in nested loops."""
+    obs = spark.createDataFrame(
+        [("l", "m1", 1, at(1), "a", 5.0), ("l", "m2", 2, at(2), "a", 5.0), ("l", "m3", 3, at(3), "b", 7.0), ("l", "m3", 3, at(3), "b", 7.0),
+         ("r", "n1", 4, at(4), "a", 5.0), ("r", "n2", 5, at(5), "a", 5.0), ("r", "n3", 6, at(6), "a", 6.0), ("r", "n4", 7, at(70), "b", 7.0), ("r", "n5", 8, at(9), "b", 7.0)],
+        "stream string, member_id string, seq long, ts timestamp_ntz, property string, value double")
+    specs = (WindowSpec(60_000, 60_000, "w1", "l"), WindowSpec(120_000, 60_000, "w2", "r"))
+    patterns = tuple(Pattern(m, p, o, w) for m, w in (("?x", "w1"), ("?y", "w2")) for p, o in ((RELATES_TO_PROPERTY, "?s"), (HAS_VALUE, "?o")))
+    aggs = (Agg("count", "*", "n"), Agg("avg", "o", "mean"), Agg("sum", "o", "total"), Agg("max", "o", "top"), Agg("count", "y", "ys", distinct=True))
+    out = rows(windows.flat(over_triples(ContinuousQuery(aggs, specs, patterns), to_triples(obs))))
+    assert out == [(at(0), at(60), 5, 27 / 5, 27.0, 7.0, 3)]
+    by_sensor = over_triples(ContinuousQuery(aggs[:2], specs, patterns, group_by=("s",), having="n > 1"), to_triples(obs)).collect()
+    assert [(r["s"], r["n"], r["mean"]) for r in by_sensor] == [("a", 4, 5.0)]
+    for bad in (patterns[:2], (*patterns, Pattern("?z", "p", "?q", "w9")), (patterns[0], Pattern("?q", "p", "?z", "w2"))):
+        with pytest.raises(ValueError):
+            over_triples(ContinuousQuery(aggs[:1], specs, bad), to_triples(obs))
+    with pytest.raises(ValueError):
+        Agg("sum", "*")
+
+
 @pytest.mark.parametrize("width,slide", [(7 * HOUR, 3 * HOUR), (HOUR, HOUR), (HOUR, 4 * HOUR)])
 def test_number_of_windows_per_member(obs, width, slide):
     spec = WindowSpec(width, slide)
@@ -63,9 +114,10 @@ def test_width_below_a_second(spark):
 
 def test_plan_does_not_grow_with_the_overlap(spark):
     df = spark.createDataFrame([(at(0), 2.0), (at(7200), 3.0), (None, 9.0)], "ts timestamp_ntz, value double")
-    specs = [WindowSpec(60_000, 20_000), WindowSpec(HOUR, 20)]
-    out = [windows.windowed(df, spec, [Agg("max")]) for spec in specs]
-    assert len({len(o._jdf.queryExecution().optimizedPlan().toString().splitlines()) for o in out}) == 1
+    few, many = [[WindowSpec(n * 20, 20) for n in (2, windows.RUNS_FROM)], [WindowSpec(n * 20, 20) for n in (windows.RUNS_FROM + 1, HOUR // 20)]]
+    for specs in (few, many):  # panes spread over windows, and runs of windows
+        out = [windows.windowed(df, spec, [Agg("max")]) for spec in specs]
+        assert len({len(o._jdf.queryExecution().optimizedPlan().toString().splitlines()) for o in out}) == 1
     assert out[1].count() == 2 * HOUR // 20
     ends = out[1].where("max_value = 2").agg(F.min("window.start"), F.max("window.start"), F.count_distinct("window")).first()
     assert tuple(ends) == (at(-3599.98), at(0), HOUR // 20)

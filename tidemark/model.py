@@ -96,22 +96,26 @@ class Agg:
     def __post_init__(self):
         if self.func not in AGGREGATES:
             raise ValueError(f"unknown aggregate {self.func!r}")
+        if self.var == "*" and (self.func != "count" or self.distinct):
+            raise ValueError("only COUNT(*) takes all rows")
 
     def alias(self, name: str) -> "Agg":
         return Agg(self.func, self.var, name, self.distinct, self.exact, self.separator)
 
     @property
     def out(self) -> str:
-        return self.name or f"{self.func}_{self.var}"
+        return self.name or f"{self.func}_{'all' if self.var == '*' else self.var}"
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """Triple pattern; a slot that starts with `?` is a variable."""
+    """Triple pattern; a slot that starts with `?` is a variable. `window` names the window whose
+    graph it is matched in, by default the query's first."""
 
     s: str
     p: str
     o: str
+    window: str | None = None
 
     def slots(self):
         return (("s", self.s), ("p", self.p), ("o", self.o))

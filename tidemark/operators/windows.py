@@ -59,15 +59,19 @@ def _scaled(col: Column, agg: Agg, count: Column | None = None) -> Column:
     return col if divisor == 1 else col.cast("double") / F.lit(divisor)
 
 
+def _counted(agg: Agg) -> Column:
+    return F.lit(1) if agg.var == "*" else F.col(agg.var)
+
+
 def _parts(agg: Agg) -> dict[str, tuple[Column, str]]:
     """Partial columns of an aggregate: name -> (over rows, how parts combine)."""
+    if agg.func == "count":
+        return {f"_{agg.out}": (F.count(_counted(agg)), "sum")}
     out, col = agg.out, F.col(agg.var)
     if agg.func in ("max", "min"):
         return {f"_{out}": (getattr(F, agg.func)(col), agg.func)}
     if agg.func == "sample":
         return {f"_{out}": (F.min(col), "min")}
-    if agg.func == "count":
-        return {f"_{out}": (F.count(col), "sum")}
     if agg.func == "sum":
         return {f"_{out}": (F.sum(_measure(agg)), "sum")}
     return {f"_{out}": (F.sum(_measure(agg)), "sum"), f"_{out}_n": (F.count(col), "sum")}
@@ -83,7 +87,7 @@ def _final(agg: Agg, parts: dict[str, Column]) -> Column:
 
 
 def _direct(agg: Agg) -> Column:
-    col = F.col(agg.var)
+    col = _counted(agg)
     if agg.func == "group_concat":
         values = F.collect_set(col) if agg.distinct else F.collect_list(col)
         return F.array_join(F.sort_array(values.cast("array<string>")), agg.separator).alias(agg.out)
@@ -124,8 +128,11 @@ def windowed(
     one more shuffle, of aggregated rows only. They are the default wherever windows overlap
     and the aggregates allow it.
     """
-    usable = all(algebraic(a) for a in aggs) and spec.slide <= spec.width and spec.overlap > 1
-    if usable and panes is not False:
+    overlapping = spec.slide <= spec.width and spec.overlap > 1 and panes is not False
+    usable = overlapping and all(algebraic(a) for a in aggs)
+    if overlapping and not df.isStreaming and any(_by_differences(a) for a in aggs):
+        out = _side_by_side(df, spec, aggs, by, ts)
+    elif usable and panes is not False:
         far = spec.overlap > RUNS_FROM and not df.isStreaming
         out = _expanded(windowed_runs(df, spec, aggs, by, ts), spec) if far else _over_panes(df, spec, aggs, by, ts)
     else:
@@ -134,6 +141,89 @@ def windowed(
     return out.where(having) if having else out
 
 
+def _by_differences(agg: Agg) -> bool:
+    """DISTINCT aggregates that whole numbers can be added to and taken from."""
+    return agg.distinct and (agg.func == "count" or agg.func in ("sum", "avg") and agg.exact is not None)
+
+
+def distinct_runs(df: DataFrame, spec: WindowSpec, value: Column, by: Sequence[str] = (), ts: str = "ts",
+                  total: bool = False) -> DataFrame:
+    """Number (`_n`) and, with `total`, sum (`_s`) of the distinct values in each window, as runs of
+    equal neighbours (`window`, the first, and `n_windows`). Windows without a value are left out.
+
+    A value is in the windows around each of its panes; where they overlap those of the pane
+    before, only the windows that are new count. Each stretch of windows adds one where it
+    begins and takes one where it has ended, and running sums over these differences are the
+    results. Windows are numbered, and cut into blocks as many as overlap: pieces of work are
+    (group, value, block) and (group, block), neither longer than two blocks.
+    """
+    width, slide, most = spec.width * 1000, spec.slide * 1000, spec.overlap
+
+    def whole(a: Column, n: int) -> Column:
+        return F.call_function("div", a - F.pmod(a, F.lit(n)), F.lit(n).cast("bigint"))
+
+    us = epoch_us(ts)
+    panes = df.where(value.isNotNull() & F.col(ts).isNotNull()).select(
+        *by, value.alias("_v"), (whole(us - width, slide) + 1).alias("_low"), whole(us, slide).alias("_high")).distinct()
+    cut = panes.select("*", F.explode(F.sequence(whole(F.col("_low"), most), whole(F.col("_high"), most))).alias("_block"))
+    last = (F.col("_block") + 1) * most - 1
+    cut = cut.withColumns({"_low": F.greatest("_low", F.col("_block") * most), "_high": F.least("_high", last)})
+    order = Window.partitionBy(*by, "_v", "_block").orderBy("_low", "_high")
+    reached = F.max("_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = cut.withColumn("_low", F.greatest("_low", reached + 1)).where(F.col("_low") <= F.col("_high"))
+    ends = F.array(F.struct(F.col("_low").alias("_k"), F.lit(1).alias("_d")), F.struct((F.col("_high") + 1).alias("_k"), F.lit(-1).alias("_d")))
+    step = fresh.select(*by, "_block", "_v", F.inline(ends)).where(F.col("_k") <= last)
+    sums = {"_n": F.sum("_d")} | ({"_s": F.sum(F.col("_d") * F.col("_v"))} if total else {})
+    changes = step.groupBy(*by, "_block", "_k").agg(*[c.alias(n) for n, c in sums.items()])
+    along = Window.partitionBy(*by, "_block").orderBy("_k")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = changes.select(*by, "_k", *[F.sum(n).over(upto).alias(n) for n in sums],
+                          (F.coalesce(F.lead("_k").over(along), last + 1) - F.col("_k")).alias("n_windows")).where(F.col("_n") > 0)
+    start = F.timestamp_micros(F.col("_k") * slide)
+    if df.schema[ts].dataType.simpleString() == "timestamp_ntz":
+        start = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(
+            F.lit(0), F.lit(0), F.lit(0), (F.col("_k") * slide / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return runs.select(F.struct(start.alias("start"), (start + _span(spec.width)).alias("end")).alias("window"), "n_windows", *by, *sums)
+
+
+def _side_by_side(df, spec, aggs, by, ts) -> DataFrame:
+    """Aggregates of different kinds, each computed its own way, met on window and group."""
+    key = ["window", *by]
+    out = windowed(df, spec, [*[a for a in aggs if algebraic(a)], Agg("count", "*", "_rows")], by, ts)
+
+    def beside(out, part, names):
+        part = part.select(*[F.col(c).alias(f"_of_{c}") for c in key], *[F.col(c).alias(n) for c, n in names.items()])
+        met = out.join(part, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key], "left")
+        return met.drop(*[f"_of_{c}" for c in key])
+
+    numbers, kinds = {}, {}
+    for a in (a for a in aggs if _by_differences(a)):
+        kinds[a.out] = needs = {}
+        if a.func != "sum":
+            needs["_n"] = (a.var, None)
+        if a.func != "count":
+            needs["_s"] = (a.var, a.exact)
+        for what, (var, exact) in needs.items():
+            if (var, exact) not in numbers:
+                value = _measure(a) if exact is not None else F.col(var)
+                names = {"_n": f"_n{len(numbers)}"} | ({"_s": f"_s{len(numbers)}"} if exact is not None else {})
+                runs = distinct_runs(df, spec, value, by, ts, exact is not None)
+                out, numbers[var, exact] = beside(out, _expanded(runs, spec), names), names
+    rest = [a for a in aggs if not algebraic(a) and not _by_differences(a)]
+    if rest:
+        out = beside(out, windowed(df, spec, rest, by, ts, panes=False), {a.out: a.out for a in rest})
+
+    def found(a: Agg) -> Column:
+        if not _by_differences(a):
+            return F.col(a.out)
+        at = {what: F.col(numbers[need][what]) for what, need in kinds[a.out].items()}
+        if a.func == "count":
+            return F.coalesce(at["_n"], F.lit(0)).alias(a.out)
+        return _scaled(at["_s"], a, at.get("_n")).alias(a.out)
+
+    return out.select(*key, *[found(a) for a in aggs])
+
+
 def _in_panes(df, spec, aggs, by, ts, extra: Sequence[Column] = ()) -> tuple[DataFrame, dict]:
     parts = {name: part for a in aggs for name, part in _parts(a).items()}
     # Windows start at multiples of the slide and end `cut` after one.
@@ -307,6 +397,31 @@ def join_windows(
     return side(left, left_spec).join(side(right, right_spec), keys)
 
 
+def join_bags(left: DataFrame, right: DataFrame, on: Sequence[str], n: str = "_n") -> DataFrame:
+    """Solutions that agree on `on`, where a row stands for `n` equal ones: numbers multiply. A side
+    is folded to what is still asked for before it is joined, so repeats never meet one by one."""
+    return left.join(right.withColumnRenamed(n, "_times"), list(on)).withColumn(n, F.col(n) * F.col("_times")).drop("_times")
+
+
+def weighted(df: DataFrame, aggs: Sequence[Agg], by: Sequence[str], having: str | None = None, n: str = "_n") -> DataFrame:
+    """As `aggregate`, where a row stands for `n` equal ones."""
+
+    def one(a: Agg) -> Column:
+        col = _counted(a)
+        held = F.sum(F.when(col.isNotNull(), F.col(n)))
+        if a.distinct or a.func in ("max", "min", "sample"):
+            return _direct(a)
+        if a.func == "count":
+            return F.coalesce(held, F.lit(0)).alias(a.out)
+        if a.func == "group_concat":
+            each = F.flatten(F.collect_list(F.array_repeat(col.cast("string"), F.col(n).cast("int"))))
+            return F.array_join(F.sort_array(each), a.separator).alias(a.out)
+        return _scaled(F.sum(_measure(a) * F.col(n)), a, held if a.func == "avg" else None).alias(a.out)
+
+    out = df.groupBy(*by).agg(*[one(a) for a in aggs])
+    return out.where(having) if having else out
+
+
 def lookback(df: DataFrame, width_ms: int, now, ts: str = "ts") -> DataFrame:
     """Rows of the query horizon `[now - width, now]`; `now` is a timestamp literal or column."""
     now = F.lit(now) if not isinstance(now, Column) else now
@@ -314,9 +429,11 @@ def lookback(df: DataFrame, width_ms: int, now, ts: str = "ts") -> DataFrame:
 
 
 def explode_bindings(results: DataFrame, aggs: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """One row per projected aggregate: `var`, `value`."""
-    same_type = results.select(*keep, *[F.col(a).cast("double").alias(a) for a in aggs])
-    return same_type.unpivot(list(keep), list(aggs), "var", "value").where(F.col("value").isNotNull())
+    """One row per bound aggregate: `var`, `value` as a number where it is one, `lexical` as text."""
+    texts = results.select(*keep, *[F.col(a).cast("string").alias(a) for a in aggs], *[
+        F.col(a).try_cast("double").alias(f"_{a}") for a in aggs])
+    each = F.array(*[F.struct(F.lit(a).alias("var"), F.col(f"_{a}").alias("value"), F.col(a).alias("lexical")) for a in aggs])
+    return texts.select(*keep, F.inline(each)).where(F.col("lexical").isNotNull())
 
 
 def idle_periods(df: DataFrame, gap_ms: int, by: Sequence[str] = (), ts: str = "ts") -> DataFrame:

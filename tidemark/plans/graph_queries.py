@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.model import (
     Agg, ContinuousQuery, FOCUS_PREDICATES, HAS_TIMESTAMP, HAS_VALUE, LDP_CONTAINS, Pattern, RDF_TYPE,
-    RELATES_TO_PROPERTY, TREE_VIEW, VANN_PREFIX, XSD_FLOAT,
+    RELATES_TO_PROPERTY, TREE_VIEW, VANN_PREFIX, WindowSpec, XSD_FLOAT,
 )
 from tidemark.operators import buckets, delivery, discovery, patterns, provenance, registry, windows
+from tidemark.operators.patterns import to_triples as triples_of
 from tidemark.plans.continuous import over_triples
 from tidemark.plans.inputs import (
     AVG2, DAILY, REPRESENTATIVE, SENSOR, SIX_HOURLY, at, day_buckets, hashed_queries,
@@ -172,6 +173,24 @@ def cross_window(spark, sf_dir):
     return both.groupBy("w_end").agg(F.count("o").alias("n"), F.avg("o").alias("avg_o"))
 
 
+@named("jn2_endpoint_query", sql("win6h", body=f"""
+, l AS (SELECT w_end, property AS s, floor(value) AS o, member_id FROM win6h WHERE stream IN ({', '.join(f"'{s}'" for s in _LEFT)})),
+r AS (SELECT w_end, property AS s, floor(value) AS o, member_id FROM win6h WHERE stream IN ({', '.join(f"'{s}'" for s in _RIGHT)}))
+SELECT w_end - INTERVAL 6 HOUR AS w_start, w_end, count(*) AS n, sum(o) / count(*) AS avg_o, max(o) AS max_o, count(DISTINCT s) AS n_sensors
+FROM l JOIN r USING (w_end, s, o) GROUP BY w_end"""))
+def endpoint_query(spark, sf_dir):
+    """One query over two windows: readings of one sensor that agree, each pair a solution."""
+    rows = observations(spark, sf_dir).withColumns({
+        "value": F.floor("value"), "stream": F.when(F.col("stream").isin(*_LEFT), "left").otherwise("right")})
+    windows_ = tuple(WindowSpec(SIX_HOURLY.width, SIX_HOURLY.slide, name, stream) for name, stream in (("w1", "left"), ("w2", "right")))
+    query = ContinuousQuery(
+        aggregates=(Agg("count", "*", "n"), Agg("avg", "o", "avg_o", exact=0), Agg("max", "o", "max_o"), Agg("count", "s", "n_sensors", distinct=True)),
+        windows=windows_, patterns=tuple(
+            Pattern(m, p, o, name) for m, name in (("?a", "w1"), ("?b", "w2")) for p, o in ((RELATES_TO_PROPERTY, "?s"), (HAS_VALUE, "?o"))),
+    )
+    return windows.flat(over_triples(query, triples_of(rows)))
+
+
 _ASSIGN_SQL = sql("noon", body="""
 SELECT o.member_id, o.ts, coalesce(n.node, 'none') AS bucket
 FROM obs o ASOF LEFT JOIN noon n ON o.stream = n.stream AND o.ts >= n.value""")

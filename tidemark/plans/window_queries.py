@@ -57,7 +57,8 @@ named("ag3_win_avg", _per_window_sql(AVG2, "avg_value"))(_per_window("avg", "avg
 SELECT w_start, w_end, property, count(value) AS n, {SUM2} / 100 AS total, min(value) AS a_sample,
        count(DISTINCT stream) AS n_streams,
        CAST(sum(DISTINCT CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS distinct_total,
-       CAST(sum(DISTINCT CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (count(DISTINCT value) * 100) AS distinct_avg
+       CAST(sum(DISTINCT CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (count(DISTINCT value) * 100) AS distinct_avg,
+       count(*) AS n_rows, string_agg(DISTINCT stream, ' ' ORDER BY stream) AS streams
 FROM win6h GROUP BY ALL HAVING count(value) > 1"""))
 def win_passthrough(spark, sf_dir):
     aggs = [
@@ -65,6 +66,7 @@ def win_passthrough(spark, sf_dir):
         Agg("count", "stream", "n_streams", distinct=True),
         Agg("sum", "value", "distinct_total", distinct=True, exact=2),
         Agg("avg", "value", "distinct_avg", distinct=True, exact=2),
+        Agg("count", "*", "n_rows"), Agg("group_concat", "stream", "streams", distinct=True),
     ]
     rows = windows.windowed(observations(spark, sf_dir), SIX_HOURLY, aggs, ["property"], having="n > 1")
     return windows.flat(rows)
@@ -88,6 +90,33 @@ def one_event_per_binding(spark, sf_dir):
     )
 
 
+@named("ag5_text_binding", sql("win6h", body="""
+, a AS (SELECT w_start, w_end, stream, string_agg(DISTINCT property, ' ' ORDER BY property) AS properties, min(property) AS least,
+               count(*) AS n FROM win6h GROUP BY ALL)
+SELECT w_start, w_end, stream, 'properties' AS var, CAST(NULL AS DOUBLE) AS value, properties AS lexical FROM a
+UNION ALL SELECT w_start, w_end, stream, 'least', NULL, least FROM a
+UNION ALL SELECT w_start, w_end, stream, 'n', n::DOUBLE, n::VARCHAR FROM a"""))
+def text_binding(spark, sf_dir):
+    aggs = [Agg("group_concat", "property", "properties", distinct=True), Agg("min", "property", "least"), Agg("count", "*", "n")]
+    rows = windows.flat(windows.windowed(observations(spark, sf_dir), SIX_HOURLY, aggs, ["stream"]))
+    return windows.explode_bindings(rows, [a.out for a in aggs], ["w_start", "w_end", "stream"])
+
+
+# Distinct values over 180,000 windows an hour: counted at each change, told by day.
+@named("ag4_distinct_step_20ms", sql("obs", body="""
+, held AS (SELECT DISTINCT property, user, (us - 3600000000) // 20000 + 1 AS low, us // 20000 AS high
+           FROM (SELECT property, stream AS user, epoch_us(ts) AS us FROM obs)),
+days AS (SELECT property, user, d, greatest(low, d * 4320000) AS low, least(high, (d + 1) * 4320000 - 1) AS high
+         FROM held, unnest(range(low // 4320000, high // 4320000 + 1)) AS u(d)),
+fresh AS (SELECT *, high - greatest(low - 1, coalesce(max(high) OVER (
+            PARTITION BY property, user, d ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), low - 1)) AS more FROM days)
+SELECT TIMESTAMP '1970-01-01' + d::INT * INTERVAL 1 DAY AS day, property, sum(greatest(more, 0))::BIGINT AS n FROM fresh GROUP BY ALL"""))
+def distinct_step_20ms(spark, sf_dir):
+    runs = windows.flat(windows.distinct_runs(observations(spark, sf_dir), WindowSpec(HOUR, 20), F.col("stream"), ["property"]))
+    day = F.date_trunc("day", "w_start").cast("timestamp_ntz").alias("day")
+    return runs.groupBy(day, "property").agg(F.sum(F.col("_n") * F.col("n_windows")).alias("n"))
+
+
 @named("ag6_bucket_overflow", sql("bucketed", body="""
 SELECT stream, bucket, count(*) AS n FROM bucketed GROUP BY ALL HAVING count(*) > 40"""))
 def bucket_overflow(spark, sf_dir):

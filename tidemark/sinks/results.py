@@ -35,16 +35,18 @@ def result_events(
     event_base: str = EVENT_BASE,
     derived_from: str = DERIVED_FROM,
 ) -> DataFrame:
-    """Window results to events: one per window, group and projected aggregate.
+    """Window results to events: one per window, group and projected aggregate. A result that is no
+    number has an empty `value`; where there is a text among `aggs`, `lexical` holds what was found.
 
     An event counts as emitted when its window closes, so a re-run emits the same events.
     """
     rows = explode_bindings(flat(windowed_df), aggs, ["w_start", "w_end", *by])
     named = rows.withColumn("query_hash", query_hash)
     key = joined_text("var", *by)
+    texts = ["lexical"] if any(windowed_df.schema[a].dataType.simpleString() == "string" for a in aggs) else []
     return named.select(
         event_iri("query_hash", key, F.col("w_start"), event_base).alias("event_id"),
-        "query_hash", *by, "var", "value",
+        "query_hash", *by, "var", "value", *texts,
         F.col("w_end").alias("emitted_at"),
         F.col("w_start").alias("started_at"),
         F.col("w_end").alias("ended_at"),
