@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import over_batches
+from tidemark.llm.common import FORGET, over_batches
 
-# Pieces kept with their ids in each Python worker.
-PIECES_KEPT = 300_000
+# Pieces kept with their ids in a Python worker while a task runs.
+PIECES_KEPT = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -108,9 +108,21 @@ class Codec:
         return b"".join([table[i] for i in ids])
 
 
+CODECS: list[Codec] = []
+
+
 @lru_cache(2)
 def codec(ranks_file: str, pattern: str) -> Codec:
-    return Codec(ranks_file, pattern)
+    CODECS.append(Codec(ranks_file, pattern))
+    return CODECS[-1]
+
+
+def _forget_pieces() -> None:
+    for c in CODECS:
+        c.pieces.clear()
+
+
+FORGET.append(_forget_pieces)
 
 
 def encode(docs: DataFrame, ranks_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

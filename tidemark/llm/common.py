@@ -33,9 +33,9 @@ def bucket_of(doc_id: str, n: int) -> Column:
 
 
 class Digests(dict):
-    """64-bit digests of words, kept while there are few enough to hold."""
+    """64-bit digests of words, kept while there are few enough to hold and a task runs."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -74,13 +74,37 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+# What a Python worker keeps while a task runs, besides DIGESTS: functions that forget it.
+FORGET: list[Callable[[], None]] = [DIGESTS.clear]
+# Bytes of a batch that are Python objects at a time.
+SLICE_BYTES = 4 << 20
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows of some `SLICE_BYTES`; a longer row is a stretch of its own."""
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _task_over() -> None:
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+
+
 def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """`work` on every Arrow batch of `df`, one batch in memory at a time."""
+    """`work` on every Arrow batch of `df`, a stretch of it at a time. Workers outlive tasks, so what they
+    kept is forgotten at the end of each, and memory handed back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = work(batch)
-            if out is not None:
-                yield out
+        try:
+            for batch in batches:
+                for part in sliced(batch):
+                    out = work(part)
+                    if out is not None:
+                        yield out
+        finally:
+            _task_over()
 
     return df.mapInArrow(run, schema)

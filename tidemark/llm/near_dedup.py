@@ -287,4 +287,4 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_
     """`docs` with one document of each group: that with the least id."""
     dropped = stored(near_duplicates(docs, size, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(),
                      "near-duplicates")
-    return docs.join(small(dropped), F.col(doc_id) == F.col("dropped_id"), "left_anti")
+    return docs.alias("d").join(small(dropped).alias("x"), F.col(f"d.{doc_id}") == F.col("x.dropped_id"), "left_anti")
