@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ASCII_LOWER, digests_of, over_batches, shingles, small, texts
-from tidemark.llm.graph import components
-from tidemark.session import stored
+from tidemark.llm.graph import components, labelled, merged
+from tidemark.session import released, stored
 
 ROWS, BANDS, MANTISSA = 6, 42, 10
 REGISTERS = ROWS * BANDS
@@ -155,19 +155,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b")
 
 
-def _labelled(df: DataFrame, node: str, roots: DataFrame, label: str) -> DataFrame:
-    """`df` with the component of `node`; a node without links is its own."""
-    return (df.join(roots.toDF("labelled", "root"), F.col(node) == F.col("labelled"), "left")
-            .withColumn(label, F.coalesce("root", node)).drop("labelled", "root"))
-
-
 def _ordered(a: Column | str, b: Column | str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _links(candidates: DataFrame, links: DataFrame | None, reps: DataFrame, docs: DataFrame, size: int, percent: int,
-           roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Adds confirmed candidates to `links`; gives links and components.
+def _joined(candidates: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, roots: DataFrame | None) -> DataFrame:
+    """Components once the candidates that are confirmed have been added.
 
     First each document's best candidate is confirmed, which joins most of what belongs together.
     Of the others only those across components are left to look at.
@@ -178,15 +171,14 @@ def _links(candidates: DataFrame, links: DataFrame | None, reps: DataFrame, docs
     ways = weighed.select("a", "b", "j").unionAll(weighed.select(F.col("b").alias("a"), F.col("a").alias("b"), "j"))
     best = ways.groupBy("a").agg(F.max_by("b", "j").alias("b")).select(*_ordered("a", "b")).distinct()
     found = stored(_confirmed(best, sets, percent), "confirmed")
-    links = found if links is None else links.unionAll(found)
-    roots = stored(components(links), "roots")
+    roots = merged(roots, found)
     rest = weighed.select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = _labelled(_labelled(rest, "a", roots, "c_a"), "b", roots, "c_b").where("c_a != c_b").select("a", "b")
+    rest = labelled(labelled(rest, "a", roots, "c_a"), "b", roots, "c_b").where("c_a != c_b").select("a", "b")
     more = stored(_confirmed(rest, sets, percent), "confirmed")
     if not more.isEmpty():
-        links = links.unionAll(more)
-        roots = stored(components(links), "roots")
-    return links, roots
+        roots = merged(roots, more)
+    released(weighed, ids, sets, found, more)
+    return roots
 
 
 def _shared_counts(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -262,23 +254,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     seated = stored(banded.join(buckets, "key").select("key", "rep", "n", "centre0", "centre1"), "seated")
 
     star = seated.where("rep != centre0").select(*_ordered("rep", "centre0"))
-    links, roots = _links(star, None, reps, by_id, size, percent, None)
-    labelled = _labelled(seated, "rep", roots, "c")
-    again = _labelled(labelled, "centre1", roots, "c1").where((F.col("n") > 2) & (F.col("c") != F.col("c1")))
-    links, roots = _links(again.select(*_ordered("rep", "centre1")), links, reps, by_id, size, percent, roots)
+    roots = _joined(star, reps, by_id, size, percent, None)
+    again = labelled(labelled(seated, "rep", roots, "c"), "centre1", roots, "c1").where((F.col("n") > 2) & (F.col("c") != F.col("c1")))
+    roots = _joined(again.select(*_ordered("rep", "centre1")), reps, by_id, size, percent, roots)
 
     # What is left: members of a bucket outside its largest component, against those of other components.
-    labelled = stored(_labelled(seated.select("key", "rep", "n", "centre0"), "rep", roots, "c").where("n > 2"), "seated-roots")
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo != c_hi").select("key")
-    mixed = stored(labelled.join(small(stored(mixed, "mixed-keys")), "key", "left_semi"), "mixed")
+    by_root = stored(labelled(seated.select("key", "rep", "n", "centre0"), "rep", roots, "c").where("n > 2"), "seated-roots")
+    mixed = by_root.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo != c_hi").select("key")
+    mixed = stored(by_root.join(small(stored(mixed, "mixed-keys")), "key", "left_semi"), "mixed")
+    released(by_root, seated, buckets)
     few = mixed.where(F.col("n") <= FEW)
     one, other = few.select("key", "rep", "c").toDF("key", "x", "c_x"), few.select("key", "rep", "c").toDF("key", "y", "c_y")
     pairs = one.join(other, (one["key"] == other["key"]) & (F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")))
-    more, _ = _links(pairs.select(*_ordered("x", "y")), links, reps, by_id, size, percent, roots)
-    links = stored(more.unionAll(_across_crowds(mixed.where(F.col("n") > FEW), by_id, size, percent)), "links")
-    roots = stored(components(links), "roots")
+    roots = _joined(pairs.select(*_ordered("x", "y")), reps, by_id, size, percent, roots)
+    roots = merged(roots, _across_crowds(mixed.where(F.col("n") > FEW), by_id, size, percent))
 
-    placed = _labelled(members.select("doc_id", "n_shingles", "rep"), "rep", roots, "component_id").drop("rep")
+    placed = labelled(members.select("doc_id", "n_shingles", "rep"), "rep", roots, "component_id").drop("rep")
     rest = signed.where(F.col("doc_id").isNull() | F.col("whole").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionAll(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
