@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from tidemark.llm import byte_bpe, decontaminate, graph, language_model, licenses, line_dedup, near_dedup, pii, quality_fm, quality_rules, warc_zip
 from tidemark.llm.queries import RANKS
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n long, row string, lines int, h string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, n long, row string, lines int, h string, dropped_id long"
 LONG = " ".join(f"word{i % 4001}" for i in range(40_000))
 TEXTS = [None, "", "   \n\t", "one", "one two", "a a a a a a", LONG, "x" * 70_000, "Größe 😀 naïve\n\n\nend", "same text here", "same text here"]
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(i, t, "en", None if i % 3 else "host", len(t or ""), True, 1, "r", 2, "h") for i, t in enumerate(TEXTS)]
-    return spark.createDataFrame([*rows, rows[4], rows[9], (None, "no id", None, None, None, None, None, None, None, None)], SCHEMA)
+    rows = [(i, t, "en", None if i % 3 else "host", len(t or ""), True, 1, "r", 2, "h", 1) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[4], rows[9], (None, "no id", *[None] * 9)], SCHEMA)
 
 
 def wrapped(fn):
@@ -131,6 +131,45 @@ def test_edit_links_are_complete(spark, monkeypatch, threshold):
         assert {tuple(r) for r in line_dedup.edit_links(table, threshold).collect()} == want
 
 
+def test_line_classes_are_those_of_all_links(spark, monkeypatch):
+    rng = random.Random(12)
+    bases = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(31, 60))) for _ in range(8)]
+    chain = ["".join(rng.choice("abcde") for _ in range(40))]
+    for _ in range(12):
+        chain.append(edited(rng, chain[-1], 2))
+    lines = sorted({edited(rng, b, rng.randrange(0, 5)) for b in bases for _ in range(30)} | set(chain))
+    links = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if abs(len(lines[i]) - len(lines[j])) <= 2 and edits(lines[i], lines[j]) <= 2]
+    want = {i: c for i, c in components(range(len(lines)), links).items() if any(i in x for x in links)}
+    table = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    for crowded in (3, 10_000):
+        monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+        assert {r["node"]: r["root"] for r in line_dedup.line_roots(table).collect()} == want
+
+
+def test_pairs_of_a_large_class_are_not_written(spark, monkeypatch):
+    """Twice the lines of a class are about twice the pairs that are compared, not four times."""
+    kept, real = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, texts_, threshold: kept.append(pairs.count()) or real(pairs, texts_, threshold))
+    compared = []
+    for n in (150, 300):
+        base = "a line that stands in very many documents, with small changes at one place only: "
+        rows = [(i, base + chr(0x4E00 + i)) for i in range(n)]
+        kept.clear()
+        assert {r["root"] for r in line_dedup.line_roots(spark.createDataFrame(rows, "id long, line string")).collect()} == {0}
+        compared.append(sum(kept))
+    assert compared[0] < 8 * 150 and compared[1] < 2.5 * compared[0]
+
+
+def test_components_grow_by_contraction(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    roots = None
+    for at in (0, 80, 90, 260):
+        roots = graph.merged(roots, spark.createDataFrame(links[at:{0: 80, 80: 90, 90: 260, 260: 260}[at]], "a long, b long"))
+    out = {r["node"]: r["root"] for r in roots.collect()}
+    assert out == {i: c for i, c in components({x for a, b in links for x in (a, b) if a != b}, links).items()}
+
+
 def test_repeated_lines_leave_later_documents(spark):
     a, b, c = ("the quick brown fox jumps over the dog " * 2, "another line that is long enough to count here", "a third line, which nobody has seen before now")
     docs = [(1, f"{a}\nshort\n{b}", 1), (2, f"{a[:-2]}X\nshort\n{c}", 2), (3, f"{b}\n\n{a}", 3), (4, "short\nshort", 4), (5, f"{c}\n{c}\nshort", 5)]

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import small
-from tidemark.llm.graph import components
-from tidemark.session import stored
+from tidemark.llm.graph import labelled, merged
+from tidemark.session import released, stored
 
 THRESHOLD, MIN_CHARS = 2, 30
 CROWDED = 24
@@ -160,8 +160,8 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
         F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), equal), first, step, least))
 
 
-def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) with a < b for distinct lines (id, line) within `threshold` edits; `lines` is a written table."""
+def _seats(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Written: id, own, key of lines that may have a partner under a key, and their texts."""
     groups = 2 * threshold + 1
     entered = entries(lines, threshold)
     shared = stored(entered.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"))
@@ -176,11 +176,21 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     finer = (crowded.join(counts, F.col("id") == F.col("of"))
              .select("id", "own", "key", F.posexplode("counts").alias("g", "count"))
              .select("id", "own", F.xxhash64("key", "g", "count").alias("key")))
-    both = rare.unionAll(finer)
-    own, probe = both.where("own").toDF("x", "own_x", "key_x"), both.toDF("y", "own_y", "key_y")
+    return stored(rare.unionAll(finer), "seats"), texts_
+
+
+def _pairs(seats: DataFrame, apart: str = "true") -> DataFrame:
+    """(a, b) of lines that meet under a key, one of them by an entry of its own. `apart` is a condition on x and y."""
+    own = seats.where("own").select(*[F.col(c).alias(f"{c}_x") for c in seats.columns])
+    probe = seats.select(*[F.col(c).alias(f"{c}_y") for c in seats.columns])
     # Two own entries of one key meet once; a probe meets the own entries of shorter or other lines.
-    pairs = own.join(probe, (F.col("key_x") == F.col("key_y")) & (F.col("x") != F.col("y")) & (~F.col("own_y") | (F.col("x") < F.col("y"))))
-    pairs = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
+    met = own.join(probe, (F.col("key_x") == F.col("key_y")) & (F.col("id_x") != F.col("id_y"))
+                   & (~F.col("own_y") | (F.col("id_x") < F.col("id_y"))) & F.expr(apart))
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts_: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs that are within the threshold."""
     both = pairs.join(texts_.toDF("a", "line_a"), "a").join(texts_.toDF("b", "line_b"), "b")
     # An edit touches one piece at most; all others are found again.
     both = both.where((F.abs(F.length("line_a") - F.length("line_b")) <= threshold)
@@ -191,6 +201,38 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return far.where(F.col("far") <= threshold).select("a", "b")
 
 
+def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b) with a < b for all distinct lines (id, line) within `threshold` edits; `lines` is a written table."""
+    seats, texts_ = _seats(lines, threshold)
+    return _verified(stored(_pairs(seats), "line-pairs"), texts_, threshold)
+
+
+def line_roots(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """node, root: the classes that `edit_links` would give, without writing all pairs of a class.
+
+    Under each key, lines are first compared with one of them: the least, and in a second round, where
+    it is of another class by then, one that differs from key to key. What belongs together is
+    one class after that, nearly always; only keys that still hold several classes are gone
+    through pair by pair, across classes.
+    """
+    seats, texts_ = _seats(lines, threshold)
+    centres = seats.where("own").groupBy("key").agg(
+        F.min("id").alias("first"), F.min_by("id", F.xxhash64("id", "key")).alias("other"))
+    seated = stored(seats.join(centres, "key"), "seated-lines")
+    tested = stored(seated.where("id != first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct(), "line-pairs")
+    roots = merged(None, stored(_verified(tested, texts_, threshold), "line-links"))
+    again = labelled(labelled(seated, "id", roots, "c"), "other", roots, "c_other").where("c != c_other and first != other")
+    again = again.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    again = stored(again.join(tested, ["a", "b"], "left_anti"), "line-pairs")
+    roots = merged(roots, stored(_verified(again, texts_, threshold), "line-links"))
+    by_class = stored(labelled(seated.select("id", "own", "key"), "id", roots, "c"), "lines-by-class")
+    released(seated)
+    mixed = by_class.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high and n > 2")
+    mixed = stored(by_class.join(small(stored(mixed.select("key"), "mixed-keys")), "key", "left_semi"), "mixed-lines")
+    rest = _pairs(mixed, "c_x != c_y").join(tested.unionAll(again), ["a", "b"], "left_anti")
+    return merged(roots, stored(_verified(stored(rest, "line-pairs"), texts_, threshold), "line-links"))
+
+
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -208,8 +250,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     at = F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES) + F.col("place")
     first = found.groupBy("line").agg(F.min(at.cast("decimal(38,0)")).alias("first"))
     lines = stored(first.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
-    links = stored(edit_links(lines.select("id", "line"), threshold), "line-links")
-    roots = stored(components(links), "line-roots")
+    roots = line_roots(lines.select("id", "line"), threshold)
     return lines.join(small(roots).withColumnRenamed("node", "id"), "id", "left")
 
 
