@@ -10,7 +10,8 @@ few substrings that can be such a segment. Of candidates cut into `PIECES` piece
 Segments held by many lines would make all pairs candidates. An edit changes the counts of at
 most two characters, so of 2 * threshold + 1 groups of characters one keeps all its counts:
 under a crowded segment, lines are entered once more for each group with its counts, and only
-lines that agree there meet. Nothing is left out, and no bucket is cut.
+lines that agree there meet. Of those, only pairs whose letter counts differ by 2 * threshold in
+all come out of the join (an edit changes two counts by one). Nothing is left out, and no bucket is cut.
 
 Of each class of linked lines the first, in the order of (id, place), stays; the other lines are
 taken out of their documents. Lines that are shorter stay, as do texts of documents without an id.
@@ -30,6 +31,7 @@ from tidemark.session import released, stored
 THRESHOLD, MIN_CHARS = 2, 30
 CROWDED = 24
 PIECES = 16
+MARKS = 16
 _SPACE = r"^[\s\x1c-\x1f]*$"
 PLACES = 1 << 31
 
@@ -80,6 +82,21 @@ def group_counts(line: Column, groups: int) -> list[Column]:
     return out
 
 
+def letter_marks(line: Column) -> Column:
+    """How many characters the line has of each of `MARKS` groups, up to U+052F (Latin, Greek, Cyrillic)."""
+    n = F.length(line)
+    of = ["".join(chr(c) for c in range(g, 0x530, MARKS)) for g in range(MARKS)]
+    return F.array(*[n - F.length(F.translate(line, x, "")) for x in of])
+
+
+def marks_near(a: str, b: str, threshold: int) -> Column:
+    """False if the counts differ by more than `threshold` edits can make them; true if there are none."""
+    apart = F.lit(0)
+    for g in range(MARKS):
+        apart = apart + F.abs(F.col(a)[g] - F.col(b)[g])
+    return F.coalesce(apart <= 2 * threshold, F.lit(True))
+
+
 def pieces_found(a: Column, b: Column, pieces: int, reach: int) -> Column:
     """How many of the `pieces` equal parts of `a` occur in `b` unchanged, `reach` places away at most."""
     n = F.length(a)
@@ -161,31 +178,34 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
 
 def _seats(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Written: id, own, key of lines that may have a partner under a key, and their texts."""
+    """Written: id, own, key, marks of lines that may have a partner under a key, and their texts. A key that was
+    crowded has marks (letter counts) with all its lines, any other key has none."""
     groups = 2 * threshold + 1
     entered = entries(lines, threshold)
     shared = stored(entered.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own"))
                     .where("n > 1 and n_own > 0"), "shared-segments")
     met = stored(entered.join(small(shared.select("key", "n")), "key"), "segment-entries")
-    rare = met.where(F.col("n") <= CROWDED).select("id", "own", "key")
+    rare = met.where(F.col("n") <= CROWDED).select("id", "own", "key", F.lit(None).cast("array<int>").alias("marks"))
     crowded = met.where(F.col("n") > CROWDED).select("id", "own", "key")
     ids = stored(met.select("id").distinct(), "segment-lines")
     texts_ = stored(lines.join(small(ids), "id", "left_semi"), "segment-texts")
     counts = texts_.join(small(stored(crowded.select("id").distinct(), "crowded-lines")), "id", "left_semi")
-    counts = stored(counts.select(F.col("id").alias("of"), F.array(*group_counts(F.col("line"), groups)).alias("counts")), "character-counts")
+    counts = stored(counts.select(F.col("id").alias("of"), F.array(*group_counts(F.col("line"), groups)).alias("counts"),
+                                  letter_marks(F.col("line")).alias("marks")), "character-counts")
     finer = (crowded.join(counts, F.col("id") == F.col("of"))
-             .select("id", "own", "key", F.posexplode("counts").alias("g", "count"))
-             .select("id", "own", F.xxhash64("key", "g", "count").alias("key")))
+             .select("id", "own", "key", "marks", F.posexplode("counts").alias("g", "count"))
+             .select("id", "own", F.xxhash64("key", "g", "count").alias("key"), "marks"))
     return stored(rare.unionAll(finer), "seats"), texts_
 
 
-def _pairs(seats: DataFrame, apart: str = "true") -> DataFrame:
+def _pairs(seats: DataFrame, threshold: int, apart: str = "true") -> DataFrame:
     """(a, b) of lines that meet under a key, one of them by an entry of its own. `apart` is a condition on x and y."""
     own = seats.where("own").select(*[F.col(c).alias(f"{c}_x") for c in seats.columns])
     probe = seats.select(*[F.col(c).alias(f"{c}_y") for c in seats.columns])
     # Two own entries of one key meet once; a probe meets the own entries of shorter or other lines.
     met = own.join(probe, (F.col("key_x") == F.col("key_y")) & (F.col("id_x") != F.col("id_y"))
-                   & (~F.col("own_y") | (F.col("id_x") < F.col("id_y"))) & F.expr(apart))
+                   & (~F.col("own_y") | (F.col("id_x") < F.col("id_y"))) & F.expr(apart)
+                   & marks_near("marks_x", "marks_y", threshold))
     return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
@@ -204,7 +224,7 @@ def _verified(pairs: DataFrame, texts_: DataFrame, threshold: int) -> DataFrame:
 def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) with a < b for all distinct lines (id, line) within `threshold` edits; `lines` is a written table."""
     seats, texts_ = _seats(lines, threshold)
-    return _verified(stored(_pairs(seats), "line-pairs"), texts_, threshold)
+    return _verified(stored(_pairs(seats, threshold), "line-pairs"), texts_, threshold)
 
 
 def line_roots(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -216,20 +236,25 @@ def line_roots(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     through pair by pair, across classes.
     """
     seats, texts_ = _seats(lines, threshold)
+    one = F.struct("id", "marks")
     centres = seats.where("own").groupBy("key").agg(
-        F.min("id").alias("first"), F.min_by("id", F.xxhash64("id", "key")).alias("other"))
-    seated = stored(seats.join(centres, "key"), "seated-lines")
-    tested = stored(seated.where("id != first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct(), "line-pairs")
+        F.min_by(one, "id").alias("first"), F.min_by(one, F.xxhash64("id", "key")).alias("other"))
+    centres = centres.select("key", F.col("first.id").alias("first"), F.col("first.marks").alias("first_marks"),
+                             F.col("other.id").alias("other"), F.col("other.marks").alias("other_marks"))
+    seated = seats.join(centres, "key").withColumns({
+        "near_first": marks_near("marks", "first_marks", threshold), "near_other": marks_near("marks", "other_marks", threshold)})
+    seated = stored(seated.drop("first_marks", "other_marks"), "seated-lines")
+    tested = stored(seated.where("id != first and near_first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct(), "line-pairs")
     roots = merged(None, stored(_verified(tested, texts_, threshold), "line-links"))
-    again = labelled(labelled(seated, "id", roots, "c"), "other", roots, "c_other").where("c != c_other and first != other")
+    again = labelled(labelled(seated, "id", roots, "c"), "other", roots, "c_other").where("c != c_other and first != other and near_other")
     again = again.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     again = stored(again.join(tested, ["a", "b"], "left_anti"), "line-pairs")
     roots = merged(roots, stored(_verified(again, texts_, threshold), "line-links"))
-    by_class = stored(labelled(seated.select("id", "own", "key"), "id", roots, "c"), "lines-by-class")
+    by_class = stored(labelled(seated.select("id", "own", "key", "marks"), "id", roots, "c"), "lines-by-class")
     released(seated)
     mixed = by_class.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high and n > 2")
     mixed = stored(by_class.join(small(stored(mixed.select("key"), "mixed-keys")), "key", "left_semi"), "mixed-lines")
-    rest = _pairs(mixed, "c_x != c_y").join(tested.unionAll(again), ["a", "b"], "left_anti")
+    rest = _pairs(mixed, threshold, "c_x != c_y").join(tested.unionAll(again), ["a", "b"], "left_anti")
     return merged(roots, stored(_verified(stored(rest, "line-pairs"), texts_, threshold), "line-links"))
 
 
