@@ -71,6 +71,26 @@ def test_live_windows_equal_batch(spark, arrivals, table):
     assert rows(got, "w_start", "w_end", "property", "max_value") == rows(want, "w_start", "w_end", "property", "max_value")
 
 
+@pytest.mark.parametrize("width, slide", [(6 * HOUR, HOUR // 6), (6 * HOUR + 90_000, HOUR // 6)])
+def test_live_panes_equal_batch(spark, arrivals, table, width, slide):
+    spec = WindowSpec(width, slide)
+    aggs = [*AGGS, Agg("min", "value", "low"), Agg("avg", "value", "mean", exact=2), Agg("count", "*", "n"), Agg("sum", "value", "total", exact=2)]
+    path = run(spark, arrivals, lambda obs: live.live_window(obs, spec, aggs, by=["property"]))
+    got = bounds(spark.read.parquet(path).where("property IS NOT NULL"))
+    want = windows.flat(windows.windowed(table, spec, aggs, ["property"], panes=False))
+    names = ["w_start", "w_end", "property", *[a.out for a in aggs]]
+    assert want.count() > 1000 and rows(got, *names) == rows(want, *names)
+
+
+def test_plan_of_live_panes_does_not_grow_with_the_overlap(spark, arrivals):
+    def plan(slide):
+        source = as_observations(live.with_watermark(live.live_source(spark, arrivals, EVENT_SCHEMA), "2 hours"))
+        found = live.live_window(source, WindowSpec(6 * HOUR, slide), AGGS, by=["property"])
+        return found._jdf.queryExecution().analyzed().toString()
+
+    assert abs(len(plan(20_000)) - len(plan(HOUR // 6))) < 200
+
+
 @pytest.mark.parametrize("mode", ["IStream", "DStream"])
 def test_two_stage_r2s_equals_batch(spark, arrivals, table, mode):
     path = run(

@@ -24,7 +24,7 @@ def _span(n: int) -> Column:
     return F.expr(f"INTERVAL '{n / 1000:.3f}' SECOND")
 
 
-def assign_windows(df: DataFrame, spec: WindowSpec, ts: str = "ts") -> DataFrame:
+def assign_windows(df: DataFrame, spec: WindowSpec, ts: str = "ts", laid_out: bool = True) -> DataFrame:
     """One row per (row, window it falls in), with a `window` struct of start and end.
 
     Windows are `[k*slide, k*slide + width)`, counted from the epoch. Where the slide
@@ -33,9 +33,9 @@ def assign_windows(df: DataFrame, spec: WindowSpec, ts: str = "ts") -> DataFrame
 
     The plan is of one size whatever the overlap: windows are counted back from the last one
     that holds the row. Only a stream keeps Spark's own sliding windows, which carry its
-    watermark but are laid out one by one in the plan.
+    watermark but are laid out one by one in the plan, unless `laid_out` is false.
     """
-    if df.isStreaming and spec.slide <= spec.width:
+    if df.isStreaming and laid_out and spec.slide <= spec.width:
         return df.withColumn("window", F.window(ts, _ms(spec.width), _ms(spec.slide)))
     start, hop = F.col("_hop.start"), df.withColumn("_hop", F.window(ts, _ms(spec.slide)))
     if spec.overlap > 1:

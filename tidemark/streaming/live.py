@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.model import Agg, WindowSpec
-from tidemark.operators.windows import _direct, assign_windows
+from tidemark.operators.windows import RUNS_FROM, _direct, _final, _ms, _parts, algebraic, assign_windows
 from tidemark.session import fresh_folder
 
+EVENT_TIME = {"spark.watermarkDelayMs": 0}
+
 
 def live_source(
     spark: SparkSession, path: str, schema, max_files_per_trigger: int = 30, fmt: str = "parquet"
@@ -37,13 +40,34 @@ def live_window(
     stream: DataFrame, spec: WindowSpec, aggs: Sequence[Agg], delay: str | None = None,
     by: Sequence[str] = (), ts: str = "ts",
 ) -> DataFrame:
-    """Windowed aggregates of a stream. `delay` sets the watermark where there is none yet."""
+    """Windowed aggregates of a stream. `delay` sets the watermark where there is none yet.
+
+    Where many windows overlap, events are aggregated to panes first."""
     if any(a.distinct and a.func not in ("max", "min", "sample") for a in aggs):
         raise ValueError("a stream has no DISTINCT aggregates: drop duplicates before aggregating")
     rows = with_watermark(stream, delay, ts) if delay else stream
+    if spec.overlap > RUNS_FROM and spec.slide <= spec.width and all(algebraic(a) for a in aggs):
+        return _live_panes(rows, spec, aggs, by, ts)
     return assign_windows(rows, spec, ts).groupBy("window", *by).agg(*[_direct(a) for a in aggs])
 
 
+def _live_panes(rows: DataFrame, spec: WindowSpec, aggs: Sequence[Agg], by: Sequence[str], ts: str) -> DataFrame:
+    """Two chained aggregations in append mode: events to panes, and closed panes to the windows that
+    hold them. An event costs one row of state however many windows overlap, and the plan is of
+    one size. Panes are as long as the greatest common divisor of width and slide, so a pane ends when
+    or before each of its windows does, and none comes too late for one.
+    """
+    parts = {name: part for a in aggs for name, part in _parts(a).items()}
+    panes = rows.groupBy(F.window(ts, _ms(gcd(spec.width, spec.slide))).alias("_pane"), *by).agg(
+        *[col.alias(name) for name, (col, _) in parts.items()])
+    spread = assign_windows(panes.withColumn("_at", F.col("_pane.start")), spec, "_at", laid_out=False)
+    # Windows that are counted back from a pane are event time like it; the mark is what append mode
+    # goes by (Spark's own `window` sets it too, but lays every window out in the plan).
+    placed = spread.select(F.col("window").alias("window", metadata=EVENT_TIME), *by, *parts)
+    whole = placed.groupBy("window", *by).agg(*[getattr(F, how)(name).alias(name) for name, (_, how) in parts.items()])
+    return whole.select("window", *by, *[_final(a, {n: F.col(n) for n in _parts(a)}) for a in aggs])
+
+
 def run_counted(query) -> None:
     """Waits for a query to end, and raises if rows came after the watermark and were left out.
     Progress is looked at as it comes, since a query keeps only the last of it."""
