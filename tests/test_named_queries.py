@@ -8,7 +8,7 @@ from tidemark.plans.named import QUERIES, SQL
 
 # At the smallest scale a day's bucket holds too few members to overflow.
 TWIN_DIR = "/root/testdata/sf0.01"
-STREAMING = [n for n in QUERIES if n.startswith("sm") or n == "src6_live_source"]
+STREAMING = [n for n in QUERIES if n.startswith("sm") or n in ("src6_live_source", "src8_replay_then_tail")]
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +56,12 @@ def test_time_range_reaches_the_scan(spark, sf_dir):
     assert "GreaterThanOrEqual(ts," in plan and "LessThanOrEqual(ts," in plan
 
 
+def test_buckets_that_a_range_misses_are_not_opened(spark, sf_dir):
+    found = QUERIES["src2_open_buckets"](spark, sf_dir)
+    plan = _plan(found)
+    assert "dynamicpruningexpression(bucket" in plan and "dynamicpruningexpression(true)" not in plan
+
+
 def test_short_index_leaves_members_where_they_are(spark, sf_dir):
     plan = _plan(QUERIES["jn3_assign_bucket"](spark, sf_dir))
     assert "BroadcastHashJoin" in plan

@@ -12,7 +12,7 @@ from tidemark.operators.patterns import to_triples
 from tidemark.operators.registry import query_catalog
 from tidemark.plans.graph_queries import bnode_triples, container_triples
 from tidemark.plans.inputs import (
-    DAILY, HOUR, LIVE_EVENTS, SENSOR, at, day_buckets, iso_sql, noon_index, observations, query_table, result_table, sql,
+    DAILY, HOUR, LIVE_EVENTS, SENSOR, as_observations, at, day_buckets, iso_sql, noon_index, observations, query_table, result_table, sql,
     subscriptions, table, triples,
 )
 from tidemark.plans.named import SQL, named
@@ -21,9 +21,9 @@ from tidemark.session import fresh_folder, stored
 from tidemark.sinks import publish
 from tidemark.sinks.results import result_triples, to_ntriples
 from tidemark.sources import members, modes, notifications
-from tidemark.sources.event_log import EVENT_SCHEMA, scan_members
+from tidemark.sources.event_log import EVENT_SCHEMA, open_buckets, scan_members, write_bucketed
 from tidemark.sources.ntriples import parse_ntriples
-from tidemark.streaming import live
+from tidemark.streaming import handover, live
 
 FROM, TO = "2024-01-05 00:00:00", "2024-01-12 12:00:00"
 CUT, NOW = "2024-01-18 00:00:00", "2024-01-15 00:00:00"
@@ -46,6 +46,17 @@ def prune(spark, sf_dir):
     return buckets.prune_buckets(index, at(FROM), at(TO)).select("stream", "node", "value")
 
 
+@named("src2_open_buckets", sql("noon", body=f"""
+SELECT o.stream, o.member_id, n.node AS bucket, o.ts, o.value FROM obs o ASOF JOIN noon n ON o.stream = n.stream AND o.ts >= n.value
+WHERE o.ts BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'"""))
+def open_pruned(spark, sf_dir):
+    obs, path = observations(spark, sf_dir), fresh_folder(spark, "bucketed-log")
+    index = stored(noon_index(obs), "index")
+    write_bucketed(buckets.assign_bucket(obs, index), path)
+    rows = open_buckets(spark.read.parquet(path), index, at(FROM), at(TO))
+    return rows.select("stream", "member_id", "bucket", "ts", "value")
+
+
 @named("src3_read_ntriples", sql("triples", body="SELECT s, p, o, o_type, o_datatype, o_lang FROM triples"))
 def ntriples(spark, sf_dir):
     return parse_ntriples(to_ntriples(triples(spark, sf_dir)))
@@ -101,6 +112,17 @@ def historical_plus_live(spark, sf_dir):
     return rows.select("member_id", "ts", "phase")
 
 
+@named("src8_replay_then_tail", SQL["src8_historical_plus_live"])
+def replay_then_tail(spark, sf_dir):
+    """What arrives overlaps the replay by a day."""
+    history = observations(spark, sf_dir)
+    arrivals = as_observations(live.live_source(spark, LIVE_EVENTS.format(sf_dir), EVENT_SCHEMA))
+    days = history.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
+    tail = arrivals.where(F.col("ts") > at(NOW) - F.expr("INTERVAL 1 DAY"))
+    rows = handover.replay_then_tail(history, tail, fresh_folder(spark, "handover"), 72 * HOUR, at(NOW), f"{days + 2} days")
+    return rows.select("member_id", "ts", "phase")
+
+
 @named("src9_backfill_gap", sql("obs", body=f"""
 SELECT member_id, ts FROM obs WHERE ts > TIMESTAMP '{NOW}' AND ts < TIMESTAMP '{CUT}' ORDER BY ts"""))
 def backfill_gap(spark, sf_dir):

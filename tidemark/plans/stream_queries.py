@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.model import Agg, ContinuousQuery
+from tidemark.model import Agg, ContinuousQuery, WindowSpec
 from tidemark.operators.windows import union_streams
 from tidemark.plans.inputs import (
-    AVG2, DAILY, LIVE_EVENTS, SIX_HOURLY, as_observations, sql, table,
+    AVG2, DAILY, HOUR, LIVE_EVENTS, SIX_HOURLY, as_observations, sql, table, windows_sql,
 )
 from tidemark.plans.named import named
 from tidemark.session import fresh_folder
@@ -61,6 +61,16 @@ def live_window(spark, sf_dir):
     return _bounds(rows, "property", "max_value", "avg_value")
 
 
+# 1,080 windows overlap.
+@named("sm1_live_window_20s", sql("obs", body=f"""
+SELECT w_start, w_end, max(value) AS max_value, {AVG2} AS avg_value, count(value) AS n
+FROM ({windows_sql('obs', 'INTERVAL 6 HOUR', 'INTERVAL 20 SECOND', 1080)}) GROUP BY ALL"""))
+def live_window_20s(spark, sf_dir):
+    aggs = [Agg("max", "value", "max_value"), Agg("avg", "value", "avg_value", exact=2), Agg("count", "value", "n")]
+    path = _run(spark, sf_dir, "live-window-20s", lambda obs: live.live_window(obs, WindowSpec(6 * HOUR, 20_000), aggs))
+    return _bounds(spark.read.parquet(path).where("n > 0"), "max_value", "avg_value", "n")
+
+
 @named("sm2_watermark", sql("win1d", body="SELECT w_start, w_end, count(value) AS n FROM win1d GROUP BY ALL"))
 def watermark(spark, sf_dir):
     path = _run(spark, sf_dir, "watermark", lambda obs: live.live_window(obs, DAILY, [Agg("count", "value", "n")]))

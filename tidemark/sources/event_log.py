@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import epoch_ms
 from tidemark.model import HAS_TIMESTAMP
+from tidemark.operators.buckets import prune_buckets
 from tidemark.operators.ordering import sort_in_bucket
 
 EVENT_SCHEMA = (
@@ -37,6 +38,23 @@ def read_log(spark: SparkSession, path: str, frm=None, to=None) -> DataFrame:
     return scan_members(log, frm, to, order=False)
 
 
+def write_bucketed(members: DataFrame, path: str, mode: str = "append") -> None:
+    """Stores members (`bucket`, `ts`, ...) in a folder per bucket; a busy bucket is cut over many files."""
+    ordered = members.repartitionByRange("bucket", "ts").sortWithinPartitions("bucket", "ts")
+    ordered.write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def open_buckets(log: DataFrame, index: DataFrame, frm, to, by=("stream",)) -> DataFrame:
+    """Members with `frm <= ts <= to` of a log that `write_bucketed` stored; other buckets are not opened.
+
+    The pruned index is only known as the query runs: it reaches the scan as a filter on the folders (dynamic
+    partition pruning) as long as Spark sends it to all tasks, which its size threshold decides.
+    """
+    wanted = prune_buckets(index, frm, to, by).select(F.col("node").alias("_node"))
+    opened = log.join(wanted, F.col("bucket") == F.col("_node"), "left_semi")
+    return scan_members(opened, frm, to, order=False)
+
+
 def scan_members(log: DataFrame, frm=None, to=None, ts: str = "ts", seq: str = "seq", order: bool = True):
     """Members with `frm <= ts <= to`, both ends in; a missing end leaves that side open.
 

@@ -14,7 +14,7 @@ from tidemark.sinks.publish import bucketed
 from tidemark.streaming.live import run_counted
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
@@ -53,7 +53,7 @@ def publish_stream(
         fresh = spark.read.schema(batch.schema).parquet(_part(arrived, batch_id))
         rows, before = fresh, _part(pending, batch_id - 1)
         if batch_id:
-            if not _exists(spark, before):
+            if not path_exists(spark, before):
                 raise RuntimeError(f"{before} is gone: rows that wait for a full batch would be lost")
             rows = fresh.unionByName(spark.read.schema(batch.schema).parquet(before))
         if fresh.isEmpty():
@@ -91,7 +91,7 @@ def r2s_stream(results: DataFrame, folder: str, spec: WindowSpec, mode: str) ->
         rows = spark.read.schema(batch.schema).parquet(_part(closed, batch_id))
         upto, newest = None, rows.agg(F.max(end).alias("upto")).first()["upto"]
         if batch_id:
-            if not _exists(spark, _part(done, batch_id - 1)):
+            if not path_exists(spark, _part(done, batch_id - 1)):
                 raise RuntimeError(f"{_part(done, batch_id - 1)} is gone: changes since the last micro-batch would be lost")
             upto = spark.read.schema("upto timestamp").parquet(_part(done, batch_id - 1)).first()["upto"]
             rows = rows.unionByName(spark.read.schema(batch.schema).parquet(_part(recent, batch_id - 1)))
