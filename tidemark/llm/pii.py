@@ -111,14 +111,16 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
     def word(w, i):
         def of(j):  # drawn by the word alone, so that one family name stays one
-            return _draw(F.lit(key), F.lit("word"), w, attempt, F.lit(j))
+            return _draw(F.lit(key), F.lit("word"), w, attempt, F.lit(j) if isinstance(j, int) else j)
 
         given = (i == 0) & (F.size(rest) > 1)
         built = None
         for script, (starts, middles, male, fem) in SYLLABLES.items():
             end = F.when(~given, _pick(middles, of(3))).when(female, _pick(fem, of(3))).otherwise(_pick(male, of(3)))
             made = F.lower(F.concat(_pick(starts, of(0)), _pick(middles, of(1)), _pick(middles, of(2)), end))
-            more_ = F.when(attempt > 4, F.lower(_pick(middles, of(4)))).otherwise("")
+            # Names grow with every further draw, so there is always room for one more.
+            longer = F.transform(F.sequence(F.lit(4), F.greatest(attempt - 1, F.lit(4))), lambda j: _pick(middles, of(j)))
+            more_ = F.when(attempt > 4, F.lower(F.array_join(longer, ""))).otherwise("")
             made = F.concat(made, more_)
             in_script = {"latin": None, "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}[script]
             built = made if in_script is None else F.when(F.rlike(w, F.lit(in_script)), made).otherwise(built)
