@@ -17,7 +17,7 @@ from tidemark.session import fresh_folder, shared_folder
 from tidemark.sinks.publish import bucketed, publish_batches
 from tidemark.sinks.results import result_events
 from tidemark.sources.event_log import EVENT_SCHEMA
-from tidemark.streaming import live, publish, shared
+from tidemark.streaming import handover, live, publish, shared
 
 HOUR = 3_600_000
 SPEC = WindowSpec(6 * HOUR, HOUR)
@@ -121,6 +121,54 @@ def test_published_batches_equal_batch(spark, arrivals, table):
     assert rows(got, "event_id", "bucket_ts") == rows(want, "event_id", "bucket_ts")
 
 
+def _publishing(folder):
+    """Runs, and returns the folders of micro-batches by name."""
+    return {name: sorted(d for d in os.listdir(os.path.join(folder, name)) if "=" in d) for name in ("arrived", "buckets", "pending", "pointers", "commits")}
+
+
+def test_publishing_commits_and_forgets(spark, arrivals, table):
+    def build(obs):
+        found = live.live_window(obs, SPEC, AGGS, by=["stream", "property"])
+        cast = [F.col(f"window.{c}").cast("timestamp_ntz").alias(c) for c in ("start", "end")]
+        return _events(found.withColumn("window", F.struct(*cast)))
+
+    buckets = run(spark, arrivals, build, publish.publish_stream)
+    folder = buckets.removesuffix("/buckets")
+    want = bucketed(publish_batches(_events(windows.windowed(table, SPEC, AGGS, ["stream", "property"]))))
+    got = publish.committed(spark, folder)
+    assert rows(got, "event_id", "bucket_ts") == rows(want, "event_id", "bucket_ts")
+    pointed = want.groupBy("query_hash").agg(F.max("bucket_ts").alias("bucket_ts"))
+    assert rows(publish.latest_pointers(spark, folder), "query_hash", "bucket_ts") == rows(pointed, "query_hash", "bucket_ts")
+    parts = _publishing(folder.removeprefix("file:"))
+    assert len(parts["commits"]) == len(parts["buckets"]) > 3 and not parts["arrived"] and len(parts["pending"]) <= 2
+    # A part that was written but not committed is not read.
+    got.limit(3).drop("batch_id").write.parquet(f"{buckets}/batch_id=999")
+    assert publish.committed(spark, folder).count() == want.count()
+
+
+def test_replay_goes_over_into_the_tail_and_on_after_a_stop(spark, arrivals, table, tmp_path):
+    at = F.lit("2024-01-12 00:00:00").cast("timestamp_ntz")
+    history, folder = table.where(F.col("ts") <= at), fresh_folder(spark, "test-handover")
+    # A replay that was stopped before its mark: written anew.
+    history.limit(5).write.parquet(f"{folder}/replayed")
+
+    def arrive(*files):
+        for i in files:
+            shutil.copy(f"{arrivals}/{i}.parquet", tmp_path / f"{i}.parquet")
+        source = as_observations(live.live_source(spark, str(tmp_path), EVENT_SCHEMA, max_files_per_trigger=1))
+        # By the second run the log has grown; the replay stays what it was.
+        log = history if 3 not in files else table
+        return handover.replay_then_tail(log, source.unionByName(source), folder, 72 * HOUR, at, "40 days")
+
+    day = F.dayofmonth("ts") - 1
+    replayed = table.where((F.col("ts") <= at) & (F.col("ts") >= at - F.expr("INTERVAL 72 HOURS")))
+    for files, upto in ([(1, 2), 15], [(3, 4, 5), 31]):
+        got = arrive(*files)
+        tail = table.where((day >= 5) & (day < upto)).join(replayed, "member_id", "left_anti")
+        assert rows(got.where("phase = 'historical'"), "member_id", "ts") == rows(replayed, "member_id", "ts")
+        assert rows(got.where("phase = 'live'"), "member_id", "ts") == rows(tail, "member_id", "ts")
+
+
 def test_shared_queries_equal_single_ones(spark, arrivals, table):
     queries = {
         "a": ContinuousQuery((Agg("max", "value", "top"),), (SPEC,), group_by=("property",)),

@@ -91,12 +91,15 @@ def dedup_stream(spark, sf_dir):
     return spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@named("sm4_publish_stream", sql("results", body="""
+_PUBLISHED = """
 , placed AS (SELECT *, row_number() OVER (PARTITION BY query_hash ORDER BY emitted_at, event_id) - 1 AS ordinal FROM results),
 full_batches AS (SELECT * FROM placed QUALIFY count(*) OVER (PARTITION BY query_hash, floor(ordinal / 20)) = 20)
 SELECT event_id, query_hash, value,
-       max((epoch_us(emitted_at) // 1000)) OVER (PARTITION BY query_hash, floor(ordinal / 20)) AS bucket_ts FROM full_batches"""))
-def publish_stream(spark, sf_dir):
+       max((epoch_us(emitted_at) // 1000)) OVER (PARTITION BY query_hash, floor(ordinal / 20)) AS bucket_ts FROM full_batches"""
+
+
+def _published(spark, sf_dir):
+    """The folder of a view that was published from a stream."""
     aggs = [Agg("max", "value", "max_value"), Agg("min", "value", "min_value"), Agg("avg", "value", "avg_value", exact=2)]
 
     def build(obs):
@@ -109,8 +112,19 @@ def publish_stream(spark, sf_dir):
             F.array("stream"), ["stream", "property"],
         )
 
-    path = _run(spark, sf_dir, "publish", build, publish.publish_stream)
-    return spark.read.parquet(path).select("event_id", "query_hash", "value", "bucket_ts")
+    return _run(spark, sf_dir, "publish", build, publish.publish_stream).removesuffix("/buckets")
+
+
+@named("sm4_publish_stream", sql("results", body=_PUBLISHED))
+def publish_stream(spark, sf_dir):
+    return publish.committed(spark, _published(spark, sf_dir)).select("event_id", "query_hash", "value", "bucket_ts")
+
+
+@named("sm4_pointers", sql("results", body=_PUBLISHED.replace("SELECT event_id, query_hash, value", ", published AS (SELECT query_hash") + """)
+SELECT query_hash, max(bucket_ts) AS bucket_ts FROM published GROUP BY query_hash"""))
+def pointers(spark, sf_dir):
+    """The latest bucket of each query's published view."""
+    return publish.latest_pointers(spark, _published(spark, sf_dir)).select("query_hash", "bucket_ts")
 
 
 def _r2s(mode):
