@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -244,8 +245,17 @@ def test_encoded_tables_decode(spark, odd):
 
 
 def test_class_probabilities_sum_to_one():
-    table = language_model.fit(np.arange(0, 2000, dtype=np.int64) * 7, np.ones(2000))
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
+    k = language_model.CLASSES
+    model = language_model.fit(np.arange(0, 2000, dtype=np.int64) * 7, np.ones(2000))
+    counts = np.zeros((2, k))
+    counts[0, 5], counts[1, 9] = 900, 40
+    own = language_model.word_vectors(counts, np.array([3, 3]), model)
+    model = replace(model, vectors=np.concatenate([model.vectors, own]).astype(np.float32))
+    u, row, c = (x.reshape(-1) for x in np.meshgrid(np.arange(k), np.arange(k + 2), np.arange(k), indexing="ij"))
+    p = 10.0 ** model.log10(u, row, c).astype(float).reshape(k, k + 2, k)
+    assert np.allclose(p.sum(2), 1, atol=1e-4)
+    # A word's own vector tells what follows it; with more counts the more so.
+    assert (p[:, k, 5] > 0.5).all() and (p[:, k + 1, 9] > 2 * p[:, 3, 9]).all()
 
 
 def test_surrogates_are_consistent_distinct_and_in_format(spark):

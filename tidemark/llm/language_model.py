@@ -1,25 +1,30 @@
-"""Scores texts by a log-bilinear neural language model over word classes.
+"""Scores texts by a log-bilinear neural language model over words and word classes.
 
 The vocabulary of the training documents is counted by Spark. The most frequent words are classes
 of their own; the others share a class with words of the same ending, the most frequent endings
-having one each. The model predicts a word's class from those of the two words before it:
-    s(c | u, v) = q_c . (A r_u + B r_v) + b_c,
-with A, B, r, q, b fitted in numpy by noise-contrastive estimation on the counts of class triples
-over all training documents (at most CLASSES^3 of them, however large the corpus). Batched matrix
-products over all contexts give the normalised table P(c | u, v); within a class a word has the
-share (count + 1) / (sum of counts + 1 over the class, and 1 for unseen words). Probabilities of
+having one each. The model predicts a word's class from the two words before it, u and v:
+    s(c | u, v) = q_c . (A r_class(u) + B r_v) + b_c.
+Two steps fit it in numpy by noise-contrastive estimation, neither on draws: the counts of all
+training tokens stand for the data, and the noise enters with its expectation.
+- A, B, b, q and a vector r per class from the counts of class triples (CLASSES^3 at most);
+- then, within Spark tasks, a vector r_v of its own for every word that occurs `SEEN` times or
+  more, from the counts of the classes that follow it, drawn towards its class's vector. Those
+  vectors and counts grow with the corpus; words that are rarer keep their class's vector.
+Scores are normalised: exp s factors into what u and what v contribute, so that matrix products
+give the sum over classes for every context. Within a class a word has the share
+(count + 1) / (sum of counts + 1 over the class, and 1 for unseen words). Probabilities of
 all words and one unseen word per class thus sum to one in every context.
 
-Counts of the `FREQUENT` most frequent words are sent to the tasks (a bounded table); those of
-other words are joined by shuffling, and such words are never hot. Null and empty texts consist
-of the end token alone. Repeated rows are scored one by one and each counts for training. Rows
-without an id are not held out. With no training rows every count is 0.
+Counts and vectors of the `FREQUENT` most frequent words are sent to the tasks (a bounded table);
+counts of other words are joined by shuffling, and such words are never hot. Null and empty texts
+consist of the end token alone. Repeated rows are scored one by one and each counts for training.
+Rows without an id are not held out. With no training rows every count is 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_LOWER, bucket_of, over_batches, texts
+from tidemark.llm.common import ASCII_LOWER, bucket_of, sliced, texts
 from tidemark.session import stored
 
 CLASSES, OWN = 128, 64  # of which OWN are single words (the end token is the first)
 FREQUENT = 262_144
-WIDTH, NOISE, STEPS, STEP_ROWS = 24, 10, 500, 4096
+SEEN, PULL = 32, 20.0  # tokens from which a word has its own vector, and tokens its class's vector weighs
+WIDTH, NOISE, STEPS, WORD_STEPS = 24, 10, 300, 60
 END = b""
 _WORDS_KEPT = 300_000
+_PAIRS_KEPT = 1_000_000
+_TOKENS = 1 << 15  # scored at a time
 _PUNCTUATION = b".,;:!?\"'()[]{}*%$&#|<>-_/"
 
 
@@ -116,6 +124,7 @@ class Lexicon:
 
     frequent: np.ndarray  # sorted digests
     counts: np.ndarray  # of those
+    frequent_class: np.ndarray  # of those
     own: np.ndarray  # sorted digests of words that are classes
     own_class: np.ndarray
     endings: np.ndarray  # sorted endings that are classes
@@ -129,6 +138,11 @@ class Lexicon:
         return np.where(_looked_up(self.own, self.own_class, digest, -1) >= 0,
                         _looked_up(self.own, self.own_class, digest, -1), by_ending)
 
+    def rows(self, digest: np.ndarray, class_: np.ndarray) -> np.ndarray:
+        """The words' rows among the vectors: the classes' come first, then those of frequent words."""
+        own = _looked_up(self.frequent, np.where(self.counts >= SEEN, np.arange(len(self.counts)), -1), digest, -1)
+        return np.where(own >= 0, own + CLASSES, class_)
+
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, x: np.ndarray, missing: int) -> np.ndarray:
     if not len(keys):
@@ -140,7 +154,7 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, x: np.ndarray, missing: int
 def lexicon(counted: DataFrame) -> Lexicon:
     """From a written vocabulary. FREQUENT words, OWN classes and the endings' classes come to the driver."""
     total = counted.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
-    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").toArrow()
+    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n", "ending").toArrow()
     words, n = top.column("word").to_numpy(), top.column("n").to_numpy()
     end = _int64([xxhash.xxh3_64_intdigest(END)])[0]
     own = [end, *[w for w in words[:OWN] if w != end][:OWN - 1]]
@@ -156,79 +170,177 @@ def lexicon(counted: DataFrame) -> Lexicon:
     mass[OWN:OWN + len(masses)] += masses
     mass[CLASSES - 1] += rest - masses.sum()
     o, e, f = np.argsort(own), np.argsort(endings), np.argsort(words)
-    return Lexicon(words[f], n[f], np.array(own)[o], o.astype(np.int64), endings[e].astype(np.int64), (e + OWN).astype(np.int64),
-                   mass, int(total["N"] or 0), int(total["V"] or 0))
+    lex = Lexicon(words[f], n[f], np.zeros(0, np.int64), np.array(own)[o], o.astype(np.int64), endings[e].astype(np.int64),
+                  (e + OWN).astype(np.int64), mass, int(total["N"] or 0), int(total["V"] or 0))
+    lex.frequent_class = lex.classes(lex.frequent, top.column("ending").to_numpy()[f].astype(np.int64))
+    return lex
 
 
-def _contexts(c: np.ndarray) -> np.ndarray:
-    """The number of each token's context: the classes of the two tokens before it, END before the first."""
-    before = np.concatenate([np.zeros(2, np.int64), c])
-    return before[:-2] * CLASSES + before[1:-1]
+def _before(x: np.ndarray, steps: int, first: int) -> np.ndarray:
+    """What stands `steps` tokens before each, `first` where there is none."""
+    return np.concatenate([np.full(min(steps, len(x)), first, np.int64), x[:-steps]])
 
 
-def triples(docs: DataFrame, lex) -> DataFrame:
-    """triple (context * CLASSES + class), n over the tokens of `docs`."""
+def contexts(docs: DataFrame, lex) -> DataFrame:
+    """row (-1: none), of, n over the tokens of `docs`: of class triples (row -1, `of` the triple), and of a word
+    with a vector of its own (its row) before a class (`of`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Words(), np.zeros(CLASSES ** 3, np.int64)
+        after, held = [], 0  # (row, class) as one number, with counts
+
+        def out(row: np.ndarray, of: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(of), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(row[part].astype(np.int32)), pa.array(of[part].astype(np.int32)), pa.array(n[part])],
+                                                 ["row", "of", "n"])
+
+        def pairs() -> tuple[np.ndarray, np.ndarray]:
+            key, back = np.unique(np.concatenate([k for k, _ in after]), return_inverse=True)
+            return key, np.bincount(back, np.concatenate([n for _, n in after])).astype(np.int64)
+
         for batch in batches:
             numbers = [words.numbers(t) for t in texts(batch, "text")]
-            of = lex.value.classes(_int64(words.digest), np.array(words.ending, np.int64))
+            digest = _int64(words.digest)
+            of = lex.value.classes(digest, np.array(words.ending, np.int64))
+            rows, fresh = lex.value.rows(digest, of), []
             for x in numbers:
-                c = of[x]
-                np.add.at(counts, _contexts(c) * CLASSES + c, 1)
+                c, v = of[x], _before(rows[x], 1, 0)
+                np.add.at(counts, (_before(c, 2, 0) * CLASSES + _before(c, 1, 0)) * CLASSES + c, 1)
+                fresh.append((v * CLASSES + c)[v >= CLASSES])
+            if fresh:
+                after.append(np.unique(np.concatenate(fresh), return_counts=True))
+                held += len(after[-1][0])
+            if held > _PAIRS_KEPT:
+                after = [pairs()]
+                held = len(after[0][0])
+                if held > _PAIRS_KEPT // 2:
+                    yield from out(after[0][0] // CLASSES, after[0][0] % CLASSES, after[0][1])
+                    after, held = [], 0
             if len(words.digest) > _WORDS_KEPT:
                 words.clear()
+        if after:
+            key, n = pairs()
+            yield from out(key // CLASSES, key % CLASSES, n)
         at = np.flatnonzero(counts)
-        for i in range(0, len(at), 100_000):
-            part = at[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["triple", "n"])
+        yield from out(np.full(len(at), -1), at, counts[at])
 
-    return docs.select("text").mapInArrow(run, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "row int, of int, n long").groupBy("row", "of").agg(F.sum("n").alias("n"))
 
 
-def fit(triple: np.ndarray, n: np.ndarray, seed: int = 3) -> np.ndarray:
-    """log10 P(class | context) for all contexts (CLASSES^2 x CLASSES), by noise-contrastive estimation."""
+@dataclass
+class Bilinear:
+    """The model. Of `vectors`, the first CLASSES are those of classes; `usual` is what stands before a class, on average."""
+
+    vectors: np.ndarray
+    q: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    bias: np.ndarray
+    noise: np.ndarray
+    usual: np.ndarray
+
+    def log10(self, u: np.ndarray, row: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 P(c | class u, word of a row of `vectors`), one for each."""
+        distinct, at = np.unique(row, return_inverse=True)
+        first = self.vectors[:CLASSES] @ (self.a.T @ self.q.T).astype(np.float32)
+        second = self.vectors[distinct] @ (self.b.T @ self.q.T).astype(np.float32) + self.bias.astype(np.float32)
+        # The greatest is 0 and none so small that a product of two were nothing.
+        first, second = (np.maximum(s - s.max(1, keepdims=True), -40) for s in (first, second))
+        total = np.einsum("tc,tc->t", np.exp(first)[u], np.exp(second)[at])
+        return (first[u, c] + second[at, c] - np.log(total)) / np.log(10)
+
+
+def _sigmoid(s: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+
+
+class _Adam:
+    def __init__(self, params: list[np.ndarray], rate: float, steps: int):
+        self.params, self.rate, self.steps, self.step = params, rate, steps, 0
+        self.mean, self.square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def move(self, grads: list[np.ndarray]) -> None:
+        self.step += 1
+        rate = self.rate * (1 - (self.step - 1) / self.steps) + self.rate / 100
+        for p, g, m, s in zip(self.params, grads, self.mean, self.square):
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            p -= rate * (m / (1 - 0.9 ** self.step)) / (np.sqrt(s / (1 - 0.99 ** self.step)) + 1e-9)
+
+
+def fit(triple: np.ndarray, n: np.ndarray, seed: int = 3) -> Bilinear:
+    """Vectors of classes and all else, from all counts of class triples."""
     rng = np.random.default_rng(seed)
-    unigram = np.bincount(triple % CLASSES, n, CLASSES) + 1.0
-    noise = unigram / unigram.sum()
+    counts = np.zeros(CLASSES ** 3)
+    counts[triple] = n
+    counts = counts.reshape(CLASSES, CLASSES, CLASSES)
+    tokens = max(counts.sum(), 1)
+    noise = counts.sum((0, 1)) + 1.0
+    noise /= noise.sum()
     r, q = rng.normal(0, 0.1, (CLASSES, WIDTH)), rng.normal(0, 0.1, (CLASSES, WIDTH))
-    ab = [np.eye(WIDTH) * 0.5, np.eye(WIDTH) * 0.5]
-    bias = np.log(noise)
-    params = [r, q, *ab, bias]
-    squares = [np.full(p.shape, 1e-2) for p in params]
-    if len(triple):
-        ladder, noise_ladder = np.cumsum(n / n.sum()), np.cumsum(noise)
-        shift = np.log(NOISE * noise)
-        for step in range(STEPS):
-            t = triple[np.minimum(np.searchsorted(ladder, rng.random(STEP_ROWS)), len(triple) - 1)].astype(np.int64)
-            u, v, c = t // CLASSES ** 2, t // CLASSES % CLASSES, t % CLASSES
-            fake = np.minimum(np.searchsorted(noise_ladder, rng.random((STEP_ROWS, NOISE))), CLASSES - 1)
-            word = np.concatenate([c[:, None], fake], 1)
-            h = r[u] @ params[2].T + r[v] @ params[3].T
-            s = np.einsum("bd,bkd->bk", h, q[word]) + bias[word] - shift[word]
-            g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            g[:, 0] -= 1
-            g /= STEP_ROWS
-            one = np.zeros((STEP_ROWS, CLASSES))  # gradients by word, summed as a product
-            np.add.at(one, (np.arange(STEP_ROWS)[:, None], word), g)
-            g_h = one @ q
-            g_r = np.zeros_like(r)
-            np.add.at(g_r, u, g_h @ params[2])
-            np.add.at(g_r, v, g_h @ params[3])
-            grads = [g_r, one.T @ h, g_h.T @ r[u], g_h.T @ r[v], one.sum(0)]
-            rate = 0.3 * (1 - step / STEPS) + 0.01
-            for p, d, sq in zip(params, grads, squares):
-                sq += d * d
-                p -= rate * d / np.sqrt(sq)
-    a, b = r @ params[2].T, r @ params[3].T
-    table = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
-    for u in range(CLASSES):
-        s = (a[u] + b) @ q.T + bias
-        s -= s.max(1, keepdims=True)
-        s -= np.log(np.exp(s).sum(1, keepdims=True))
-        table[u * CLASSES:(u + 1) * CLASSES] = s / np.log(10)
-    return table
+    a, b, bias = np.eye(WIDTH) * 0.5, np.eye(WIDTH) * 0.5, np.log(noise)
+    data = (counts / tokens).astype(np.float32)
+    fakes = (data.sum(2, keepdims=True) * (NOISE * noise)).astype(np.float32)
+    shift = np.log(NOISE * noise)
+    adam = _Adam([r, q, a, b, bias], 0.03, STEPS)
+    for _ in range(STEPS if counts.any() else 0):
+        h_u, h_v = r @ a.T, r @ b.T
+        s = (h_u @ q.T).astype(np.float32)[:, None] + (h_v @ q.T + bias - shift).astype(np.float32)[None]
+        g = (data + fakes) * _sigmoid(s) - data
+        by_u, by_v = g.sum(1).astype(np.float64), g.sum(0).astype(np.float64)
+        g_u, g_v = by_u @ q, by_v @ q
+        adam.move([g_u @ a + g_v @ b, by_u.T @ h_u + by_v.T @ h_v, g_u.T @ r, g_v.T @ r, by_u.sum(0)])
+    before = counts.sum(2)  # of u by v
+    usual = (before / np.maximum(before.sum(0), 1)).T @ (r @ a.T)
+    return Bilinear(r, q, a, b, bias, noise, usual)
+
+
+def word_vectors(counts: np.ndarray, class_: np.ndarray, model: Bilinear) -> np.ndarray:
+    """Vectors of words from the counts of the classes that follow them (words x CLASSES), their own classes given."""
+    tokens = counts.sum(1, keepdims=True)
+    weight = 1 / (tokens + PULL)
+    start = model.vectors[class_]
+    r = start.copy()
+    steady = model.usual[class_] @ model.q.T + model.bias - np.log(NOISE * model.noise)
+    to_scores = model.b.T @ model.q.T
+    adam = _Adam([r], 0.1, WORD_STEPS)
+    for _ in range(WORD_STEPS):
+        g = (counts + tokens * (NOISE * model.noise)) * _sigmoid(steady + r @ to_scores) - counts
+        adam.move([weight * (g @ to_scores.T + PULL * 0.1 * (r - start))])
+    return r
+
+
+def fitted_words(after: DataFrame, classes: np.ndarray, model) -> DataFrame:
+    """row, vector from row, of, n. A row has CLASSES counts at most; `classes` are those of the words by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lists = part.column("counts")
+                flat, ends = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                counts = np.zeros((part.num_rows, CLASSES))
+                counts[np.repeat(np.arange(part.num_rows), ends), flat.field("of").to_numpy()] = flat.field("n").to_numpy()
+                row = part.column("row").to_numpy()
+                out = word_vectors(counts, part.column("class").to_numpy(), model.value)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(list(out.astype(np.float32)), pa.list_(pa.float32()))], ["row", "vector"])
+
+    by_row = after.groupBy("row").agg(F.collect_list(F.struct("of", "n")).alias("counts"))
+    class_of = after.sparkSession.createDataFrame(pa.table({"of_row": np.arange(CLASSES, CLASSES + len(classes), dtype=np.int32), "class": classes.astype(np.int32)}))
+    return by_row.join(class_of, F.col("row") == F.col("of_row")).select("row", "class", "counts").mapInArrow(run, "row int, vector array<float>")
+
+
+def _scores(model: Bilinear, texts_: list[tuple[np.ndarray, np.ndarray]], log_mass: np.ndarray) -> np.ndarray:
+    """Per text, given as classes and rows of its tokens: the sum of log10 P(class | context) less the class's mass."""
+    c = np.concatenate([c for c, _ in texts_])
+    u, v = (np.concatenate(x) for x in zip(*[(_before(c, 2, 0), _before(rows, 1, 0)) for c, rows in texts_]))
+    of = np.repeat(np.arange(len(texts_)), [len(c) for c, _ in texts_])
+    value = -log_mass[c]
+    for i in range(0, len(c), _TOKENS):
+        at = slice(i, i + _TOKENS)
+        value[at] += model.log10(u[at], v[at], c[at])
+    return np.bincount(of, value, len(texts_))
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,32 +350,37 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     counted = stored(vocabulary(_training(picked)), "vocabulary")
     lex = lexicon(counted)
     shared = sc.broadcast(lex)
-    counts = stored(triples(_training(picked), shared), "class-triples").toArrow()
-    table = sc.broadcast(fit(counts.column("triple").to_numpy(), counts.column("n").to_numpy().astype(np.float64)))
+    gathered = stored(contexts(_training(picked), shared), "context-counts")
+    counts = gathered.where("row = -1").select("of", "n").toArrow()
+    model = fit(counts.column("of").to_numpy(), counts.column("n").to_numpy())
+    fitted = fitted_words(gathered.where("row >= 0"), lex.frequent_class, sc.broadcast(model)).toArrow()
+    vectors = np.concatenate([model.vectors, model.vectors[lex.frequent_class]]).astype(np.float32)
+    vectors[fitted.column("row").to_numpy()] = fitted.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+    bilinear = sc.broadcast(replace(model, vectors=vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lex = Words(), shared.value
-        log_mass, flat = np.log10(lex.mass), table.value.reshape(-1)
-        for batch in batches:
+        words, lex, model = Words(), shared.value, bilinear.value
+        log_mass = np.log10(lex.mass)
+        for batch in (part for whole in batches for part in sliced(whole)):
             numbers = [words.numbers(t) for t in texts(batch, "text")]
             digest = _int64(words.digest)
             of = lex.classes(digest, np.array(words.ending, np.int64))
+            rows = lex.rows(digest, of)
             seen = _looked_up(lex.frequent, lex.counts, digest, -1)
             logs = np.log10(np.maximum(seen, 0) + 1.0)
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for x in numbers:
-                c = of[x]
                 rare, tf = np.unique(x[seen[x] < 0], return_counts=True)
-                model = flat[_contexts(c) * CLASSES + c].sum(dtype=np.float64) - log_mass[c].sum()
-                for column, value in zip(out, (len(x), int((seen[x] > 0).sum()), float(logs[x].sum()), float(model), digest[rare], tf)):
+                for column, value in zip(out, (len(x), int((seen[x] > 0).sum()), float(logs[x].sum()), digest[rare], tf)):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(o, k) for o, k in zip(out, kinds)]],
-                                             ["doc_id", "n_tokens", "known", "logs", "model", "rare", "times"])
+            scores = _scores(model, [(of[x], rows[x]) for x in numbers], log_mass)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(o, k) for o, k in zip(out, kinds)], pa.array(scores)],
+                                             ["doc_id", "n_tokens", "known", "logs", "rare", "times", "model"])
             if len(words.digest) > _WORDS_KEPT:
                 words.clear()
 
-    read = picked.mapInArrow(run, "doc_id long, n_tokens long, known long, logs double, model double, rare array<long>, times array<long>")
+    read = picked.mapInArrow(run, "doc_id long, n_tokens long, known long, logs double, rare array<long>, times array<long>, model double")
     read = stored(read.withColumn("row", F.monotonically_increasing_id()), "scored-parts")
     rare = read.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", "x.rare", "x.times")
     found = rare.join(counted.select(F.col("word").alias("rare"), "n"), "rare")
