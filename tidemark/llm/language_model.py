@@ -64,7 +64,6 @@ class Words:
         self.number: dict[bytes, int] = {}
         self.digest: list[int] = []
         self.ending: list[int] = []
-        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
 
     def numbers(self, text: bytes) -> np.ndarray:
         """Numbers of a text's tokens; the end token comes last."""
@@ -79,6 +78,30 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
+class Known:
+    """Per word of a `Words`: digest, class, row and count, looked up once while the words are kept."""
+
+    def __init__(self, words: Words, lex: Lexicon):
+        self.words, self.lex = words, lex
+        self.clear()
+
+    def clear(self) -> None:
+        self.digest = self.of = self.rows = self.seen = np.zeros(0, np.int64)
+
+    def catch_up(self) -> None:
+        at = len(self.digest)
+        digest, lex = _int64(self.words.digest[at:]), self.lex
+        of = lex.classes(digest, np.array(self.words.ending[at:], np.int64))
+        more = (digest, of, lex.rows(digest, of), _looked_up(lex.frequent, lex.counts, digest, -1))
+        self.digest, self.of, self.rows, self.seen = (np.concatenate(x) for x in zip((self.digest, self.of, self.rows, self.seen), more))
+
+    def trim(self) -> None:
+        """Forgets the words if they are too many."""
+        if len(self.words.digest) > _WORDS_KEPT:
+            self.words.clear()
+            self.clear()
+
+
 def _int64(values: list[int] | np.ndarray) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
@@ -187,6 +210,7 @@ def contexts(docs: DataFrame, lex) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Words(), np.zeros(CLASSES ** 3, np.int64)
+        known = Known(words, lex.value)
         after, held = [], 0  # (row, class) as one number, with counts
 
         def out(row: np.ndarray, of: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -201,9 +225,8 @@ def contexts(docs: DataFrame, lex) -> DataFrame:
 
         for batch in batches:
             numbers = [words.numbers(t) for t in texts(batch, "text")]
-            digest = _int64(words.digest)
-            of = lex.value.classes(digest, np.array(words.ending, np.int64))
-            rows, fresh = lex.value.rows(digest, of), []
+            known.catch_up()
+            of, rows, fresh = known.of, known.rows, []
             for x in numbers:
                 c, v = of[x], _before(rows[x], 1, 0)
                 np.add.at(counts, (_before(c, 2, 0) * CLASSES + _before(c, 1, 0)) * CLASSES + c, 1)
@@ -217,8 +240,7 @@ def contexts(docs: DataFrame, lex) -> DataFrame:
                 if held > _PAIRS_KEPT // 2:
                     yield from out(after[0][0] // CLASSES, after[0][0] % CLASSES, after[0][1])
                     after, held = [], 0
-            if len(words.digest) > _WORDS_KEPT:
-                words.clear()
+            known.trim()
         if after:
             key, n = pairs()
             yield from out(key // CLASSES, key % CLASSES, n)
@@ -360,13 +382,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, lex, model = Words(), shared.value, bilinear.value
-        log_mass = np.log10(lex.mass)
+        known, log_mass = Known(words, lex), np.log10(lex.mass)
         for batch in (part for whole in batches for part in sliced(whole)):
             numbers = [words.numbers(t) for t in texts(batch, "text")]
-            digest = _int64(words.digest)
-            of = lex.classes(digest, np.array(words.ending, np.int64))
-            rows = lex.rows(digest, of)
-            seen = _looked_up(lex.frequent, lex.counts, digest, -1)
+            known.catch_up()
+            digest, of, rows, seen = known.digest, known.of, known.rows, known.seen
             logs = np.log10(np.maximum(seen, 0) + 1.0)
             out: list[list] = [[], [], [], [], []]
             for x in numbers:
@@ -377,8 +397,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(o, k) for o, k in zip(out, kinds)], pa.array(scores)],
                                              ["doc_id", "n_tokens", "known", "logs", "rare", "times", "model"])
-            if len(words.digest) > _WORDS_KEPT:
-                words.clear()
+            known.trim()
 
     read = picked.mapInArrow(run, "doc_id long, n_tokens long, known long, logs double, rare array<long>, times array<long>, model double")
     read = stored(read.withColumn("row", F.monotonically_increasing_id()), "scored-parts")
