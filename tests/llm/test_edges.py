@@ -358,3 +358,13 @@ def test_repeated_three_word_windows(spark):
         w = words(t)
         grams = [tuple(w[k:k + 3]) for k in range(len(w) - 2)]
         assert out[i] == len({k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)})
+
+
+def test_near_copies_are_tied_to_few_centres(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join([f"x{i}" if k == j else w for k, w in enumerate(base)])) for i, j in enumerate(rng.choices(range(150), k=300))]
+    ties, joined = [], near_dedup._joined
+    monkeypatch.setattr(near_dedup, "_joined", lambda candidates, *rest: ties.append(candidates.distinct().count()) or joined(candidates, *rest))
+    out = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()
+    assert {r["component_id"] for r in out} == {0} and ties[0] < 10 * len(docs)

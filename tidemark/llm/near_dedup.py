@@ -12,9 +12,10 @@ and what remains is confirmed on the full sets. The estimate rejects no set of f
 members, whose registers are mostly borrowed. No group is expanded into all its pairs:
 
 1. Documents with equal sets are folded into one representative.
-2. The members of a band's bucket are tied to one of them, which differs from band to band.
+2. The members of a band's bucket are tied to that of them with the least hash, so that near copies
+   which share many buckets are tied to the same few, and not to another one in each band.
    Confirmed ties are joined into components.
-3. What is in different components after two such rounds is compared across components: pair by
+3. What is in different components after two such rounds, with two hashes, is compared across components: pair by
    pair in buckets of a few documents, on full sets in blocks where buckets are crowded.
 
 Null texts, and texts without words, have empty sets and are linked with nothing. Rows with
@@ -250,7 +251,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
                        lambda k: F.xxhash64(k, F.substring("registers", k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = reps.select("rep", F.explode(keys).alias("key"))
     buckets = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[
-        F.min_by("rep", F.xxhash64("rep", "key", F.lit(k))).alias(f"centre{k}") for k in range(2)]).where("n > 1"), "buckets")
+        F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"centre{k}") for k in range(2)]).where("n > 1"), "buckets")
     seated = stored(banded.join(buckets, "key").select("key", "rep", "n", "centre0", "centre1"), "seated")
 
     star = seated.where("rep != centre0").select(*_ordered("rep", "centre0"))
