@@ -368,3 +368,12 @@ def test_near_copies_are_tied_to_few_centres(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_joined", lambda candidates, *rest: ties.append(candidates.distinct().count()) or joined(candidates, *rest))
     out = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()
     assert {r["component_id"] for r in out} == {0} and ties[0] < 10 * len(docs)
+
+
+def test_words_are_merged_as_the_whole_tokenizer_does():
+    c = byte_bpe.Codec(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    pieces = ["the", " the", " zqxv", "Straße", " naïveté", " ŵord", "don't", " it's", " x1", "a\nb", " 漢字", " end.", "", " "]
+    want = [c.tokenizer.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert c.words_match and [c.encode(p) for p in pieces] == want
+    other = byte_bpe.Codec(public_tokenizers.path(RANKS), r"\p{L}| ?\p{L}+|\s+")
+    assert not other.words_match and other.encode("the") == [other.encode(x)[0] for x in "the"]

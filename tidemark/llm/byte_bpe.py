@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ from tidemark.llm.common import FORGET, over_batches
 
 # Pieces kept with their ids in a Python worker while a task runs.
 PIECES_KEPT = 100_000
+# An alternative that takes words of letters whole, and words of which all characters are letters.
+WORDS = r" ?\p{L}+"
+LATIN_WORD = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch
 
 
 def byte_characters() -> list[str]:
@@ -34,6 +39,20 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class Pieces(dict):
+    """Ids of pieces, found when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) >= PIECES_KEPT:
+            self.clear()
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 class Codec:
     """Encodes and decodes by one rank file and one splitting pattern."""
 
@@ -59,15 +78,22 @@ class Codec:
         for token, rank in vocabulary.items():
             self.bytes_of[rank] = bytes(byte_of[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.pieces: dict[str, list[int]] = {}
+        self.written = dict(enumerate(chars))
+        self.merge = self.tokenizer.model.tokenize
+        alternatives = pattern.split("|")
+        self.words_match = WORDS in alternatives and all(a.startswith("'") for a in alternatives[:alternatives.index(WORDS)])
+        self.pieces = Pieces(self.encode_piece)
 
     @staticmethod
     def parts(text: str) -> list[str]:
         """`text` cut before single spaces that stand between two visible characters. No match of
         the pattern crosses such a place: a space there can only begin a match."""
+        words = text.split(" ")
+        if "" not in words and list(map(str.strip, words)) == words:
+            return words[:1] + [" " + w for w in words[1:]]
         out: list[str] = []
         held = ""
-        for i, part in enumerate(text.split(" ")):
+        for i, part in enumerate(words):
             piece = " " + part if i else part
             # An empty part, or white space at an edge, may belong with its neighbour.
             if held and (not part or part[0].isspace() or held[-1].isspace()):
@@ -81,20 +107,13 @@ class Codec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        known, parts = self.pieces, self.parts(text)
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > PIECES_KEPT:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            for piece, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[piece] = coded.ids
-        ids: list[int] = []
-        for part in parts:
-            ids += known[part]
-        if len(known) > PIECES_KEPT:
-            known.clear()
-        return ids
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.parts(text))))
+
+    def encode_piece(self, piece: str) -> list[int]:
+        # A word of letters is one match: its merges are looked for without splitting it first.
+        if self.words_match and LATIN_WORD(piece):
+            return [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.written))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """First byte of each token, and the character that this byte belongs to."""
