@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import joined_text
 from tidemark.model import HAS_VALUE, RELATES_TO_PROPERTY, Agg, ContinuousQuery, Pattern, WindowSpec
+from tidemark.operators import query_text
 from tidemark.operators.buckets import assign_bucket, initial_load
 from tidemark.operators.ordering import earliest, first_object
 from tidemark.operators.patterns import to_triples
@@ -165,3 +166,14 @@ def test_clauses_become_columns(spark):
     assert row["understood"] and [tuple(a) for a in row["aggregates"]] == [("count", False, "*", "n"), ("sum", True, "a", "t")]
     assert row["filters"] == ['FILTER ( ?a > 5 && ?s != "x y"@en )'] and row["having"] == "( COUNT ( * ) > 3 )"
     assert (row["selected"], row["group_by"]) == (["s"], ["s"])
+
+
+def test_groups_of_clauses_are_those_of_a_search_of_the_whole_text(spark):
+    texts = ["xPREFIX no: <http://n> prefix a:<http://a>, _PREFIX no: <u> .PREFIX\n: <http://b>PREFIX c: <>", "éprefix d: <http://d> (count( distinct ?a) as ?n)(Sum($b) AS ?m)",
+             "FROM NAMED WINDOW :w ON STREAM <s> [RANGE 5 STEP 2]from named window <v> on x:y [range PT1S] aFROM NAMED WINDOW :w ON :s [RANGE 5]", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for regex, names in ((query_text.PREFIX_CLAUSE, "ab"), (query_text.AGGREGATE_ITEM, "abcd"), (query_text.WINDOW_CLAUSE, "abcd")):
+        whole = F.arrays_zip(*[F.regexp_extract_all("t", F.lit(regex.replace("P(?<=\\bP)", r"\bP").replace("F(?<=\\bF)", r"\bF")), F.lit(i + 1)).alias(n)
+                               for i, n in enumerate(names)])
+        got = rows.select(query_text.groups(F.col("t"), regex, *names).alias("got"), whole.alias("want")).collect()
+        assert [r["got"] for r in got] == [r["want"] for r in got] and any(r["got"] for r in got)

@@ -28,7 +28,7 @@ def _colour(colours: Column, node: Column) -> Column:
 
 def _picture(clauses: Column, colours: Column) -> Column:
     """A number for the query under given colours."""
-    return F.xxhash64(F.array_sort(F.transform(clauses, lambda c: F.xxhash64(F.transform(
+    return F.xxhash64(F.sort_array(F.transform(clauses, lambda c: F.xxhash64(F.transform(
         c, lambda x: F.when(x["v"] == 0, x["h"]).otherwise(_colour(colours, x["v"])))))))
 
 
@@ -40,7 +40,7 @@ def _refined(around: Column, nodes: Column, colours: Column) -> Column:
     """Colours once another round tells no more nodes apart. `around` has each node's clauses."""
 
     def seen(old: Column, n: Column) -> Column:
-        return F.xxhash64(_colour(old, n), F.array_sort(F.transform(F.element_at(around, n), lambda c: F.xxhash64(F.transform(
+        return F.xxhash64(_colour(old, n), F.sort_array(F.transform(F.element_at(around, n), lambda c: F.xxhash64(F.transform(
             c, lambda x: F.when(x["v"] == 0, x["h"]).when(x["v"] == n, F.lit(_HERE)).otherwise(_colour(old, x["v"])))))))
 
     def round_(z: Column, _: Column) -> Column:
@@ -77,6 +77,6 @@ def canonical_key(df: DataFrame, clauses: str, key: str) -> DataFrame:
     coloured = graph.withColumn("_colours", _refined(around, nodes, F.col("_kinds")))
     apart = F.aggregate(nodes, F.col("_colours"), lambda old, _: F.when(
         _n(old) == F.size(old), old).otherwise(_set_apart(edges, around, nodes, old)))
-    whole = _bound(apart, lambda colours: F.md5(F.to_json(F.array_sort(F.transform(edges, lambda c: F.transform(
+    whole = _bound(apart, lambda colours: F.md5(F.to_json(F.sort_array(F.transform(edges, lambda c: F.transform(
         c, lambda x: F.when(x["v"] == 0, F.concat(F.lit("="), x["t"])).otherwise(F.concat(F.lit("~"), _colour(colours, x["v"]).cast("string")))))))))
     return coloured.withColumn(key, whole).drop("_names", "_graph", "_nodes", "_kinds", "_around", "_colours")

@@ -14,21 +14,22 @@ from tidemark.functions import expand_iri
 from tidemark.model import RDF_TYPE
 
 # Clauses of a query text as the published grammar has them: any white space, keywords in any
-# case, names as IRIs or prefixed names, durations in milliseconds or as ISO 8601.
+# case, names as IRIs or prefixed names, durations in milliseconds or as ISO 8601. The word boundary
+# before a keyword is looked for behind its first letter: few places of a text have that letter.
 _NAME = r"(?:<[^<>\s]*>|[^\s<>\[\]{}()]*:[^\s<>\[\]{}()]*)"
-REGISTER_CLAUSE = rf"(?i)\bREGISTER\s+([RID]STREAM)\s+({_NAME})\s+AS\b"
+REGISTER_CLAUSE = rf"(?i)R(?<=\bR)EGISTER\s+([RID]STREAM)\s+({_NAME})\s+AS\b"
 WINDOW_CLAUSE = (
-    rf"(?i)\bFROM\s+NAMED\s+WINDOW\s+({_NAME})\s+ON\s+(?:STREAM\s+)?({_NAME})\s*"
+    rf"(?i)F(?<=\bF)ROM\s+NAMED\s+WINDOW\s+({_NAME})\s+ON\s+(?:STREAM\s+)?({_NAME})\s*"
     r"\[\s*RANGE\s+([^\s\]]+)(?:\s+(?:STEP|SLIDE)\s+([^\s\]]+)|\s+TUMBLING)?\s*\]"
 )
-PREFIX_CLAUSE = r"(?i)\bPREFIX\s+([^\s:<>]*):\s*<([^<>\s]*)>"
+PREFIX_CLAUSE = r"(?i)P(?<=\bP)REFIX\s+([^\s:<>]*):\s*<([^<>\s]*)>"
 AGGREGATE_ITEM = (
     r"(?i)\(\s*(COUNT|SUM|MIN|MAX|AVG|SAMPLE|GROUP_CONCAT)\s*\(\s*(DISTINCT\s+)?(\*|[?$]\w+)\s*\)\s*AS\s+[?$](\w+)\s*\)"
 )
-WINDOW_BLOCK = rf"(?i)\bWINDOW\s+({_NAME})\s*\{{([^{{}}]*)\}}"
-SELECT_CLAUSE = r"(?i)\bSELECT((?:\s+[?$]\w+)*)"
-GROUP_CLAUSE = r"(?i)\bGROUP\s+BY((?:\s+[?$]\w+)+)"
-HAVING_CLAUSE = r"(?i)\bHAVING\s*(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))"
+WINDOW_BLOCK = rf"(?i)W(?<=\bW)INDOW\s+({_NAME})\s*\{{([^{{}}]*)\}}"
+SELECT_CLAUSE = r"(?i)S(?<=\bS)ELECT((?:\s+[?$]\w+)*)"
+GROUP_CLAUSE = r"(?i)G(?<=\bG)ROUP\s+BY((?:\s+[?$]\w+)+)"
+HAVING_CLAUSE = r"(?i)H(?<=\bH)AVING\s*(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))"
 _ISO_DURATION = r"(?i)^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d{1,3})?)S)?)?$"
 # A text from left to right: literals, IRIs, comments, and stretches of anything else.
 _PIECE = (
@@ -51,6 +52,12 @@ def every(text: Column, regex: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(regex), F.lit(group))
 
 
+def groups(text: Column, regex: str, *names: str) -> Column:
+    """The groups of each match by name. The text is searched once; then each match by itself."""
+    return F.transform(every(text, regex), lambda m: F.struct(
+        *[F.regexp_extract(m, regex, i + 1).alias(n) for i, n in enumerate(names)]))
+
+
 def duration_ms(text: Column) -> Column:
     """Milliseconds of a count of them or of an ISO 8601 duration; null for anything else."""
     part = [F.coalesce(F.regexp_extract(text, _ISO_DURATION, i).try_cast("decimal(18,3)"), F.lit(0)) for i in range(1, 5)]
@@ -99,27 +106,36 @@ def folded(block: Column) -> Column:
     triple, 4 a predicate or an end after `;`, -1 nothing that is known here.
     """
 
-    def step(z: Column, t: Column) -> Column:
-        pos, inside = z["pos"], F.size(z["open"]) > 0
-        term = t.rlike(_TERM) | ((t == "a") & pos.isin(1, 4))
-        opens = ~inside & pos.isin(0, 3) & t.rlike(r"^[A-Z]\w*$") & ~t.isin("TRUE", "FALSE")
-        depth = F.when(inside | opens, z["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).otherwise(0)
-        ends = inside & (t == ")") & (depth == 0)
-        so_far, takes = F.concat(z["open"], F.array(t)), ~inside & term
-        none = F.array().cast("array<string>")
-        return F.struct(
-            F.when(inside, pos).when(opens, 0).when((t == ".") & pos.isin(0, 3, 4), 0).when((t == ";") & pos.isin(3, 4), 4)
-            .when((t == ",") & (pos == 3), 2).when(term & (pos == 0), 1).when(term & pos.isin(1, 4), 2)
-            .when(term & (pos == 2), 3).otherwise(-1).alias("pos"),
-            F.when(takes & (pos == 0), t).otherwise(z["s"]).alias("s"),
-            F.when(takes & pos.isin(1, 4), F.when(t == "a", F.lit(f"<{RDF_TYPE}>")).otherwise(t)).otherwise(z["p"]).alias("p"),
-            F.when(takes & (pos == 2), F.concat(z["patterns"], F.array(F.struct(z["s"].alias("s"), z["p"].alias("p"), t.alias("o")))))
-            .otherwise(z["patterns"]).alias("patterns"),
-            F.when(ends, F.concat(z["others"], F.array(so_far))).otherwise(z["others"]).alias("others"),
-            F.when(ends, none).when(inside | opens, so_far).otherwise(none).alias("open"),
-            depth.alias("depth"),
-        ).cast(_STATE)
-
+    none = F.array().cast("array<string>")
+
+    def state(z: Column, **new: Column) -> Column:
+        return F.struct(*[new.get(k, z[k]).alias(k) for k in ("pos", "s", "p", "patterns", "others", "open", "depth")])
+
+    def step(z: Column, x: Column) -> Column:
+        t, pos, inside = x["t"], z["pos"], F.size(z["open"]) > 0
+        opens = x["word"] & pos.isin(0, 3)
+        so_far = F.concat(z["open"], F.array(t))
+        held = F.when(~inside, state(z, pos=F.lit(0), open=so_far, depth=F.lit(0))).when(
+            (t == ")") & (z["depth"] == 1), state(z, others=F.concat(z["others"], F.array(so_far)), open=none, depth=F.lit(0))
+        ).otherwise(state(z, open=so_far, depth=z["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)))
+        term = x["term"] | ((t == "a") & pos.isin(1, 4))
+        read_ = F.when(
+            term & (pos == 0), state(z, pos=F.lit(1), s=t, open=none, depth=F.lit(0))
+        ).when(
+            term & pos.isin(1, 4),
+            state(z, pos=F.lit(2), p=F.when(t == "a", F.lit(f"<{RDF_TYPE}>")).otherwise(t), open=none, depth=F.lit(0))
+        ).when(
+            term & (pos == 2),
+            state(z, pos=F.lit(3), patterns=F.concat(z["patterns"], F.array(F.struct(z["s"].alias("s"), z["p"].alias("p"), t.alias("o")))),
+                  open=none, depth=F.lit(0))
+        ).otherwise(state(
+            z, open=none, depth=F.lit(0),
+            pos=F.when((t == ".") & pos.isin(0, 3, 4), 0).when((t == ";") & pos.isin(3, 4), 4).when((t == ",") & (pos == 3), 2).otherwise(-1)))
+        return F.when(inside | opens, held).otherwise(read_)
+
+    # What a token is by itself is asked once, not in each branch of a step.
+    block = F.transform(block, lambda t: F.struct(
+        t.alias("t"), t.rlike(_TERM).alias("term"), (t.rlike(r"^[A-Z]\w*$") & ~t.isin("TRUE", "FALSE")).alias("word")))
     start = F.from_json(F.lit('{"pos":0,"patterns":[],"others":[],"open":[],"depth":0}'), _STATE)
     return F.aggregate(block, start, step, lambda z: F.struct(
         z["patterns"].alias("patterns"), z["others"].alias("others"),
@@ -141,18 +157,19 @@ def read(queries: DataFrame) -> DataFrame:
     Each array is read from the text once, in a step of its own, and then used by name.
     """
     text = F.col("_text")
-    operator = F.regexp_extract(text, REGISTER_CLAUSE, 1)
+    register = F.regexp_extract(text, REGISTER_CLAUSE, 0)
+    operator = F.regexp_extract(register, REGISTER_CLAUSE, 1)
     rest = text
     for clause in (REGISTER_CLAUSE, WINDOW_CLAUSE, PREFIX_CLAUSE, AGGREGATE_ITEM):
         rest = F.regexp_replace(rest, clause, " ")
     parts = queries.withColumn("_text", without_literals(F.col("query_text"))).withColumns({
         "r2s_operator": F.when(operator == "", F.lit("RStream")).otherwise(
             F.concat(F.upper(F.substring(operator, 1, 1)), F.lit("Stream"))),
-        "r2s_name": F.regexp_replace(F.regexp_extract(text, REGISTER_CLAUSE, 2), "^<|>$", ""),
-        "_k": F.arrays_zip(every(text, PREFIX_CLAUSE, 1).alias("key"), every(text, PREFIX_CLAUSE, 2).alias("value")),
-        "_w": F.arrays_zip(*[every(text, WINDOW_CLAUSE, i + 1).alias(n) for i, n in enumerate(("name", "stream", "width", "slide"))]),
-        "_a": F.arrays_zip(*[every(text, AGGREGATE_ITEM, i + 1).alias(n) for i, n in enumerate(("func", "distinct", "var", "alias"))]),
-        "_b": F.arrays_zip(every(text, WINDOW_BLOCK, 1).alias("name"), every(text, WINDOW_BLOCK, 2).alias("body")),
+        "r2s_name": F.regexp_replace(F.regexp_extract(register, REGISTER_CLAUSE, 2), "^<|>$", ""),
+        "_k": groups(text, PREFIX_CLAUSE, "key", "value"),
+        "_w": groups(text, WINDOW_CLAUSE, "name", "stream", "width", "slide"),
+        "_a": groups(text, AGGREGATE_ITEM, "func", "distinct", "var", "alias"),
+        "_b": groups(text, WINDOW_BLOCK, "name", "body"),
         "_rest": rest,
     }).withColumn("prefixes", F.map_from_entries(_last_per_key(F.col("_k"))))
     prefixes = F.col("prefixes")
